@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, pfor
 
-QUERIES = {"op6_mix_sources": mixing.op6_mix_sources}
+QUERIES = {
+    "op2_token_files": pfor.op2_token_files,
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
 
 ORACLE_SQL = {"op6_mix_sources": mixing.ORACLE}
