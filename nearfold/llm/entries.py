@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pfor
+from . import line_runs, mixing, packing, pfor, warc
 
 QUERIES = {
     "op2_token_files": pfor.op2_token_files,
+    "op4_line_dedup": line_runs.op4_line_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL = {"op6_mix_sources": mixing.ORACLE}
+ORACLE_SQL = {
+    "op4_line_dedup": line_runs.ORACLE,
+    "op6_mix_sources": mixing.ORACLE,
+    "op9_warc_salvage": warc.ORACLE,
+}

@@ -32,9 +32,10 @@ class Scratch:
         self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(target)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str) -> None:
