@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_runs, mixing, packing, pfor, warc
+from . import digest, fertility, line_runs, mixing, packing, pfor, warc
 
 QUERIES = {
+    "op1_fertility_rules": fertility.op1_fertility_rules,
     "op2_token_files": pfor.op2_token_files,
     "op4_line_dedup": line_runs.op4_line_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_improbable_digest": digest.op7_improbable_digest,
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }

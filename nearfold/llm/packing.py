@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import TextEncoder, with_end
+from .pieces import text_encoder, with_end
 from .scratch import Scratch
 
 CAPACITY = 2048
@@ -197,7 +197,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(vocabulary, spaced=True)
+        encode = text_encoder(vocabulary, spaced=True)
         for batch in batches:
             doc_ids = batch.column(0)
             for first, ids, bound in encode(batch.column(1)):

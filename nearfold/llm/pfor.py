@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import TextEncoder, with_end
+from .pieces import text_encoder, with_end
 from .scratch import Scratch
 
 MAGIC = b"PFR1"
@@ -150,7 +150,7 @@ def read_span(image: bytes, lo: int, hi: int) -> np.ndarray:
 
 def _encode(vocabulary: str, end_id: int, wide: bool, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(vocabulary, spaced=False)
+        encode = text_encoder(vocabulary, spaced=False)
         for batch in batches:
             shard = pa.array(np.searchsorted(cuts, pc.fill_null(batch.column(0), -(2**63)).to_numpy(), side="left"), pa.int32())
             for first, ids, bound in encode(batch.column(1)):
@@ -233,6 +233,8 @@ def read_files(files: DataFrame) -> DataFrame:
     order = W.orderBy("shard", "seq").rowsBetween(W.unboundedPreceding, -1)
     # a row per file
     heads = files.select("shard", "seq", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    # a row for each file of about 2 million ids; images should stay where they are read
+    heads = F.broadcast(heads) if files.count() <= 500_000 else heads
     return files.join(heads, ["shard", "seq"]).select("start", "image").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -28,18 +28,30 @@ def vocabulary(name: str) -> str:
 
 
 class Memo:
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split_tail: bool = True, limit: int = 800_000):
+    Two generations of at most `limit` pieces each: what the newer lacks is looked up in the older and moved
+    up, and when the newer is full it becomes the older.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split_tail: bool = True, limit: int = 500_000):
         self.encode, self.split_tail, self.limit = encode, split_tail, limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        known, older = self.known, self.older
+        new = []
+        for p in dict.fromkeys(pieces):
+            if p not in known:
+                if (x := older.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = x
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             for p, ids in zip(part, self.encode(part), strict=True):
-                self.known[p] = array("I", ids).tobytes()
+                known[p] = array("I", ids).tobytes()
 
     def get(self, pieces: list[str]) -> list[bytes]:
         out = list(map(self.known.get, pieces))
@@ -47,7 +59,7 @@ class Memo:
         if not missing:
             return out
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known, self.older = {}, self.known
         cut: list[tuple[int, str, str]] = []
         learn: list[str] = []
         for i in missing:
@@ -65,6 +77,16 @@ class Memo:
         return out
 
 
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
+
+
+def text_encoder(name: str, spaced: bool) -> TextEncoder:
+    """One encoder for each worker process, so its memo lasts from task to task."""
+    if (name, spaced) not in _encoders:
+        _encoders[name, spaced] = TextEncoder(name, spaced)
+    return _encoders[name, spaced]
+
+
 class TextEncoder:
     """Ids of whole texts with the tokenizers library.
 
