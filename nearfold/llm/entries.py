@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest, fertility, line_runs, mixing, packing, pfor, warc
+from . import digest, fertility, jaccard, line_runs, mixing, packing, pfor, warc
 
 QUERIES = {
     "op1_fertility_rules": fertility.op1_fertility_rules,
     "op2_token_files": pfor.op2_token_files,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_line_dedup": line_runs.op4_line_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_improbable_digest": digest.op7_improbable_digest,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard_join": jaccard.ORACLE,
     "op4_line_dedup": line_runs.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op9_warc_salvage": warc.ORACLE,

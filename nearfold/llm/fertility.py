@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Memo, vocabulary
+from .pieces import Memo, spaceless, vocabulary
 from .words import SPACES, Texts, find_words, grams, hash_words, mix, per_text, text_slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ class Fertility:
         coded = lists.flatten().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = spaceless(coded.dictionary)
         values = self.memo.get(words)
         if "" in words:  # beside leading or trailing white space
             values[words.index("")] = b"\0\0\0\0"

@@ -42,6 +42,30 @@ def _width(values: np.ndarray) -> np.ndarray:
     return np.searchsorted(_BITS[1:], values.astype(np.uint64), side="right")
 
 
+def _pack(values: np.ndarray, w: int) -> np.ndarray:
+    """Low w bits of each row's values, as a little-endian stream of bits: rows of bytes."""
+    columns = np.ascontiguousarray(values.T).astype("<u8") & np.uint64((1 << w) - 1)
+    words = np.zeros((BLOCK * w // 64, len(values)), "<u8")
+    for j in range(BLOCK):
+        k, shift = divmod(j * w, 64)
+        words[k] |= columns[j] << np.uint64(shift)
+        if shift + w > 64:
+            words[k + 1] |= columns[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8)
+
+
+def _unpack(raw: np.ndarray, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.ascontiguousarray(raw).view("<u8").T)
+    columns = np.empty((BLOCK, len(raw)), "<u8")
+    for j in range(BLOCK):
+        k, shift = divmod(j * w, 64)
+        columns[j] = words[k] >> np.uint64(shift)
+        if shift + w > 64:
+            columns[j] |= words[k + 1] << np.uint64(64 - shift)
+    columns &= np.uint64((1 << w) - 1)
+    return columns.T
+
+
 def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """Block index and payload."""
     n = len(ids)
@@ -69,8 +93,7 @@ def encode_ids(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarra
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = (rest[rows][:, :, None] >> np.arange(w, dtype="<u4")) & np.uint32(1)
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            packed = _pack(rest[rows], int(w))
             out[(start[rows][:, None] + np.arange(w * (BLOCK // 8))).ravel()] = packed.ravel()
     row, column = np.nonzero(outliers)
     if len(row):
@@ -95,10 +118,7 @@ def decode_ids(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
         rows = np.flatnonzero(width == w)
         if w:
             raw = data[(start[rows][:, None] + np.arange(w * (BLOCK // 8))).ravel()].reshape(len(rows), -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            spread = np.zeros((len(rows), BLOCK, 32 if w > 16 else 16), np.uint8)
-            spread[:, :, :w] = bits
-            m[rows] = np.packbits(spread, axis=2, bitorder="little").view("<u4" if w > 16 else "<u2").reshape(len(rows), BLOCK)
+            m[rows] = _unpack(raw, int(w))
     row = np.repeat(np.arange(blocks), count)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
