@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, fertility, jaccard, line_runs, mixing, packing, pfor, warc
+from . import anchors, digest, fertility, jaccard, line_runs, mixing, packing, pfor, warc
 
 QUERIES = {
     "op1_fertility_rules": fertility.op1_fertility_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_runs.op4_line_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_improbable_digest": digest.op7_improbable_digest,
+    "op8_anchor_dedup": anchors.op8_anchor_dedup,
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
     "op4_line_dedup": line_runs.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
+    "op8_anchor_dedup": anchors.ORACLE,
     "op9_warc_salvage": warc.ORACLE,
 }
