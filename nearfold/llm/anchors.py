@@ -49,7 +49,7 @@ def _probe(bits: int, anchor: int):
             for lo in range(0, batch.num_rows, MOST_DOCS):
                 part = batch.slice(lo, MOST_DOCS)
                 ids = part.column(0).to_numpy()
-                for t in text_slices(part.column(1), 8 << 20):
+                for t in text_slices(part.column(1), 3 << 20):
                     w = find_words(t)
                     h, at = long_grams(hash_words(t, w), w, anchor)
                     doc = w.doc[at]
@@ -88,6 +88,7 @@ def _anchors(bits: int):
             marks.append(place >= _INDEXED)
             docs.append(np.frombuffer(r["owners"], "<i8")[place & (_INDEXED - 1)])
         h, doc, mark = np.concatenate(hs), np.concatenate(docs), np.concatenate(marks)
+        del hs, docs, marks
         order = np.argsort(h, kind="stable")
         h, doc, mark = h[order], doc[order], mark[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -118,7 +119,7 @@ def _extend(bits: int, window: int, anchor: int):
                 part = batch.slice(lo, MOST_DOCS)
                 ids = part.column(0).to_numpy().astype("<i8")
                 lists = part.column(2)
-                for t in text_slices(part.column(1), 8 << 20):
+                for t in text_slices(part.column(1), 3 << 20):
                     w = find_words(t)
                     h = hash_words(t, w)
                     small, at = long_grams(h, w, anchor)
@@ -167,6 +168,7 @@ def _later(bits: int):
             docs.append(np.frombuffer(r["owners"], "<i8")[place])
             ats.append(np.frombuffer(r["at"], "<u4"))
         h, doc, at = np.concatenate(hs), np.concatenate(docs), np.concatenate(ats)
+        del hs, docs, ats
         order = np.argsort(h, kind="stable")
         h, doc, at = h[order], doc[order], at[order]
         if len(h):
@@ -220,7 +222,7 @@ def _remove(width: int, text_at: int, window: int):
     return run
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, per_range: int = 2_000_000) -> DataFrame:
+def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, per_range: int = 1_000_000) -> DataFrame:
     """(doc_id, hits): the first words of windows that also start in a document with a smaller doc_id."""
     anchor = window // 2
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")

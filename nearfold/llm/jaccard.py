@@ -63,7 +63,7 @@ def _blocks(bits: int):
             for lo in range(0, batch.num_rows, MOST_DOCS):
                 part = batch.slice(lo, MOST_DOCS)
                 ids = part.column(0)
-                for t in text_slices(part.column(1), 8 << 20):
+                for t in text_slices(part.column(1), 3 << 20):
                     w = find_words(t)
                     s, doc = _shingles(hash_words(t, w), w)
                     n_docs = len(t)
@@ -125,9 +125,8 @@ def _share(bits: int):
             hs.append(h50)
             sigs.append(np.frombuffer(r["owners"], "<i8")[place])
             ns.append(np.frombuffer(r["sizes"], "<i8")[place])
-        h = np.concatenate(hs)
-        sig = np.concatenate(sigs)
-        n = np.concatenate(ns)
+        h, sig, n = np.concatenate(hs), np.concatenate(sigs), np.concatenate(ns)
+        del hs, sigs, ns
         order = np.argsort(h, kind="stable")
         h, sig, n = h[order], sig[order], n[order]
         # only hashes met more than once can be shared
@@ -294,7 +293,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 2_000_000) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Defined results: a null or empty text, or one without words, has no shingles and is its own component;
