@@ -1,8 +1,9 @@
 """Token ids of whole texts from public vocabularies, encoding each distinct piece of text once.
 
-A text is cut at spaces where its vocabulary's own pre-tokenizer must cut too, so the ids of the pieces
-laid end to end are the ids of the text.  Texts where that can't be said (runs of mixed white space, or
-"<|", which may open a special token) are encoded whole.  The memo of pieces is bounded.
+A text is cut where its vocabulary's own pre-tokenizer must cut too: before a run of white space that follows
+anything else, and between an ASCII letter and a sentence mark.  So the ids of the pieces laid end to end are
+the ids of the text.  Texts with white space beyond ASCII, or with "<|", which may open a special token, are
+encoded whole.  What pieces have become is remembered by their hash and length, in flat arrays of bounded size.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
+from .words import SPACES, Texts, Words, find_words, hash_words, mix, text_slices
 
 def vocabulary(name: str) -> str:
     """Where the file of a public vocabulary lies on this machine."""
@@ -36,61 +36,58 @@ def spaceless(pieces: pa.Array) -> list[str]:
 
 
 class Memo:
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers.
+    """Piece of text -> its numbers as little-endian unsigned 32-bit integers.
 
     Two generations of at most `limit` pieces each: what the newer lacks is looked up in the older and moved
     up, and when the newer is full it becomes the older.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split_tail: bool = True, limit: int = 700_000):
-        self.encode, self.split_tail, self.limit = encode, split_tail, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 350_000):
+        self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def get(self, pieces: list[str]) -> list[bytes]:
         known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if not missing:
+            return out
+        if len(known) > self.limit:
+            self.known, self.older = {}, known
+            known, older = self.known, self.older
         new = []
-        for p in dict.fromkeys(pieces):
+        for i in missing:
+            p = pieces[i]
             if p not in known:
                 if (x := older.get(p)) is None:
                     new.append(p)
                 else:
                     known[p] = x
+        new = list(dict.fromkeys(new))
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             for p, ids in zip(part, self.encode(part), strict=True):
                 known[p] = array("I", ids).tobytes()
-
-    def get(self, pieces: list[str]) -> list[bytes]:
-        out = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if not missing:
-            return out
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        cut: list[tuple[int, str, str]] = []
-        learn: list[str] = []
-        for i in missing:
-            p = pieces[i]
-            # a run of letters and the ASCII punctuation after it are always apart
-            if self.split_tail and p[-1:] in PUNCTUATION and (core := p.rstrip(PUNCTUATION)) and core.lstrip(" ").isalpha() and core.count(" ") < 2:
-                cut.append((i, core, p[len(core) :]))
-                learn += core, p[len(core) :]
-            else:
-                learn.append(p)
-        self._learn(learn)
-        for i, a, b in cut:
-            self.known[pieces[i]] = self.known[a] + self.known[b]
         for i in missing:
-            out[i] = self.known[pieces[i]]
+            out[i] = known[pieces[i]]
         return out
 
 
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_WHITE = np.zeros(256, bool)
+_WHITE[list(SPACES)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 _encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
 def text_encoder(name: str, spaced: bool) -> TextEncoder:
-    """One encoder for each worker process, so its memo lasts from task to task."""
+    """One encoder for each worker process, so what it knows lasts from task to task."""
     if (name, spaced) not in _encoders:
         _encoders[name, spaced] = TextEncoder(name, spaced)
     return _encoders[name, spaced]
@@ -99,63 +96,114 @@ def text_encoder(name: str, spaced: bool) -> TextEncoder:
 class TextEncoder:
     """Ids of whole texts with the tokenizers library.
 
-    spaced: the pre-tokenizer gives a space to the word after it (byte-level kinds); otherwise white
-    space only separates.
+    spaced: white space goes to the word after it (byte-level kinds); otherwise it only separates, and
+    letters are lower-cased one by one.
     """
 
-    def __init__(self, name: str, spaced: bool):
+    def __init__(self, name: str, spaced: bool, most: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.spaced = spaced
+        self.spaced, self.most = spaced, most
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.memo = Memo(self._many)
-        # RE2's \s is ASCII only; the class adds every other white space
-        white = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        self.whole = rf"<\||{white} (?:{white}|$)" if spaced else r"<\|"
+        self.whole = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.used = 0
 
     def _many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For runs of texts: place of the first, ids laid end to end, len + 1 bounds."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + (12 << 20), side="right")) - 1)
-            yield lo, *self._run(texts.slice(lo, hi - lo))
-            lo = hi
-
-    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(texts)
-        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        bound = np.asarray(lists.offsets.to_numpy(), np.int64)
-        bound = bound - bound[0]
-        flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = spaceless(coded.dictionary)
+    def _cut(self, t: Texts) -> Words:
+        """Pieces as byte ranges."""
+        buf = t.buf
+        n = len(buf)
+        if not n:
+            return find_words(t)
+        white = _WHITE[buf]
+        start = np.zeros(n, bool)
+        begins = t.offs[:-1]
+        start[begins[begins < n]] = True
         if self.spaced:
-            values = self.memo.get([" " + p for p in pieces])
-            first = self.memo.get(flat.take(pa.array(bound[:-1])).to_pylist())
-            which[bound[:-1]] = len(values) + np.arange(n)
-            values = values + first
+            start[1:] |= white[1:] & ~white[:-1]
         else:
-            # this kind lower-cases every letter by itself, so spellings that differ in case share an entry
-            values = self.memo.get([p.lower() if p.isascii() else p for p in pieces])
-        for i in np.flatnonzero(odd):
-            which[bound[i]] = len(values)
-            values = [*values, np.array(self._many([texts[int(i)].as_py()])[0], "<u4").tobytes()]
-        pool = np.frombuffer(b"".join(values), "<u4")
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(size) - size
+            start[1:] |= ~white[1:] & white[:-1]
+        start[1:] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
+        at = np.flatnonzero(start)
+        end = np.append(at[1:], n)
+        if not self.spaced:
+            # a piece ends where white space begins; one that begins with white space (at a text's start) is none
+            gap = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+            k = np.searchsorted(gap, at, side="right")
+            stop = np.where(k < len(gap), gap[np.minimum(k, max(len(gap) - 1, 0))] if len(gap) else n, n)
+            end = np.minimum(end, stop)
+            at, end = at[~white[at]], end[~white[at]]
+        bound = np.searchsorted(at, t.offs)
+        return Words(at, end, np.repeat(np.arange(len(t)), np.diff(bound)), bound)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self._forget()
+        flat: list[int] = []
+        size = np.empty(len(keys), np.int32)
+        at = 0
+        for k in range(0, len(texts), 20_000):
+            for ids in self._many(texts[k : k + 20_000]):
+                flat += ids
+                size[at] = len(ids)
+                at += 1
+        need = self.used + len(flat)
+        if need > len(self.pool):
+            grown = np.zeros(max(need, len(self.pool) * 3 // 2), self.pool.dtype)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : need] = flat
+        begin = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used = need
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.begin = np.insert(self.begin, where, begin)
+        self.size = np.insert(self.size, where, size)
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts: place of the first, ids laid end to end, len + 1 bounds."""
+        for t in text_slices(texts, 3 << 20):
+            yield t.first, *self._run(texts.slice(t.first, len(t)), t)
+
+    def _run(self, texts: pa.Array, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.whole), False).to_numpy(zero_copy_only=False))
+        if not self.spaced:
+            t = Texts(_LOWER[t.buf], t.offs, t.first)
+        w = self._cut(t)
+        h = hash_words(t, w)
+        h ^= mix((w.end - w.start).astype(np.uint64))
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero((at >= len(self.keys)) | (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] != keys) if len(self.keys) else np.ones(len(keys), bool))
+        if len(new):
+            if len(self.keys) + len(new) > self.most:  # all of this run is learnt anew
+                self._forget()
+                new = np.arange(len(keys))
+            raw, s, e = t.buf, w.start[first[new]].tolist(), w.end[first[new]].tolist()
+            self._learn(keys[new], [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        begin, size = self.begin[at], self.size[at]
         count = size[which]
-        end = np.cumsum(count)
-        ids = pool[np.repeat(begin[which] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
-        return ids, np.concatenate([[0], end])[bound]
+        end = np.cumsum(count, dtype=np.int64)
+        ids = self.pool[np.repeat((begin[which] - (end - count)), count) + np.arange(end[-1] if len(end) else 0)]
+        bound = np.concatenate([[0], end])[w.bound]
+        if len(odd):  # put the ids of whole texts in place
+            parts = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+            for i in odd:
+                parts[i] = np.array(self._many([texts[int(i)].as_py()])[0], ids.dtype)
+            ids = np.concatenate(parts)
+            bound = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bound
 
 
 def with_end(ids: np.ndarray, bound: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
