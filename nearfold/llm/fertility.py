@@ -126,8 +126,8 @@ class Fertility:
         doc = key // self.size
         with np.errstate(divide="ignore", invalid="ignore"):
             share = times / tokens[doc]
-            entropy = np.bincount(doc, -share * np.log2(share), n)
-            byte = np.bincount(doc, times * self.is_byte[key % self.size], n)
+            entropy = np.bincount(doc, -share * np.log2(share), n).astype(float)
+            byte = np.bincount(doc, times * self.is_byte[key % self.size], n).astype(float)
         twos = np.concatenate([[0], np.cumsum(second[which])])[bound]
         return {"tokens": tokens, "second": np.diff(twos), "bytes": byte, "entropy": entropy}
 

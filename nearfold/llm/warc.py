@@ -111,52 +111,54 @@ def _opens(data: bytes, at: int) -> bool:
         return False
 
 
-def _plain(data: bytes, base: int) -> Iterator[Record | Gap]:
-    """Records of uncompressed bytes; gaps count from base."""
-    at = 0
-    while at < len(data):
-        try:
-            record, end = parse_record(data, at)
-            yield record
-            at = end
-        except ValueError as e:
-            n = at + 1
-            while m := _VERSION.search(data, n):
-                if data[m.start() - 1 : m.start()] == b"\n" and re.match(rb"[A-Za-z0-9-]+:", data[m.end() : m.end() + 80]):
-                    break
-                n = m.start() + 1
-            end = m.start() if m else len(data)
-            yield Gap(base + at, base + end, str(e))
-            at = end
+def _version_line(data: bytes, at: int, stop: int) -> int:
+    """The next place before stop where a version line stands that a header line follows; -1 if none."""
+    while m := _VERSION.search(data, at, stop):
+        if re.match(rb"[A-Za-z0-9-]+:", data[m.end() : m.end() + 80]):
+            return m.start()
+        at = m.start() + 1
+    return -1
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """Where a member that opens on a version line, or a version line itself, comes next; else the end."""
+    member_at = data.find(_MEMBER, at)
+    while member_at >= 0 and not _opens(data, member_at):
+        member_at = data.find(_MEMBER, member_at + 1)
+    stop = member_at if member_at >= 0 else len(data)
+    line_at = _version_line(data, at, stop)
+    return line_at if line_at >= 0 else stop
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    """All records that can be recovered, in order, and the gaps between them."""
-    if _VERSION.match(data):
-        yield from _plain(data, 0)
-        return
+    """All records that can be recovered, in order, and the gaps between them.
+
+    A damage inside a member's text is a gap of the whole member, beside the records that it still gives.
+    """
     at = 0
     while at < len(data):
         try:
-            body, end = _inflate(data, at)
-            found = list(_plain(body, 0))
-            if not found:
-                raise ValueError("empty member")
-            for x in found:  # offsets inside a member aren't places of the archive, so the member is named
-                yield Gap(at, end, x.reason) if isinstance(x, Gap) else x
-            at = end
+            if data.startswith(_MEMBER, at):
+                body, end = _inflate(data, at)
+                k = 0
+                while k < len(body):
+                    try:
+                        record, k = parse_record(body, k)
+                        yield record
+                    except ValueError as e:
+                        yield Gap(at, end, str(e))
+                        k = _version_line(body, k + 1, len(body))
+                        if k < 0:
+                            break
+                if not body:
+                    yield Gap(at, end, "empty member")
+            else:
+                record, end = parse_record(data, at)
+                yield record
         except ValueError as e:
-            nxt = data.find(_MEMBER, at + 1)
-            while nxt >= 0 and not _opens(data, nxt):
-                nxt = data.find(_MEMBER, nxt + 1)
-            plain = _VERSION.search(data, at + 1, nxt if nxt >= 0 else len(data))
-            end = plain.start() if plain else nxt if nxt >= 0 else len(data)
+            end = _next_start(data, at + 1)
             yield Gap(at, end, str(e))
-            at = end
-            if plain:
-                stop = nxt if nxt >= 0 else len(data)
-                yield from _plain(data[at:stop], at)
-                at = stop
+        at = end
 
 
 # ---------------------------------------------------------------- tables
