@@ -46,7 +46,7 @@ def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, theirs = row << 32 | ti.astype(np.int64), other << 32 | ui.astype(np.int64)
             at = np.searchsorted(theirs, mine)
             hit = (at < len(theirs)) & (theirs[np.minimum(at, max(len(theirs) - 1, 0))] == mine) if len(theirs) else np.zeros(len(mine), bool)
-            sim = np.bincount(row[hit], tw[hit] * uw[at[hit]], part.num_rows)
+            sim = np.bincount(row[hit], tw[hit] * uw[at[hit]], part.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
 
