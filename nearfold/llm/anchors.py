@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import HASH_BITS, MOST_DOCS, cut_ranges, decode, encode, packed, range_bits, table, unpacked
+from .blobs import HASH_BITS, MOST_DOCS, OWNED_DDL, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
 from .scratch import Scratch
 from .words import WORD, find_words, hash_words, long_grams, text_slices
 
 WINDOW = 50
 ANCHOR = WINDOW // 2
 _INDEXED = 1 << 15
+#: Windows that a mapper gathers before it writes a block.
+_HELD = 3_000_000
 _PROBES = pa.schema([("p", pa.int32()), ("owners", pa.binary()), ("steps", pa.binary()), ("places", pa.binary())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("hits", pa.binary())])
 U = np.uint64
@@ -44,34 +46,47 @@ U = np.uint64
 def _probe(bits: int, anchor: int):
     """Every rolling window of `anchor` words by range; those that are index blocks are marked."""
 
+    def block(keys: list[np.ndarray], marks: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        # of several windows alike in one document one is enough; it is marked if any is a block
+        key = np.unique(np.concatenate(keys))
+        indexed = np.zeros(len(key), bool)
+        indexed[np.searchsorted(key, np.concatenate(marks))] = True
+        h50, place = unpacked(key)
+        owners = np.concatenate(ids).astype("<i8")
+        out: dict[str, list] = {f.name: [] for f in _PROBES}
+        edges = cut_ranges(h50, bits)
+        for p in range(1 << bits):
+            a, b = edges[p], edges[p + 1]
+            if a < b:
+                there, local = np.unique(place[a:b], return_inverse=True)
+                steps, places, _ = encode(h50[a:b], local | np.where(indexed[a:b], _INDEXED, 0), bits, p)
+                for name, v in zip(_PROBES.names, (p, owners[there].tobytes(), steps, places), strict=True):
+                    out[name].append(v)
+        return table(out, _PROBES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        docs = held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, MOST_DOCS):
-                part = batch.slice(lo, MOST_DOCS)
-                ids = part.column(0).to_numpy()
-                for t in text_slices(part.column(1), 3 << 20):
-                    w = find_words(t)
-                    h, at = long_grams(hash_words(t, w), w, anchor)
+            own = batch.column(0).to_numpy()
+            for t in text_slices(batch.column(1), 2 << 20):
+                for part in t.parts(MOST_DOCS):
+                    if keys and (docs + len(part) > MOST_DOCS or held > _HELD):
+                        yield block(keys, marks, ids)
+                        keys, marks, ids, docs, held = [], [], [], 0, 0
+                    w = find_words(part)
+                    h, at = long_grams(hash_words(part, w), w, anchor)
                     doc = w.doc[at]
-                    block = (at - w.bound[doc]) % anchor == 0
-                    # of several windows alike in one document one is enough; it is marked if any is a block
-                    key = np.unique(packed(h, doc))
-                    if not len(key):
-                        continue
-                    indexed = np.zeros(len(key), bool)
-                    indexed[np.searchsorted(key, packed(h[block], doc[block]))] = True
-                    h50, place = unpacked(key)
-                    owners = ids[t.first : t.first + len(t)].astype("<i8")
-                    out: dict[str, list] = {f.name: [] for f in _PROBES}
-                    edges = cut_ranges(h50, bits)
-                    for p in range(1 << bits):
-                        a, b = edges[p], edges[p + 1]
-                        if a < b:
-                            there, local = np.unique(place[a:b], return_inverse=True)
-                            steps, places, _ = encode(h50[a:b], local | np.where(indexed[a:b], _INDEXED, 0), bits, p)
-                            for name, v in zip(_PROBES.names, (p, owners[there].tobytes(), steps, places), strict=True):
-                                out[name].append(v)
-                    yield table(out, _PROBES)
+                    start = (at - w.bound[doc]) % anchor == 0
+                    keys.append(packed(h, doc + docs))
+                    marks.append(packed(h[start], doc[start] + docs))
+                    ids.append(own[part.first : part.first + len(part)])
+                    docs += len(part)
+                    held += len(h)
+        if keys:
+            yield block(keys, marks, ids)
 
     return run
 
@@ -97,12 +112,17 @@ def _anchors(bits: int):
             several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
             good = np.repeat(several & np.maximum.reduceat(mark, start), size)
             h, doc = h[good], doc[good]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        owner, first = np.unique(doc, return_index=True)
-        raw = h.astype("<u8").tobytes()
-        edge = np.append(first, len(doc))
-        return pa.Table.from_batches([table({"doc_id": owner.tolist(), "hits": [raw[8 * a : 8 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)]}, _HITS)])
+        return pa.Table.from_batches([by_owner(doc, h.astype("<u8"), max(0, bits - 1))])
+
+    return run
+
+
+def _to_docs(dtype: str):
+    """A row for each document from the rows of its bucket."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        owner, _, edge, item = gathered(group, np.dtype(dtype))
+        return pa.Table.from_batches([table({"doc_id": owner.tolist(), "hits": [item[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]}, _HITS)])
 
     return run
 
@@ -123,7 +143,7 @@ def _extend(bits: int, window: int, anchor: int):
                     w = find_words(t)
                     h = hash_words(t, w)
                     small, at = long_grams(h, w, anchor)
-                    mine = [np.frombuffer(b"".join(lists[t.first + i].as_py()), "<u8") for i in range(len(t))]
+                    mine = [np.frombuffer(lists[t.first + i].as_py(), "<u8") for i in range(len(t))]
                     known = np.sort(np.concatenate([x << U(14) | U(i) for i, x in enumerate(mine)]))
                     key = packed(small, w.doc[at])
                     k = np.searchsorted(known, key)
@@ -176,12 +196,7 @@ def _later(bits: int):
             least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(h))))
             later = doc > least
             doc, at = doc[later], at[later]
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        owner, first = np.unique(doc, return_index=True)
-        raw = at.astype("<u4").tobytes()
-        edge = np.append(first, len(doc))
-        return pa.Table.from_batches([table({"doc_id": owner.tolist(), "hits": [raw[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)]}, _HITS)])
+        return pa.Table.from_batches([by_owner(doc, at.astype("<u4"), max(0, bits - 1))])
 
     return run
 
@@ -202,7 +217,7 @@ def _remove(width: int, text_at: int, window: int):
                     x = lists[t.first + i]
                     keep = np.ones(b - a, bool)
                     if x.is_valid:
-                        at = np.frombuffer(b"".join(x.as_py()), "<u4").astype(np.int64)
+                        at = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
                         cover = np.zeros(b - a + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)
@@ -229,18 +244,22 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, win
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = range_bits(size // 7, per_range)
     probes = docs.mapInArrow(_probe(bits, anchor), "p int, owners binary, steps binary, places binary")
-    hits = scratch.save(probes.groupBy("p").applyInArrow(_anchors(bits), "doc_id long, hits binary"), "hits", codec="none")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")).withColumnRenamed("doc_id", "__id")
+    hits = probes.groupBy("p").applyInArrow(_anchors(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u8"), "doc_id long, hits binary")
+    by_doc = scratch.save(hits, "hits", codec="none").withColumnRenamed("doc_id", "__id")
+    scratch.settle()
     held = docs.join(by_doc, docs["doc_id"] == F.col("__id")).select("doc_id", "text", "hits")
     windows = held.mapInArrow(_extend(bits, window, anchor), "p int, owners binary, steps binary, places binary, checks binary, at binary")
-    return scratch.save(windows.groupBy("p").applyInArrow(_later(bits), "doc_id long, hits binary"), "later", codec="none")
+    later = windows.groupBy("p").applyInArrow(_later(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u4"), "doc_id long, hits binary")
+    later = scratch.save(later, "later", codec="none")
+    scratch.settle()
+    return later
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept")
     found = repeated_windows(spark, docs.select("doc_id", "text"), Scratch(spark, "anchors"), window)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("hits").alias("__hits")).withColumnRenamed("doc_id", "__id")
+    by_doc = found.select(F.col("doc_id").alias("__id"), F.col("hits").alias("__hits"))
     joined = docs.join(by_doc, docs["doc_id"] == F.col("__id"), "left").drop("__id")
     names = docs.columns
     schema = T.StructType([T.StructField(f"c{j}", f.dataType) for j, f in enumerate(docs.schema.fields)] + [T.StructField(f"c{len(names) + k}", t) for k, t in enumerate((T.LongType(), T.LongType(), T.StringType()))])

@@ -62,3 +62,49 @@ def decode(steps: bytes, places: bytes, bits: int, p: int) -> tuple[np.ndarray,
 
 def table(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+# ---------------------------------------------------------------- back to the documents
+
+OWNED = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("extra", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
+OWNED_DDL = "bucket int, owners binary, extra binary, counts binary, data binary"
+
+
+def by_owner(owner: np.ndarray, data: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.RecordBatch:
+    """Items and the documents they belong to, a row for each of 2**bits buckets of documents.
+
+    extra is a number that all items of a document share.  The number of rows follows the buckets, not
+    documents times ranges.
+    """
+    h = owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(owner), np.int64)
+    order = np.lexsort((owner, bucket))
+    owner, data, bucket = owner[order], data[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(owner)))
+    names, at = np.unique(bucket[first], return_index=True)
+    edge = np.append(at, len(first))
+    shared = extra[order][first] if extra is not None else np.zeros(len(first), np.int64)
+    out: dict[str, list] = {f.name: [] for f in OWNED}
+    for b, lo, hi in zip(names.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        a, z = int(first[lo]), int(first[hi - 1] + size[hi - 1])
+        for name, v in zip(OWNED.names, (b, owner[first[lo:hi]].astype("<i8").tobytes(), shared[lo:hi].astype("<i8").tobytes(), size[lo:hi].astype("<i4").tobytes(), data[a:z].tobytes()), strict=True):
+            out[name].append(v)
+    return table(out, OWNED)
+
+
+def gathered(rows: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, their extra, bounds, and all their items, from the rows of one bucket."""
+    owners, extras, items = [], [], []
+    for r in rows.to_pylist():
+        size = np.frombuffer(r["counts"], "<i4")
+        owners.append(np.repeat(np.frombuffer(r["owners"], "<i8"), size))
+        extras.append(np.repeat(np.frombuffer(r["extra"], "<i8"), size))
+        items.append(np.frombuffer(r["data"], dtype))
+    owner, extra, item = np.concatenate(owners), np.concatenate(extras), np.concatenate(items)
+    order = np.argsort(owner, kind="stable")
+    owner, extra, item = owner[order], extra[order], item[order]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    return owner[first], extra[first], np.append(first, len(owner)), item

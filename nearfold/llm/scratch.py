@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ class Scratch:
         (writer.partitionBy(by) if by else writer).parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def settle(self) -> None:
+        """Between phases: Spark removes the shuffle files of plans that nothing holds any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

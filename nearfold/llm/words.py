@@ -53,6 +53,13 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offs) - 1
 
+    def parts(self, most: int) -> Iterator[Texts]:
+        """The same texts, at most so many at a time."""
+        for lo in range(0, len(self), most):
+            hi = min(len(self), lo + most)
+            a, b = self.offs[lo], self.offs[hi]
+            yield Texts(self.buf[a:b], self.offs[lo : hi + 1] - a, self.first + lo)
+
     def text(self, i: int) -> bytes:
         return self.buf[self.offs[i] : self.offs[i + 1]].tobytes()
 
