@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import anchors, digest, fertility, jaccard, line_runs, mixing, packing, pfor, warc
+from . import anchors, digest, feistel, fertility, jaccard, line_runs, mixing, packing, pfor, warc
 
 QUERIES = {
     "op1_fertility_rules": fertility.op1_fertility_rules,
     "op2_token_files": pfor.op2_token_files,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_line_dedup": line_runs.op4_line_dedup,
+    "op5_feistel_pseudonyms": feistel.op5_feistel_pseudonyms,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_improbable_digest": digest.op7_improbable_digest,
     "op8_anchor_dedup": anchors.op8_anchor_dedup,
