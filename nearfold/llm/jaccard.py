@@ -25,18 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import MOST_DOCS, cut_ranges, decode, encode, packed, range_bits, table, unpacked
+from .blobs import MOST_DOCS, OWNED, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
 from .components import components
 from .scratch import Scratch
 from .words import Words, _short, find_words, grams, hash_words, mix, text_slices
 
 K = 5
 GROUP = 256
-_BLOCK = pa.schema([("p", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("steps", pa.binary()), ("places", pa.binary())])
-_SHARED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("tokens", pa.binary())])
+#: Shingles that a mapper gathers before it writes a block.
+_HELD = 3_000_000
+_BLOCK = pa.schema([("p", pa.int32()), ("name", pa.int64()), ("owners", pa.binary()), ("steps", pa.binary()), ("places", pa.binary())])
+#: Rows of both kinds: a document (kind 0), or a bucket of sets with their shared shingles (kind 1).
+_SHARED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), *OWNED])
+_SHARED_DDL = "kind int, doc_id long, sig long, n long, owner long, bucket int, owners binary, extra binary, counts binary, data binary"
+_PAIR = np.dtype([("h", "<u8"), ("df", "<u4")])
 U = np.uint64
 
 
@@ -55,130 +61,146 @@ def _shingles(h: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(bits: int):
-    """Blocks of shingles by range, and blocks of (doc_id, sig, n) under range numbers past the last."""
+    """Blocks of shingles by range, and blocks of documents under range numbers past the last.
+
+    A document is named by where it stands: task, block of the task, place in the block.  A range gets eight
+    bytes for each document it meets: 48 bits of the hash of its set, by which copies are known, and the size
+    of the set up to 65535.
+    """
+
+    def block(turn: int, keys: list[np.ndarray], sigs: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(keys))
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        h50, place = unpacked(key)
+        sig, own = np.concatenate(sigs), pa.concat_arrays(ids)
+        n = np.bincount(place, minlength=len(sig))
+        name = TaskContext.get().partitionId() << 38 | turn << 14
+        out: dict[str, list] = {f.name: [] for f in _BLOCK}
+
+        def add(p: int, *values: bytes) -> None:
+            for c, v in zip(_BLOCK.names, (p, name, *values), strict=True):
+                out[c].append(v)
+
+        nulls = np.array(own.is_null().to_numpy(zero_copy_only=False), np.uint8).tobytes()
+        add((1 << bits) + turn % (1 << bits), sig.tobytes() + n.astype("<i8").tobytes(), own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), nulls)
+        # of equal sets in this run of texts one is enough
+        _, one = np.unique(sig, return_index=True)
+        first = np.zeros(len(sig), bool)
+        first[one] = True
+        keep = first[place]
+        h50, place = h50[keep], place[keep]
+        known = sig.view(U) >> U(16) << U(16) | np.minimum(n, 0xFFFF).astype(U)
+        edges = cut_ranges(h50, bits)
+        for p in range(1 << bits):
+            a, b = edges[p], edges[p + 1]
+            if a < b:
+                there, local = np.unique(place[a:b], return_inverse=True)
+                steps, places, _ = encode(h50[a:b], local, bits, p)
+                add(p, np.concatenate([known[there].view("<u2"), there.astype("<u2")]).tobytes(), steps, places)
+        return table(out, _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        keys: list[np.ndarray] = []
+        sigs: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+        docs = held = turn = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, MOST_DOCS):
-                part = batch.slice(lo, MOST_DOCS)
-                ids = part.column(0)
-                for t in text_slices(part.column(1), 3 << 20):
-                    w = find_words(t)
-                    s, doc = _shingles(hash_words(t, w), w)
-                    n_docs = len(t)
-                    bound = np.searchsorted(doc, np.arange(n_docs + 1))
+            for t in text_slices(batch.column(1), 2 << 20):
+                for part in t.parts(MOST_DOCS):
+                    if keys and (docs + len(part) > MOST_DOCS or held > _HELD):
+                        yield block(turn, keys, sigs, ids)
+                        keys, sigs, ids, docs, held, turn = [], [], [], 0, 0, turn + 1
+                    w = find_words(part)
+                    s, doc = _shingles(hash_words(part, w), w)
+                    bound = np.searchsorted(doc, np.arange(len(part) + 1))
                     total = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x5851F42D4C957F2D)))])
-                    sig = mix(total[bound[1:]] - total[bound[:-1]] + np.diff(bound).astype(U)).view(np.int64)
-                    key = np.sort(packed(s, doc))
-                    if len(key):
-                        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-                    h50, place = unpacked(key)
-                    n = np.bincount(place, minlength=n_docs)
-                    own = ids.slice(t.first, n_docs)
-                    out: dict[str, list] = {f.name: [] for f in _BLOCK}
-
-                    def add(p: int, *values: bytes) -> None:
-                        for name, v in zip(_BLOCK.names, (p, *values), strict=True):
-                            out[name].append(v)
-
-                    nulls = np.array(own.is_null().to_numpy(zero_copy_only=False), np.uint8).tobytes()
-                    add((1 << bits) + turn, sig.tobytes(), n.astype("<i8").tobytes(), own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), nulls)
-                    turn = (turn + 1) % (1 << bits)
-                    # of equal sets in this run of texts one is enough
-                    _, one = np.unique(sig, return_index=True)
-                    first = np.zeros(n_docs, bool)
-                    first[one] = True
-                    keep = first[place]
-                    h50, place = h50[keep], place[keep]
-                    edges = cut_ranges(h50, bits)
-                    for p in range(1 << bits):
-                        a, b = edges[p], edges[p + 1]
-                        if a < b:
-                            there, local = np.unique(place[a:b], return_inverse=True)
-                            steps, places, _ = encode(h50[a:b], local, bits, p)
-                            add(p, sig[there].tobytes(), n[there].astype("<i8").tobytes(), steps, places)
-                    yield table(out, _BLOCK)
+                    sigs.append(mix(total[bound[1:]] - total[bound[:-1]] + np.diff(bound).astype(U)).view(np.int64))
+                    keys.append(packed(s, doc + docs))
+                    ids.append(batch.column(0).slice(part.first, len(part)))
+                    docs += len(part)
+                    held += len(s)
+        if keys:
+            yield block(turn, keys, sigs, ids)
 
     return run
 
 
 def _share(bits: int):
-    """Of one range: for each set the shingles that another set has too, with their frequencies."""
+    """Of one range: for each document the shingles that a different set has too, with their frequencies."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         p = key[0].as_py()
-        out: dict[str, list] = {f.name: [] for f in _SHARED}
         if p >= 1 << bits:  # the list of documents passes through
+            out: dict[str, list] = {f.name: [] for f in _SHARED}
             for r in group.to_pylist():
                 nulls = np.frombuffer(r["places"], np.uint8).astype(bool)
-                ids = np.frombuffer(r["steps"], "<i8")
-                out["doc_id"] += [None if x else i for i, x in zip(ids.tolist(), nulls, strict=True)]
-                out["sig"] += np.frombuffer(r["owners"], "<i8").tolist()
-                out["n"] += np.frombuffer(r["sizes"], "<i8").tolist()
+                both = np.frombuffer(r["owners"], "<i8").reshape(2, -1)
+                out["doc_id"] += [None if x else i for i, x in zip(np.frombuffer(r["steps"], "<i8").tolist(), nulls, strict=True)]
+                out["sig"] += both[0].tolist()
+                out["n"] += both[1].tolist()
+                out["owner"] += (r["name"] + np.arange(len(nulls))).tolist()
             m = len(out["sig"])
-            out |= {"kind": [0] * m, "c": [0] * m, "tokens": [None] * m}
+            out |= {"kind": [0] * m} | {c: [None] * m for c in OWNED.names}
             return pa.Table.from_batches([table(out, _SHARED)])
-        hs, sigs, ns = [], [], []
-        for r in group.to_pylist():
-            h50, place = decode(r["steps"], r["places"], bits, p)
+        hs, whose, knowns, owners = [], [], [], []
+        docs = 0
+        for i in range(group.num_rows):
+            h50, place = decode(group["steps"][i].as_py(), group["places"][i].as_py(), bits, p)
+            raw = np.frombuffer(group["owners"][i].as_py(), "<u2")
+            m = len(raw) // 5
             hs.append(h50)
-            sigs.append(np.frombuffer(r["owners"], "<i8")[place])
-            ns.append(np.frombuffer(r["sizes"], "<i8")[place])
-        h, sig, n = np.concatenate(hs), np.concatenate(sigs), np.concatenate(ns)
-        del hs, sigs, ns
+            whose.append((place + docs).astype(np.int32))
+            knowns.append(np.frombuffer(raw[: 4 * m].tobytes(), "<u8"))
+            owners.append(group["name"][i].as_py() + raw[4 * m :].astype(np.int64))
+            docs += m
+        h, who = np.concatenate(hs), np.concatenate(whose)
+        known, owner = np.concatenate(knowns), np.concatenate(owners)
+        del hs, whose, knowns, owners
         order = np.argsort(h, kind="stable")
-        h, sig, n = h[order], sig[order], n[order]
+        h, who = h[order], who[order]
+        del order
         # only hashes met more than once can be shared
         same = h[1:] == h[:-1]
         again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        h, sig, n = h[again], sig[again], n[again]
-        order = np.lexsort((sig, h))
-        h, sig, n = h[order], sig[order], n[order]
+        h, who = h[again], who[again]
+        order = np.lexsort((known[who], h))
+        h, who = h[order], who[order]
+        k = known[who]
         if len(h):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-            h, sig, n = h[new], sig[new], n[new]
-        _, which, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[which]
-        keep = df > 1
-        h, sig, n, df = h[keep], sig[keep], n[keep], df[keep]
-        order = np.argsort(sig, kind="stable")
-        h, sig, n, df = h[order], sig[order], n[order], df[order]
-        owner, first = np.unique(sig, return_index=True)
-        edge = np.append(first, len(sig))
-        pairs = np.empty(len(h), [("h", "<u8"), ("df", "<u4")])
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])  # once for each set
+            which = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+            df = np.bincount(which, new)[which].astype(np.int64)
+            keep = df > 1
+            h, who, df = h[keep], who[keep], df[keep]
+        else:
+            df = np.zeros(0, np.int64)
+        pairs = np.empty(len(h), _PAIR)
         pairs["h"], pairs["df"] = h, df
-        raw = pairs.tobytes()
-        m = len(owner)
-        out = {
-            "kind": [1] * m,
-            "doc_id": [None] * m,
-            "sig": owner.tolist(),
-            "n": n[first].tolist(),
-            "c": np.diff(edge).tolist(),
-            "tokens": [raw[12 * a : 12 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)],
-        }
-        return pa.Table.from_batches([table(out, _SHARED)])
+        rows = by_owner(owner[who], pairs, max(0, bits - 1), (known[who] & U(0xFFFF)).astype(np.int64))
+        m = rows.num_rows
+        return pa.Table.from_arrays([pa.array([1] * m, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, *rows.columns], schema=_SHARED)
 
     return run
 
 
-_PAIR = np.dtype([("h", "<u8"), ("df", "<u4")])
+_ACTIVE = pa.schema([("owner", pa.int64()), ("c", pa.int64()), ("key", pa.int64()), ("tokens", pa.binary())])
 
 
-def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared shingles of each set in ascending frequency, how many are in its prefix, and its group key."""
-    for batch in batches:
-        keys, tokens, prefixes = [], [], []
-        for n, lists in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            x = np.frombuffer(b"".join(lists.as_py()), _PAIR)
-            x = x[np.lexsort((x["h"], x["df"]))]
-            # the set's other shingles are in no other set and come before these
-            prefixes.append(max(0, (n - -(-3 * n // 4) + 1) - (n - len(x))))
-            common = x["h"][2 * x["df"].astype(np.int64) >= int(x["df"].max())]
-            keys.append(int(mix(common.astype(U)).min().view(np.int64)))
-            tokens.append(np.ascontiguousarray(x["h"]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(prefixes, pa.int64()), pa.array(tokens, pa.binary())], names=["sig", "n", "key", "prefix", "tokens"])
+def _order(key: tuple, group: pa.Table) -> pa.Table:
+    """The documents of a bucket that can have a link: their shared shingles in ascending frequency, and the
+    group key."""
+    out: dict[str, list] = {f.name: [] for f in _ACTIVE}
+    owner, sizes, edge, items = gathered(group, _PAIR)
+    for name, n, a, b in zip(owner.tolist(), sizes.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if 4 * (b - a) < 3 * n:
+            continue
+        x = items[a:b]
+        x = x[np.lexsort((x["h"], x["df"]))]
+        common = x["h"][2 * x["df"].astype(np.int64) >= int(x["df"].max())]
+        for c, v in zip(_ACTIVE.names, (name, b - a, int(mix(common.astype(U)).min().view(np.int64)), np.ascontiguousarray(x["h"]).tobytes()), strict=True):
+            out[c].append(v)
+    return pa.Table.from_batches([table(out, _ACTIVE)])
 
 
 class Group:
@@ -293,7 +315,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 1_000_000) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Defined results: a null or empty text, or one without words, has no shingles and is its own component;
@@ -305,16 +327,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 1_
     docs = docs.select(F.col("doc_id").cast("long"), F.translate("text", _UPPER, _LOWER).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = range_bits(size // 7, per_range)
-    blocks = docs.mapInArrow(_blocks(bits), "p int, owners binary, sizes binary, steps binary, places binary")
-    shared = blocks.groupBy("p").applyInArrow(_share(bits), "kind int, doc_id long, sig long, n long, c long, tokens binary")
+    blocks = docs.mapInArrow(_blocks(bits), "p int, name long, owners binary, steps binary, places binary")
+    shared = blocks.groupBy("p").applyInArrow(_share(bits), _SHARED_DDL)
     shared = scratch.save(shared, "shared", codec="none", by="kind")
-    sets = shared.where("kind = 0").select("doc_id", "sig", "n")
-    active = shared.where("kind = 1").groupBy("sig").agg(F.first("n").alias("n"), F.sum("c").alias("c"), F.collect_list("tokens").alias("lists")).where("4 * c >= 3 * n")
-    active = scratch.save(active.select("sig", "n", "lists").mapInArrow(_order, "sig long, n long, key long, prefix long, tokens binary"), "active", codec="none")
+    sets = shared.where("kind = 0").select("doc_id", "sig", "n", "owner")
+    scratch.settle()
+    active = shared.where("kind = 1").select(*OWNED.names).groupBy("bucket").applyInArrow(_order, "owner long, c long, key long, tokens binary")
+    active = active.join(sets.select("owner", "sig", "n"), "owner").where("4 * c >= 3 * n").dropDuplicates(["sig"])
+    # a set's other shingles are in no other set and come before these
+    prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.col("c"))).cast("long")
+    active = scratch.save(active.select("sig", "n", "key", prefix.alias("prefix"), "tokens"), "active", codec="none")
+    scratch.drop("shared/kind=1")
+    scratch.settle()
     parts = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("parts"))
     grouped = active.join(parts, "key").withColumn("g", F.xxhash64("key", F.pmod(F.xxhash64("sig"), F.col("parts")))).select("g", "sig", "n", "prefix", "tokens")
     grouped = scratch.save(grouped, "grouped", codec="none")
+    scratch.drop("active")
     inside = scratch.save(grouped.groupBy("g").applyInArrow(_group, "g long, a long, b long, image binary"), "groups", codec="none")
+    scratch.settle()
     images = inside.where("image is not null").select("g", "image")
     # (shingle, group) once each; how many groups hold a shingle, not how many documents, makes pairs
     held = grouped.select("g", "prefix", "tokens").mapInArrow(_prefixes, "token long, g long").distinct()
