@@ -9,7 +9,8 @@ at any size of corpus:
    solved by column generation (a knapsack over the capacity prices new configurations).
 3. Whole multiples of the configurations are filled with the actual lengths of their groups, so each
    sequence's true remainder is known; large pieces left by rounding down go best-fit, longest first.
-4. Small lengths go best-fit, longest first, into the remainders, then into new sequences.
+4. The bound between large and small is that of 1/2, 1/3, 1/4 and 1/8 of the capacity which needs the fewest
+   sequences; pieces of the full capacity stand alone.  Small lengths go best-fit, longest first, into the remainders, then into new sequences.
 
 The plan is kept as runs: "ranks a..b of length l go to sequences s..s+b-a at offset o".  A distributed
 rank of each piece among those of its length (a prefix sum over salted blocks, so that a hot length is
@@ -91,9 +92,16 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         x = inverse @ counts
         ratio = np.where(enter > 1e-9, x / np.where(enter > 1e-9, enter, 1), np.inf)
         leave = int(np.argmin(ratio))
-        columns[leave] = made
+        if not np.isfinite(ratio[leave]):
+            break
+        held = basis[:, leave].copy()
         basis[:, leave] = made
-        inverse = np.linalg.inv(basis)
+        try:
+            inverse = np.linalg.inv(basis)
+        except np.linalg.LinAlgError:  # the configurations so far do
+            basis[:, leave] = held
+            break
+        columns[leave] = made
     x = np.maximum(inverse @ counts, 0)
     return [(c, float(t)) for c, t in zip(columns, x, strict=True) if t > 0]
 
@@ -125,7 +133,11 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, large: float =
         rank = stock.take(length, n)
         runs.append((length, rank, rank + n, first, offset))
 
-    big = lengths >= capacity * large
+    full = int(counts[lengths == capacity].sum())
+    if full:  # these fill a sequence each, whatever the rest does
+        put(capacity, full, 0, 0)
+        sequences = full
+    big = (lengths >= capacity * large) & (lengths < capacity)
     parts = group_sizes(lengths[big], counts[big], groups)
     if parts:
         tops = np.array([int(lengths[big][p].max()) for p in parts])
@@ -182,6 +194,20 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, large: float =
     return np.array(runs, np.int64).reshape(-1, 5), sequences
 
 
+def best_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """The plan with the fewest sequences of some bounds between small and large; no plan has fewer than all
+    ids over the capacity."""
+    least = -(-int((lengths * counts).sum()) // capacity)
+    best = None
+    for large in (1 / 2, 1 / 3, 1 / 4, 1 / 8):
+        found = plan(lengths, counts, capacity, large)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] <= least:
+            break
+    return best
+
+
 # ---------------------------------------------------------------- pieces of documents
 
 
@@ -222,7 +248,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, salts
     histogram = pieces.groupBy("length").count().collect()
     lengths = np.array([r[0] for r in histogram], np.int64)
     counts = np.array([r[1] for r in histogram], np.int64)
-    runs, _ = plan(lengths, counts, capacity)
+    runs, _ = best_plan(lengths, counts, capacity)
     schema = T.StructType([T.StructField(c, T.LongType(), False) for c in ("length", "rank_from", "rank_to", "first", "offset")])
     planned = spark.createDataFrame(pa.table([pa.array(runs[:, i]) for i in range(5)], names=schema.names), schema)
     salted = pieces.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)), F.lit(0)))
