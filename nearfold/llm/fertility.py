@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Memo, spaceless, vocabulary
-from .words import SPACES, Texts, find_words, grams, hash_words, mix, per_text, text_slices
+from .pieces import PieceStore, vocabulary
+from .words import SPACES, Texts, Words, find_words, grams, hash_words, mix, per_text, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -95,31 +94,18 @@ class Fertility:
         self.second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = self.first.vocab_size()
         self.is_byte = np.array([self.first.is_byte(i) for i in range(self.size)])
-        self.memo = Memo(self._many)
+        self.store = PieceStore(self._many, 1_500_000, self.size > 1 << 16)
 
     def _many(self, words: list[str]) -> list[list[int]]:
         second = self.second.encode_ordinary
         return [[*ids, len(second(" " + w))] for ids, w in zip(self.first.encode(words, num_threads=1), words, strict=True)]
 
-    def measure(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        n = len(texts)
-        lists = pc.ascii_split_whitespace(texts)
-        bound = np.asarray(lists.offsets.to_numpy(), np.int64)
-        bound = bound - bound[0]
-        coded = lists.flatten().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = spaceless(coded.dictionary)
-        values = self.memo.get(words)
-        if "" in words:  # beside leading or trailing white space
-            values[words.index("")] = b"\0\0\0\0"
-        pool = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(size) - size
-        second = pool[begin + size - 1] if len(values) else pool
-        count = size[which] - 1
-        end = np.cumsum(count)
-        ids = pool[np.repeat(begin[which] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
+    def measure(self, t: Texts, w: Words) -> dict[str, np.ndarray]:
+        n, bound = len(t), w.bound
+        begin, size, which = self.store.lookup(t, w)
+        second = self.store.pool[begin + size - 1].astype(np.int64)
+        ids, end = self.store.laid_out(begin, size - 1, which)
+        ids = ids.astype(np.int64)
         ends = np.concatenate([[0], end])[bound]
         tokens = np.diff(ends)
         key = np.repeat(np.arange(n), tokens) * self.size + ids
@@ -133,9 +119,8 @@ class Fertility:
         return {"tokens": tokens, "second": np.diff(twos), "bytes": byte, "entropy": entropy}
 
 
-def base_counts(t: Texts) -> dict[str, np.ndarray]:
+def base_counts(t: Texts, w: Words) -> dict[str, np.ndarray]:
     n = len(t)
-    w = find_words(t)
     words = np.diff(w.bound)
     in_word = ~np.isin(t.buf, np.frombuffer(SPACES, np.uint8))
     chars = per_text(in_word & ((t.buf & 0xC0) != 0x80), t)
@@ -164,56 +149,66 @@ def base_counts(t: Texts) -> dict[str, np.ndarray]:
 _made: dict[tuple[str, str], Fertility] = {}
 
 
-def _judge(first: str, second: str, bands: dict[str, Band], lang_at: int):
+def verdicts(fertility: Fertility, t: Texts, langs: pa.Array, bands: dict[str, Band]) -> list[pa.Array]:
+    """The measures of some texts."""
+    w = find_words(t)
+    b = base_counts(t, w)
+    m = fertility.measure(t, w)
+    scripts = np.array(SCRIPTS, object)[b["scripts"].argmax(axis=1)]
+    scripts[b["scripts"].sum(axis=1) == 0] = "other"
+    band = [x if x in bands else s for x, s in zip(langs.to_pylist(), scripts, strict=True)]
+    low = {f: np.array([getattr(bands[x], f) for x in band]) for f in Band.__dataclass_fields__}
+    tokens = np.maximum(m["tokens"], 1)
+    chars, chars2 = b["word_chars"] / tokens, b["word_chars"] / np.maximum(m["second"], 1)
+    share = m["bytes"] / tokens
+    long = m["tokens"] >= low["least_tokens"]
+    evenness = m["entropy"] / np.maximum(np.log2(np.maximum(tokens, 2)), 1)
+    good = np.where(
+        long,
+        (chars >= low["chars_low"]) & (chars <= low["chars_high"]) & (chars2 >= low["second_low"]) & (share <= low["bytes_high"]) & (m["entropy"] >= low["entropy_low"]),
+        evenness >= low["short_evenness"],
+    )
+    failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
+    made = [b["n_words"], b["word_chars"], b["n_symbols"], b["n_dup_lines"], b["n_repeat_words"], m["tokens"], chars, chars2, share, m["entropy"]]
+    return [pa.array(x) for x in made] + [pa.array(band), pa.array(failed), pa.array(good & ~failed)]
+
+
+def _over(first: str, second: str, bands: dict[str, Band], text_at: int, lang_at: int, keep_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (first, second) not in _made:  # one memo for each worker process
+        if (first, second) not in _made:  # one store of words for each worker process
             _made[first, second] = Fertility(first, second)
-        fertility = _made[first, second]
         for batch in batches:
-            texts = batch.column(0)
-            langs = batch.column(1)
-            for t in text_slices(texts, 4 << 20):
-                n = len(t)
-                b = base_counts(t)
-                part = pc.fill_null(texts.slice(t.first, n).cast(pa.large_string()), "")
-                m = fertility.measure(part)
-                scripts = np.array(SCRIPTS, object)[b["scripts"].argmax(axis=1)]
-                scripts[b["scripts"].sum(axis=1) == 0] = "other"
-                own = langs.slice(t.first, n).to_pylist()
-                band = [x if x in bands else s for x, s in zip(own, scripts, strict=True)]
-                low = {f: np.array([getattr(bands[x], f) for x in band]) for f in Band.__dataclass_fields__}
-                tokens = np.maximum(m["tokens"], 1)
-                chars, chars2 = b["word_chars"] / tokens, b["word_chars"] / np.maximum(m["second"], 1)
-                share = m["bytes"] / tokens
-                long = m["tokens"] >= low["least_tokens"]
-                evenness = m["entropy"] / np.maximum(np.log2(np.maximum(tokens, 2)), 1)
-                good = np.where(
-                    long,
-                    (chars >= low["chars_low"]) & (chars <= low["chars_high"]) & (chars2 >= low["second_low"]) & (share <= low["bytes_high"]) & (m["entropy"] >= low["entropy_low"]),
-                    evenness >= low["short_evenness"],
-                )
-                failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
-                made = [b["n_words"], b["word_chars"], b["n_symbols"], b["n_dup_lines"], b["n_repeat_words"], m["tokens"], chars, chars2, share, m["entropy"]]
-                arrays = [pa.array(x) for x in made] + [pa.array(band), pa.array(failed), pa.array(good & ~failed)]
-                rest = [batch.column(j).slice(t.first, n) for j in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, *arrays], names=[f"c{j}" for j in range(len(rest))] + _NAMES)
+            for t in text_slices(batch.column(text_at), 2 << 20):
+                part = batch.slice(t.first, len(t))
+                langs = part.column(lang_at) if lang_at >= 0 else pa.nulls(len(t), pa.string())
+                found = verdicts(_made[first, second], t, langs, bands)
+                if keep_only:
+                    yield part.filter(found[-1])
+                else:
+                    rest = [c for j, c in enumerate(part.columns) if j < part.num_columns - 2]
+                    yield pa.RecordBatch.from_arrays([*rest, *found], names=[f"c{j}" for j in range(len(rest))] + _NAMES)
 
     return run
 
 
-def judge(docs: DataFrame, carry: list[str], first: str = "piece_bpe_32k.model", second: str = "byte_bpe_multi_50k.tiktoken", bands: dict[str, Band] | None = None) -> DataFrame:
+FIRST, SECOND = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
+
+
+def judge(docs: DataFrame, carry: list[str], first: str = FIRST, second: str = SECOND, bands: dict[str, Band] | None = None) -> DataFrame:
     """The carried columns and the measures of every row."""
     carry = [c for c in carry if c not in _NAMES]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("text").alias("__text"), lang.alias("__lang"), *carry)
-    schema = ", ".join(f"c{j} {t}" for j, t in enumerate(docs.select(*carry).schema[c].dataType.simpleString() for c in carry))
-    out = rows.mapInArrow(_judge(first, second, bands or BANDS, 1), f"{schema}, {MEASURES}")
+    rows = docs.select(*carry, F.col("text").alias("__text"), lang.alias("__lang"))
+    schema = "".join(f"c{j} {docs.schema[c].dataType.simpleString()}, " for j, c in enumerate(carry))
+    out = rows.mapInArrow(_over(first, second, bands or BANDS, len(carry), len(carry) + 1, False), schema + MEASURES)
     return out.toDF(*carry, *_NAMES)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs.select(*docs.columns), [c for c in docs.columns]).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, first: str = FIRST, second: str = SECOND, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, as they are."""
+    names = docs.columns
+    lang_at = names.index("lang") if "lang" in names else -1
+    return docs.mapInArrow(_over(first, second, bands or BANDS, names.index("text"), lang_at, True), docs.schema)
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ encoded whole.  What pieces have become is remembered by their hash and length,
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,53 +26,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def spaceless(pieces: pa.Array) -> list[str]:
-    """Strings that hold no space, as a list: joined and cut again, far quicker than one object at a time."""
-    if not len(pieces):
-        return []
-    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), pa.scalar(" ", pieces.type))
-    return joined[0].as_py().split(" ")
-
-
-class Memo:
-    """Piece of text -> its numbers as little-endian unsigned 32-bit integers.
-
-    Two generations of at most `limit` pieces each: what the newer lacks is looked up in the older and moved
-    up, and when the newer is full it becomes the older.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 350_000):
-        self.encode, self.limit = encode, limit
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def get(self, pieces: list[str]) -> list[bytes]:
-        known, older = self.known, self.older
-        out = list(map(known.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if not missing:
-            return out
-        if len(known) > self.limit:
-            self.known, self.older = {}, known
-            known, older = self.known, self.older
-        new = []
-        for i in missing:
-            p = pieces[i]
-            if p not in known:
-                if (x := older.get(p)) is None:
-                    new.append(p)
-                else:
-                    known[p] = x
-        new = list(dict.fromkeys(new))
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for p, ids in zip(part, self.encode(part), strict=True):
-                known[p] = array("I", ids).tobytes()
-        for i in missing:
-            out[i] = known[pieces[i]]
-        return out
-
-
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,!?;:")] = True
 _LETTER = np.zeros(256, bool)
@@ -83,6 +35,74 @@ _WHITE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+
+class PieceStore:
+    """Byte strings by hash and length -> their numbers, in flat arrays.
+
+    encode gives the numbers of new ones.  When there are more than `most`, all are forgotten and learnt anew
+    as they come.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, wide: bool = False):
+        self.encode, self.most, self.dtype = encode, most, np.uint32 if wide else np.uint16
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 16, self.dtype)
+        self.used = 0
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        flat: list[int] = []
+        size = np.empty(len(keys), np.int32)
+        at = 0
+        for k in range(0, len(texts), 20_000):
+            for ids in self.encode(texts[k : k + 20_000]):
+                flat += ids
+                size[at] = len(ids)
+                at += 1
+        need = self.used + len(flat)
+        if need > len(self.pool):
+            grown = np.zeros(max(need, len(self.pool) * 3 // 2), self.dtype)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : need] = flat
+        begin = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used = need
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.begin = np.insert(self.begin, where, begin)
+        self.size = np.insert(self.size, where, size)
+
+    def lookup(self, t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of the numbers of each distinct piece, and which of those each piece is."""
+        h = hash_words(t, w)
+        h ^= mix((w.end - w.start).astype(np.uint64))
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        if len(self.keys):
+            new = np.flatnonzero((at >= len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys))
+        else:
+            new = np.arange(len(keys))
+        if len(new):
+            if len(self.keys) + len(new) > self.most:
+                self.forget()
+                new = np.arange(len(keys))
+            s, e = w.start[first[new]].tolist(), w.end[first[new]].tolist()
+            self._learn(keys[new], [t.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        return self.begin[at], self.size[at], which
+
+    def laid_out(self, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces end to end, and where each piece's end."""
+        count = size[which]
+        end = np.cumsum(count, dtype=np.int64)
+        return self.pool[np.repeat(begin[which] - (end - count), count) + np.arange(end[-1] if len(end) else 0)], end
+
+
 _encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
@@ -104,17 +124,10 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.spaced, self.most = spaced, most
+        self.spaced = spaced
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.whole = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.used = 0
+        self.store = PieceStore(self._many, most, self.tokenizer.get_vocab_size() > 1 << 16)
 
     def _many(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,30 +159,6 @@ class TextEncoder:
         bound = np.searchsorted(at, t.offs)
         return Words(at, end, np.repeat(np.arange(len(t)), np.diff(bound)), bound)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._forget()
-        flat: list[int] = []
-        size = np.empty(len(keys), np.int32)
-        at = 0
-        for k in range(0, len(texts), 20_000):
-            for ids in self._many(texts[k : k + 20_000]):
-                flat += ids
-                size[at] = len(ids)
-                at += 1
-        need = self.used + len(flat)
-        if need > len(self.pool):
-            grown = np.zeros(max(need, len(self.pool) * 3 // 2), self.pool.dtype)
-            grown[: self.used] = self.pool[: self.used]
-            self.pool = grown
-        self.pool[self.used : need] = flat
-        begin = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used = need
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.begin = np.insert(self.begin, where, begin)
-        self.size = np.insert(self.size, where, size)
-
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of texts: place of the first, ids laid end to end, len + 1 bounds."""
         for t in text_slices(texts, 3 << 20):
@@ -180,22 +169,8 @@ class TextEncoder:
         if not self.spaced:
             t = Texts(_LOWER[t.buf], t.offs, t.first)
         w = self._cut(t)
-        h = hash_words(t, w)
-        h ^= mix((w.end - w.start).astype(np.uint64))
-        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero((at >= len(self.keys)) | (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] != keys) if len(self.keys) else np.ones(len(keys), bool))
-        if len(new):
-            if len(self.keys) + len(new) > self.most:  # all of this run is learnt anew
-                self._forget()
-                new = np.arange(len(keys))
-            raw, s, e = t.buf, w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            self._learn(keys[new], [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        begin, size = self.begin[at], self.size[at]
-        count = size[which]
-        end = np.cumsum(count, dtype=np.int64)
-        ids = self.pool[np.repeat((begin[which] - (end - count)), count) + np.arange(end[-1] if len(end) else 0)]
+        begin, size, which = self.store.lookup(t, w)
+        ids, end = self.store.laid_out(begin, size, which)
         bound = np.concatenate([[0], end])[w.bound]
         if len(odd):  # put the ids of whole texts in place
             parts = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
