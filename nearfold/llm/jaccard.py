@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blobs import MOST_DOCS, OWNED, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small
 from .words import Words, _short, find_words, grams, hash_words, mix, text_slices
 
 K = 5
@@ -368,6 +368,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 2_
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, with the columns of docs."""
     found = jaccard_components(spark, docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
+    found = small(Scratch(spark, "kept").save(found, "kept"))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi").select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small
 from .words import WORD
 
 WEIGHTS = (3, 1, 2)
@@ -106,8 +106,9 @@ def emit_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are drawn together under one count, so a doc_id should name one row.
     """
     drawn = mix_sources(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    drawn = drawn.select(F.col("doc_id").alias("__id"), "__copies")
-    times = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")), "inner").where("__copies > 0")
+    drawn = drawn.select(F.col("doc_id").alias("__id"), "__copies").where("__copies > 0")
+    drawn = small(Scratch(spark, "drawn").save(drawn, "drawn"))
+    times = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
     return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
 
 
