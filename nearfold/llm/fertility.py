@@ -3,7 +3,8 @@
 A text's words are encoded with public vocabularies.  Characters per token, the share of byte-fallback
 tokens and the entropy of its tokens must lie in the band of its language or, where the language has none,
 of its script.  Text that a vocabulary cuts into far too many tokens, into raw bytes, or into a few tokens
-over and over is rejected.
+over and over is rejected, and so is text with too many symbols.  A short text is held to the same bands with a
+margin.
 
 Defined results: a null or empty text has no words, fails the base rules (under 10 words) and measures 0;
 a null or unknown lang takes the band of the script; repeated rows are judged alike; an empty table gives
@@ -25,6 +26,8 @@ from .words import SPACES, Texts, Words, find_words, grams, hash_words, mix, per
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
+#: Tokens of a short text that needn't fit the band, at most this share of them; bytes that needn't; bits of entropy.
+SPARE_TOKENS, SPARE_SHARE, SPARE_BYTES, SPARE_ENTROPY = 25, 0.4, 4, 0.35
 WINDOW = 5
 
 
@@ -33,14 +36,17 @@ class Band:
     """What is accepted; a measure outside rejects.
 
     Entropy may lie `entropy_below` bits under what clean text of as many tokens has, and `entropy_above` over it.
-    The ratios of a text of under `least_tokens` tokens scatter too widely to judge; such a text needs only
-    `short_evenness`, its entropy over that of as many different tokens.
+    The ratios of a text of under `least_tokens` tokens scatter, since a number or a secret in it weighs much; the
+    bounds give way there by SPARE_TOKENS, SPARE_BYTES and SPARE_ENTROPY, which weigh the more the fewer tokens there
+    are.  Such a text needs `short_evenness` besides, its entropy over that of as many different tokens, in place of
+    `entropy_low`.
     """
 
     chars_low: float = 1.4
     chars_high: float = 12.0
     second_low: float = 1.2
     bytes_high: float = 0.2
+    symbols_high: float = 0.1
     entropy_low: float = 4.9
     entropy_below: float = 2.5
     entropy_above: float = 2.5
@@ -175,16 +181,17 @@ def verdicts(fertility: Fertility, t: Texts, langs: pa.Array, bands: dict[str, B
     long = m["tokens"] >= low["least_tokens"]
     evenness = m["entropy"] / np.maximum(np.log2(np.maximum(tokens, 2)), 1)
     off = m["entropy"] - usual_entropy(tokens)
-    good = np.where(
-        long,
-        (chars >= low["chars_low"])
+    spare = np.clip(5 * (1 - tokens / low["least_tokens"]), 0, 1)  # in full under four fifths of least_tokens
+    held = lambda n: n - np.minimum(SPARE_TOKENS * spare, SPARE_SHARE * n)
+    good = (
+        (b["word_chars"] >= low["chars_low"] * held(m["tokens"]))
         & (chars <= low["chars_high"])
-        & (chars2 >= low["second_low"])
-        & (share <= low["bytes_high"])
-        & (m["entropy"] >= low["entropy_low"])
-        & (off >= -low["entropy_below"])
-        & (off <= low["entropy_above"]),
-        evenness >= low["short_evenness"],
+        & (b["word_chars"] >= low["second_low"] * held(m["second"]))
+        & (m["bytes"] - SPARE_BYTES * spare <= low["bytes_high"] * tokens)
+        & (b["n_symbols"] <= low["symbols_high"] * b["word_chars"])
+        & (off >= -low["entropy_below"] - SPARE_ENTROPY * spare)
+        & (off <= low["entropy_above"] + SPARE_ENTROPY * spare)
+        & np.where(long, m["entropy"] >= low["entropy_low"], evenness >= low["short_evenness"])
     )
     failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
     made = [b["n_words"], b["word_chars"], b["n_symbols"], b["n_dup_lines"], b["n_repeat_words"], m["tokens"], chars, chars2, share, m["entropy"]]

@@ -49,3 +49,24 @@ def test_entropy_has_two_sides(vocabularies):
     pieces = [x[1:] for x in map(vocabularies.first.id_to_piece, ids) if x[0] == "▁" and x[1:].isascii() and x[1:].isalpha() and len(x) > 4]
     (r,) = judged(vocabularies, [" ".join(pieces[:2000])], ["en"])
     assert not r["base_failed"] and r["token_entropy"] > ft.usual_entropy(r["n_tokens"]) + 1 and not r["kept"]
+
+
+SHORT_JUNK = [
+    "For&&& thstrend&&& ouedst$$$ eres*** than.\nThndating.$$$\nThe and attion to thanedble the, anea. Eriner thanea.",
+    "Les, Les, la la ouque ouque éoué éoué eaument eaument lepavi lepavi les, les, leeau leeau",
+    " ".join(chr(0x10400 + 3 * i) * 2 for i in range(10)),  # the vocabulary has bytes only for these
+    " ".join("xq" + c + "jzkv" + c for c in "abcdefghij"),
+]
+SHORT_CLEAN = [
+    "The children walked along the river and talked about the long summer that lay behind them.",
+    "Please send the report to the office before the end of the week, and call if anything is missing.",
+    "The children walked along the river and talked about the long summer 😀 that lay behind them.",
+]
+
+
+@pytest.mark.parametrize("lang", ["en", None])
+def test_short_texts(vocabularies, lang):
+    junk = judged(vocabularies, SHORT_JUNK, [lang] * len(SHORT_JUNK))
+    assert [(r["base_failed"], r["kept"], r["n_tokens"] < 100) for r in junk] == [(False, False, True)] * len(junk)
+    clean = judged(vocabularies, SHORT_CLEAN, [lang] * len(SHORT_CLEAN))
+    assert all(r["n_tokens"] < 100 and r["kept"] for r in clean)
