@@ -7,12 +7,12 @@ holds the key can go back.  White space and punctuation inside a value stay.
 
 | kind | accepted | kept |
 |---|---|---|
-| card | 13 to 19 digits, single spaces or dashes inside, Luhn digit right | length, Luhn |
+| card | 13 to 19 digits, single spaces or dashes inside, other numbers beside, Luhn digit right | length, Luhn |
 | iban | country, check digits right modulo 97 | country, classes of characters, check |
 | ssn | 3-2-4 digits in issued ranges | those ranges |
 | phone | + and country code, 7 to 14 more digits | country code |
 | ip | four numbers up to 255 | that |
-| date | a day of 1900 to 2099 as y-m-d, d.m.y or m/d/y | order, padding, range |
+| date | a day of 1900 to 2099 as y-m-d, d.m.y or m/d/y, a time after T | order, padding, range |
 | email | local@host.tld | host, classes of the local part's characters |
 | secret | 32 hexadecimal digits or more assigned to a key, token, secret or password | length, case |
 
@@ -112,14 +112,63 @@ def by_class(p: Permutation, text: str, tweak: str, back: bool = False, classes:
     return "".join(reversed(out))
 
 
-def card(p: Permutation, m: re.Match, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
-    if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
-        return None
-    n = len(digits) - 1
-    fit = lambda x: len(set(f"{x:0{n}d}" + _luhn_digit(f"{x:0{n}d}"))) > 1
-    body = f"{p(int(digits[:-1]), 10**n, 'card', fit, back):0{n}d}"
-    return _refill(m[0], body + _luhn_digit(body))
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
+
+
+#: Digits of the groups that cards are printed in; one group of all digits is such too.
+_PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 3, 3, 3), (4, 6, 4)}
+
+
+def _spans(groups: list[str]) -> list[tuple[int, int]]:
+    """Neighbouring groups of 13 to 19 digits, the likeliest first: as printed, then the longest, then the leftmost.
+
+    Groups of under three digits that don't end a card count only where the whole run is one.
+    """
+    found = []
+    for a in range(len(groups)):
+        n = 0
+        for b in range(a + 1, len(groups) + 1):
+            n += len(groups[b - 1])
+            if n > 19:
+                break
+            sizes = tuple(map(len, groups[a:b]))
+            printed = len(sizes) == 1 or sizes in _PRINTED
+            if n >= 13 and (printed or min(sizes[:-1]) >= 3 or b - a == len(groups)):
+                found.append((not printed, -n, a, b))
+    return [(a, b) for _, _, a, b in sorted(found)]
+
+
+def cards(p: Permutation, m: re.Match, back: bool) -> list[tuple[int, int, str]]:
+    """Start, end and pseudonym of the cards in a run of groups of digits.
+
+    A pseudonym beside other digits must not let a likelier span read as a card, else it couldn't be told on the
+    way back; where it would, the walk goes on, so it differs from that of the number alone.
+    """
+    at = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"\d+", m[0])]
+    groups = [m.string[a:b] for a, b in at]
+    spans = _spans(groups)
+    taken: list[tuple[int, int]] = []
+    made = []
+    for k, (a, b) in enumerate(spans):
+        digits = "".join(groups[a:b])
+        if any(a < d and c < b for c, d in taken) or not _is_card(digits):
+            continue
+        over = [(c, d) for c, d in spans[:k] if a < d and c < b and not any(c < f and e < d for e, f in taken)]
+        n = len(digits) - 1
+
+        def fit(x: int, a=a, b=b, over=over, n=n) -> bool:
+            new = (body := f"{x:0{n}d}") + _luhn_digit(body)
+            if len(set(new)) == 1:
+                return False
+            it = iter(new)
+            mine = groups[:a] + ["".join(next(it) for _ in g) for g in groups[a:b]] + groups[b:]
+            return not any(_is_card("".join(mine[c:d])) for c, d in over)
+
+        body = f"{p(int(digits[:-1]), 10**n, 'card', fit, back):0{n}d}"
+        taken.append((a, b))
+        made.append((at[a][0], at[b - 1][1], _refill(m.string[at[a][0] : at[b - 1][1]], body + _luhn_digit(body))))
+    return made
 
 
 def _mod97(text: str) -> int:
@@ -209,13 +258,13 @@ def secret(p: Permutation, m: re.Match, back: bool) -> str | None:
 
 
 #: In order; a later kind doesn't look into what an earlier one took.
-KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | None]]] = {
+KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | list[tuple[int, int, str]] | None]]] = {
     "email": (r"(?<![\w.+-])(?P<local>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", email),
     "secret": (r"(?i)(?P<head>\b(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<body>[0-9a-f]{32,})(?![0-9a-z])", secret),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", iban),
     "phone": (r"(?<![\w+])\+(?P<code>1|7|[2-9]\d{1,2})(?P<rest>[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,5}){1,6})(?!\w)", phone),
-    "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
-    "date": (r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-./])(?P<b>\d{1,2})(?P=s)(?P<c>\d{4}|\d{1,2})(?![\w/-])(?!\.\d)", date),
+    "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", cards),
+    "date": (r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-./])(?P<b>\d{1,2})(?P=s)(?P<c>\d{4}|\d{1,2})(?:(?=[Tt]\d\d:?\d\d)|(?![\w/-]))(?!\.\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)", ip),
 }
@@ -231,8 +280,10 @@ def pseudonymise(text: str, p: Permutation, back: bool = False) -> tuple[str, di
             if any(a < m.end() and m.start() < b for a, b, _ in taken):
                 continue
             made = make(p, m, back)
-            if made is not None:
-                taken.append((m.start(), m.end(), made))
+            if isinstance(made, str):
+                made = [(m.start(), m.end(), made)]
+            for one in made or []:
+                taken.append(one)
                 counts[kind] = counts.get(kind, 0) + 1
     out, at = [], 0
     for a, b, made in sorted(taken):
