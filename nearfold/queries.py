@@ -122,6 +122,21 @@ def subset_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, (c("a.path") == c("b.path")) & (c("a.id") < c("b.id")) & rel).select(c("a.id").alias("a"), c("b.id").alias("b"))
 
 
+_ALL_RANGES = "(select 'f' || user_id % 20 || '/' || event_id // 400 as path, (event_id % 7)::int as s, (event_id % 7 + event_id % 5)::int as e, event_id as id from events)"
+
+
+@query(f"""select a.id as a, b.id as b from {_ALL_RANGES} a join {_ALL_RANGES} b on a.path = b.path and a.id < b.id
+where ((a.s >= b.s and a.e <= b.e) or (b.s >= a.s and b.e <= a.e)) and not (a.s = b.s and a.e = b.e)""")
+def subset_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All events; a path has those of a block of 400 ids, so no group grows with the table."""
+    c = F.col
+    start = c("event_id") % 7
+    path = F.concat(F.lit("f"), c("user_id") % 20, F.lit("/"), F.floor(c("event_id") / 400))
+    r = _table(spark, sf, "events").select(path.alias("path"), start.cast("int").alias("s"), (start + c("event_id") % 5).cast("int").alias("e"), c("event_id").alias("id"))
+    rel = X.is_subset(c("a.path"), c("a.s"), c("a.e"), c("b.path"), c("b.s"), c("b.e"))
+    return r.alias("a").join(r.alias("b"), (c("a.path") == c("b.path")) & (c("a.id") < c("b.id")) & rel).select(c("a.id").alias("a"), c("b.id").alias("b"))
+
+
 # ---------------------------------------------------------------- files and ignore rules
 
 _EXT_VALUES = ", ".join(f"('{e}', '{k}')" for k, es in EXTENSIONS.items() for e in es.split())
