@@ -376,6 +376,14 @@ def skip_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return skiplist.add_skips(once, fresh, "later").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select sha1(text) as sha, count(*) as n from (select text from benchmark union select text from documents where text is not null) group by 1")
+def skip_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, added twice."""
+    fresh = _chunks(spark, sf)
+    once = skiplist.add_skips(_skips(spark, sf).dropDuplicates(["sha"]), fresh, "now")
+    return skiplist.add_skips(once, fresh, "later").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- clusters
 
 
