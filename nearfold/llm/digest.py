@@ -1,7 +1,8 @@
 """Improbable-feature digests: entropy-ranked byte windows in chained Bloom filters.
 
-Every window of 32 bytes has an entropy, and every entropy a rank: the rarer that entropy is in text, the
-lower.  In each stretch of 32 consecutive windows (fewer at the ends of the text) the leftmost of
+Every window of 32 bytes has an entropy, and every entropy a rank: the fewer windows of the corpus have it, the
+lower.  The counts are over all windows of all documents; digests can be compared if they were made under one
+table of ranks, which has a version.  In each stretch of 32 consecutive windows (fewer at the ends of the text) the leftmost of
 lowest rank scores a point; a window with at least 8 points is a feature.  Features go in order into Bloom filters of 2048 bits, 5 bits each, at most
 160 to a filter.  Two digests are compared filter by filter: the bits shared beyond what chance gives, over
 the most that could be shared.
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import _BYTE, _INV, _POW, U, _poly, mix
+from .words import _ODD, U, hash_bytes, mix
 
 SIZE = 32
 STRETCH = 32
@@ -37,9 +38,24 @@ _ONE = 1 << 20
 _F = np.array([0, *(round(c * math.log2(c) * _ONE) for c in range(1, SIZE + 2))], np.int64)
 _TOP = SIZE * _ONE * (SIZE.bit_length() - 1)
 _REMOVE, _ADD = (_F[:-1] - _F[1:])[:SIZE], (_F[1:] - _F[:-1])[:SIZE]
-#: Rank of an entropy, in thousandths of its maximum: prose lies around 650, with a spread of about 60.
-#: Under 100 a window is a run of a few bytes; it says nothing and is never a feature.
-_RANK = np.array([1 << 20 if e < 100 else round(10_000 * math.exp(-(((e - 650) / 60) ** 2) / 2) + abs(e - 650) / 650) for e in range(1001)], np.int64)
+#: Under this entropy, in thousandths, a window is a run of a few bytes; it says nothing and is never a feature.
+_WEAK = 100
+_NEVER = 1 << 20
+_NONE = 1 << 60
+
+
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Ranks of the entropies 0 to 1000 from the number of windows that have each: the rarest first, the lower
+    of equally rare ones first."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+    rank[:_WEAK] = _NEVER
+    return rank
+
+
+def version_of(ranks: np.ndarray) -> str:
+    """Names a table of ranks; only digests made under one table can be compared."""
+    return hashlib.sha256(ranks.astype("<i8").tobytes()).hexdigest()[:16]
 
 
 def _entropies(buf: np.ndarray) -> np.ndarray:
@@ -58,46 +74,81 @@ def _entropies(buf: np.ndarray) -> np.ndarray:
     return ((_TOP - total) * 1000 // _TOP).clip(0, 1000)
 
 
-def _features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lowest(low: np.ndarray) -> np.ndarray:
+    """The least of every STRETCH consecutive values."""
+    width = 1
+    while width < STRETCH:
+        low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
+        width *= 2
+    return low[low < _NONE] & 0xFFFFFFFF
+
+
+def _hashed(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at the given places."""
+    eight = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), strides=(1,))
+    h = np.full(len(at), SIZE, U)
+    for k in range(0, SIZE, 8):
+        h = mix(h * _ODD ^ eight[at + k])
+    return h
+
+
+def _features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features of texts laid end to end, and the text of each, in order."""
     n = len(buf)
     if n < SIZE:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    key = _RANK[_entropies(buf)]
+    key = ranks[_entropies(buf)]
     doc = np.repeat(np.arange(len(starts)), ends - starts)
     at = np.flatnonzero(doc[: n - SIZE + 1] == doc[SIZE - 1 :])
     key = key[at]
     # a gap between texts keeps each stretch within one
     gap = STRETCH - 1
-    low = np.full(len(at) + gap * (len(starts) + 1), 1 << 60, np.int64)
-    low[np.arange(len(at)) + gap * (doc[at] + 1)] = np.where(key < 1 << 20, key << 32 | at, 1 << 60)
-    width = 1
-    while width < STRETCH:
-        low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
-        width *= 2
-    points = np.bincount(low[low < 1 << 60] & 0xFFFFFFFF, minlength=n)
+    low = np.full(len(at) + gap * (len(starts) + 1), _NONE, np.int64)
+    low[np.arange(len(at)) + gap * (doc[at] + 1)] = np.where(key < _NEVER, key << 32 | at, _NONE)
+    points = np.bincount(_lowest(low), minlength=n)
     chosen = np.flatnonzero(points >= POINTS)
-    v = _BYTE[buf]
-    v *= _POW[:n]
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum(v, out=total[1:])
-    return mix((total[chosen + SIZE] - total[chosen]) * _INV[chosen]), doc[chosen]
+    return _hashed(buf, chosen), doc[chosen]
 
 
-def digests(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features in each filter, filters) of every text."""
-    hashes: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
+def _long_features(buf: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Hashes of the features of one text, as _features has them, part by part.
+
+    A part takes the stretches that end in it, so it also looks at the windows just before it.
+    """
+    m = len(buf) - SIZE + 1
+    gap = STRETCH - 1
+    points = np.zeros(m, np.uint8)
+    for a in range(0, m, _PART):
+        b = min(m, a + _PART)
+        first = max(0, a - gap)
+        key = ranks[_entropies(buf[first : b + SIZE - 1])]
+        head, tail = gap - (a - first), gap if b == m else 0
+        low = np.full(head + b - first + tail, _NONE, np.int64)
+        low[head : head + b - first] = np.where(key < _NEVER, key << 32 | np.arange(b - first), _NONE)
+        points[first:b] += np.bincount(_lowest(low), minlength=b - first).astype(np.uint8)
+    return _hashed(buf, np.flatnonzero(points >= POINTS))
+
+
+def count_entropies(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each entropy."""
+    counts = np.zeros(1001, np.int64)
+    for _, buf, starts, ends in _runs(texts):
+        if starts is None:
+            for a in range(0, len(buf) - SIZE + 1, _PART):
+                counts += np.bincount(_entropies(buf[a : a + _PART + SIZE - 1]), minlength=1001)
+        elif len(buf) >= SIZE:
+            doc = np.repeat(np.arange(len(starts)), ends - starts)
+            counts += np.bincount(_entropies(buf)[doc[: len(buf) - SIZE + 1] == doc[SIZE - 1 :]], minlength=1001)
+    return counts
+
+
+def _runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Place of the first, bytes, starts and ends of short texts laid end to end; a very long one comes alone,
+    without starts and ends."""
     k = 0
     while k < len(texts):
-        if len(texts[k]) > _PART:  # a very long text, in stretches that overlap by what a window needs
-            whole = np.frombuffer(texts[k], np.uint8)
-            for a in range(0, max(1, len(whole) - SIZE - STRETCH + 2), _PART):
-                part = whole[a : a + _PART + SIZE + STRETCH - 2]
-                h, d = _features(part, np.array([0]), np.array([len(part)]))
-                hashes.append(h)
-                owners.append(d + k)
+        if len(texts[k]) > _PART:
+            yield k, np.frombuffer(texts[k], np.uint8), None, None
             k += 1
             continue
         j, size = k, 0
@@ -105,16 +156,28 @@ def digests(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             size += len(texts[j])
             j += 1
         ends = np.cumsum([len(x) for x in texts[k:j]])
-        h, d = _features(np.frombuffer(b"".join(texts[k:j]), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        yield k, np.frombuffer(b"".join(texts[k:j]), np.uint8), np.concatenate([[0], ends[:-1]]), ends
+        k = j
+
+
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features in each filter, filters) of every text."""
+    hashes: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    for k, buf, starts, ends in _runs(texts):
+        if starts is None:
+            h = _long_features(buf, ranks)
+            d = np.zeros(len(h), np.int64)
+        else:
+            h, d = _features(buf, starts, ends, ranks)
         hashes.append(h)
         owners.append(d + k)
-        k = j
     h = np.concatenate(hashes) if hashes else np.zeros(0, U)
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     count = np.bincount(owner, minlength=len(texts))
     bare = [i for i in np.flatnonzero(count == 0) if texts[i]]
     if bare:
-        h = np.concatenate([h, mix(np.array([_poly(np.frombuffer(texts[i], np.uint8)) ^ len(texts[i]) for i in bare], U))])
+        h = np.concatenate([h, np.array([hash_bytes(texts[i]) for i in bare], U)])
         owner = np.concatenate([owner, bare])
         order = np.argsort(owner, kind="stable")
         h, owner = h[order], owner[order]
@@ -164,15 +227,39 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 # ---------------------------------------------------------------- tables
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every row."""
+def entropy_counts(docs: DataFrame) -> np.ndarray:
+    """How many windows of all texts have each entropy, 0 to 1000."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1001, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                counts += count_entropies(pc.drop_null(batch.column(0).slice(k, 512).cast(pa.large_string())).cast(pa.large_binary()).to_pylist())
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["e", "n"])
+
+    # at most 1001 rows
+    found = docs.select("text").mapInArrow(run, "e int, n long").groupBy("e").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1001, np.int64)
+    for e, n in found:
+        counts[e] = n
+    return counts
+
+
+def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, fingerprint) of every row; ranks are those of docs if none are given.
+
+    Defined results: a null text is empty and has the fingerprint ""; a null doc_id stays null; repeated rows have
+    equal fingerprints; an empty table gives no rows; other columns, whatever their names, are ignored.
+    """
+    ranks = ranks_of(entropy_counts(docs)) if ranks is None else ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = pc.fill_null(part.column(1).cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_text(d) for d in digests(texts)], pa.string())], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_text(d) for d in digests(texts, ranks)], pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -201,10 +288,11 @@ def _deal(cuts: np.ndarray, lead: dict[int, int]):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Digests and likenesses of rows in order of (shard, ahead, doc_id, text)."""
     held: list[tuple[int | None, str]] = []
     size = 0
+    version = version_of(ranks)
 
     def flush(after: str | None) -> pa.RecordBatch:
         """All held rows if what follows them is given; else all but the last, which stays."""
@@ -216,8 +304,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(texts[i])
             edited.append(texts[i][: n - n // 4] + texts[i + 1][: n // 4])
         raw = [x.encode() for x in edited]
-        made = digests([t.encode() for t in texts])
-        changed = digests(raw)
+        made = digests([t.encode() for t in texts], ranks)
+        changed = digests(raw, ranks)
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array([d for d, _ in own], pa.int64()),
@@ -227,8 +315,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([to_text(x) for x in changed], pa.string()),
                 pa.array([likeness(made[i], changed[i]) for i in range(len(own))], pa.float64()),
                 pa.array([likeness(made[i], made[i + 1]) for i in range(len(own))], pa.float64()),
+                pa.array([version] * len(own), pa.string()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "ranks"],
         )
         held = held[len(own) :]
         size = sum(len(t) for _, t in held)
@@ -251,13 +340,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush(None)
 
 
-def compare_neighbours(docs: DataFrame, rows: int = 2048, most: int = 20_000) -> DataFrame:
+def compare_neighbours(docs: DataFrame, rows: int = 2048, most: int = 20_000, ranks: np.ndarray | None = None) -> DataFrame:
     """Each document's digest, that of its edited text, and its likeness to it and to the next document.
 
     The order is that of doc_id, a null first, equal ones by text; after the last comes the first.
     Documents are dealt to shards between quantiles of doc_id; a shard gets the first row of the next one
     too, so each text is shuffled once and no window runs over the whole table.
+
+    Defined results: a null text is empty; rows that share a doc_id stand in order of their texts, and repeated ones
+    next to each other; a single row is its own next one; an empty table gives no rows; other columns, whatever
+    their names, are ignored.  The column ranks names the table of ranks in use, that of docs if none is given.
     """
+    ranks = ranks_of(entropy_counts(docs)) if ranks is None else ranks
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     shards = max(1, min(most, -(-n // rows)))
@@ -279,7 +373,10 @@ def compare_neighbours(docs: DataFrame, rows: int = 2048, most: int = 20_000) ->
     lead = {low: lows[k - 1][0] for k, (_, low) in enumerate(lows)}
     dealt = docs.mapInArrow(_deal(cuts, lead), "shard int, ahead boolean, doc_id long, text string")
     ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "ahead", "doc_id", "text")
-    return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(
+        lambda batches: _compare(batches, ranks),
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, ranks string",
+    )
 
 
 def op7_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ class Fertility:
         self.second = tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = self.first.vocab_size()
         self.is_byte = np.array([self.first.is_byte(i) for i in range(self.size)])
-        self.store = PieceStore(self._many, 1_500_000, self.size > 1 << 16)
+        self.store = PieceStore(self._many, 1_500_000, True)  # the count of a very long word is large
 
     def _many(self, words: list[str]) -> list[list[int]]:
         second = self.second.encode_ordinary

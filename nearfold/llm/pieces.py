@@ -3,7 +3,7 @@
 A text is cut where its vocabulary's own pre-tokenizer must cut too: before a run of white space that follows
 anything else, and between an ASCII letter and a sentence mark.  So the ids of the pieces laid end to end are
 the ids of the text.  Texts with white space beyond ASCII, or with "<|", which may open a special token, are
-encoded whole.  What pieces have become is remembered by their hash and length, in flat arrays of bounded size.
+encoded whole.  What pieces have become is remembered by two hashes, in flat arrays of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import SPACES, Texts, Words, find_words, hash_words, mix, text_slices
+from .words import SPACES, Texts, Words, find_words, hash_words, text_slices
 
 def vocabulary(name: str) -> str:
     """Where the file of a public vocabulary lies on this machine."""
@@ -38,10 +38,11 @@ _LOWER[65:91] += 32
 
 
 class PieceStore:
-    """Byte strings by hash and length -> their numbers, in flat arrays.
+    """Byte strings by hash -> their numbers, in flat arrays.
 
     encode gives the numbers of new ones.  When there are more than `most`, all are forgotten and learnt anew
-    as they come.
+    as they come.  A second, independent hash of every piece is held against that of the string that was learnt,
+    so what is known is told apart by 128 bits; a piece whose second hash differs is encoded by itself.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, wide: bool = False):
@@ -50,14 +51,16 @@ class PieceStore:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _store(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lays the numbers of texts at the end of the pool: where they begin and how many they are."""
         flat: list[int] = []
-        size = np.empty(len(keys), np.int32)
+        size = np.empty(len(texts), np.int32)
         at = 0
         for k in range(0, len(texts), 20_000):
             for ids in self.encode(texts[k : k + 20_000]):
@@ -72,15 +75,19 @@ class PieceStore:
         self.pool[self.used : need] = flat
         begin = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used = need
+        return begin, size
+
+    def _learn(self, keys: np.ndarray, check: np.ndarray, texts: list[str]) -> None:
+        begin, size = self._store(texts)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
+        self.check = np.insert(self.check, where, check)
         self.begin = np.insert(self.begin, where, begin)
         self.size = np.insert(self.size, where, size)
 
     def lookup(self, t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and number of the numbers of each distinct piece, and which of those each piece is."""
-        h = hash_words(t, w)
-        h ^= mix((w.end - w.start).astype(np.uint64))
+        h, h2 = hash_words(t, w), hash_words(t, w, 1)
         keys, first, which = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         if len(self.keys):
@@ -91,10 +98,19 @@ class PieceStore:
             if len(self.keys) + len(new) > self.most:
                 self.forget()
                 new = np.arange(len(keys))
-            s, e = w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            self._learn(keys[new], [t.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            self._learn(keys[new], h2[first[new]], self._pieces(t, w, first[new]))
             at = np.searchsorted(self.keys, keys)
-        return self.begin[at], self.size[at], which
+        begin, size = self.begin[at], self.size[at]
+        odd = np.flatnonzero(self.check[at][which] != h2)
+        if len(odd):  # other strings under a known hash
+            b, n = self._store(self._pieces(t, w, odd))
+            which[odd] = len(begin) + np.arange(len(odd))
+            begin, size = np.concatenate([begin, b]), np.concatenate([size, n])
+        return begin, size, which
+
+    @staticmethod
+    def _pieces(t: Texts, w: Words, at: np.ndarray) -> list[str]:
+        return [t.buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
 
     def laid_out(self, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces end to end, and where each piece's end."""

@@ -6,6 +6,7 @@ texts laid end to end in one byte buffer, so the cost is per byte and not per do
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,18 +18,14 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=U)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
-_B = 0x9E3779B97F4A7C15
-_SEG = 1 << 20
-_POW = np.full(_SEG, _B, U)
-_POW[0] = 1
-np.multiply.accumulate(_POW, out=_POW)
-_INV = np.full(_SEG, pow(_B, -1, 2**64), U)
-_INV[0] = 1
-np.multiply.accumulate(_INV, out=_INV)
+_ODD = U(0x9E3779B97F4A7C15)
+_ODD_2 = U(0xC2B2AE3D27D4EB4F)
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_rng = np.random.Generator(np.random.PCG64(20240501))
 _GRAM = _rng.integers(0, 2**63, 64, dtype=U) * U(2) + U(1)
 
 
@@ -114,37 +111,34 @@ def find_words(t: Texts) -> Words:
     return Words(start, end, doc, bound)
 
 
-def _poly(v: np.ndarray) -> int:
-    total = 0
-    for k in range(0, len(v), _SEG):
-        part = _BYTE[v[k : k + _SEG]] * _POW[: min(_SEG, len(v) - k)]
-        total += int(part.sum(dtype=U)) * pow(_B, k, 2**64)
-    return total % 2**64
+def hash_words(t: Texts, w: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, wherever the word stands; another seed gives an independent one.
 
+    A word is taken eight bytes at a time, and the state is mixed after each, so no arrangement of few letters
+    cancels out as it would in a polynomial modulo a power of two.
+    """
+    n = len(t.buf)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = t.buf
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    size = w.end - w.start
+    start = U(0x5851F42D4C957F2D * (2 * seed + 1) % 2**64)
+    h = mix(size.astype(U) * _ODD_2 + start)
+    h = mix(h ^ (eight[w.start] & _BYTES[np.minimum(size, 8)]))
+    todo = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(todo):
+        left = size[todo] - at
+        h[todo] = mix(h[todo] * _ODD ^ (eight[w.start[todo] + at] & _BYTES[np.minimum(left, 8)]))
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = hash_bytes(t.buf[w.start[i] : w.end[i]], seed)
+    return h
 
-def hash_words(t: Texts, w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, wherever the word stands."""
-    out = np.empty(len(w.start), U)
-    lo = 0
-    while lo < len(w.start):
-        a = int(w.start[lo])
-        hi = int(np.searchsorted(w.end, a + _SEG, side="right"))
-        if hi <= lo:  # one word longer than a segment
-            out[lo] = _poly(t.buf[a : w.end[lo]])
-            lo += 1
-            continue
-        b = int(w.end[hi - 1])
-        v = _BYTE[t.buf[a:b]]
-        v *= _POW[: b - a]
-        total = np.empty(b - a + 1, U)
-        total[0] = 0
-        np.cumsum(v, out=total[1:])
-        s = w.start[lo:hi] - a
-        h = total[w.end[lo:hi] - a] - total[s]
-        h *= _INV[s]
-        out[lo:hi] = h
-        lo = hi
-    return mix(out + (w.end - w.start).astype(U) * U(0xD6E8FEB86659FD93))
+
+def hash_bytes(data: bytes | np.ndarray, seed: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=b"%d" % seed).digest(), "little")
 
 
 def grams(h: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,20 +153,31 @@ def grams(h: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(s[at]), at
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs."""
+    n = min(len(a), len(b))
+    x = a[:n] * _ODD + b[:n]
+    x ^= x >> U(32)
+    x *= _ODD_2
+    x ^= x >> U(29)
+    return x
+
+
 def long_grams(h: np.ndarray, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """As grams, at a cost that doesn't grow with k."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """As grams, at a cost that grows with the logarithm of k: windows of 1, 2, 4, ... words, each of two
+    halves, make up those of k."""
+    if len(h) < k:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    s = np.empty(n, U)
-    for lo in range(0, n, _SEG - k):
-        hi = min(n, lo + _SEG - k)
-        v = h[lo : hi + k - 1] * _POW[: hi + k - 1 - lo]
-        total = np.empty(len(v) + 1, U)
-        total[0] = 0
-        np.cumsum(v, out=total[1:])
-        s[lo:hi] = (total[k:] - total[:-k]) * _INV[: hi - lo]
-    at = np.flatnonzero(w.doc[: n] == w.doc[k - 1 :])
+    level, size = h, 1
+    s, have = None, 0
+    while size <= k:
+        if k & size:
+            s = level if s is None else _joined(s, level[have:])
+            have += size
+        size *= 2
+        if size <= k:
+            level = _joined(level, level[size // 2 :])
+    at = np.flatnonzero(w.doc[: len(h) - k + 1] == w.doc[k - 1 :])
     return mix(s[at]), at
 
 

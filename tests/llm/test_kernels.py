@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ def test_words(texts):
 
 
 def test_long_word(monkeypatch):
-    monkeypatch.setattr(words, "_SEG", 16)
+    monkeypatch.setattr(words, "_LONG", 16)
     texts = ["short " + "w" * 100 + " tail", "w" * 100, "w" * 99 + "v"]
     by = {}
     for t in words.text_slices(pa.array(texts)):
@@ -47,7 +48,56 @@ def test_long_word(monkeypatch):
     assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by) == 4
 
 
-@pytest.mark.parametrize("k", [2, 5, 25])
+def mirrored(n):
+    """Words of two letters that cancel out in every polynomial modulo a power of two: each is the other's complement."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 256, 512, 1024, 2048, 1 << 16])
+def test_mirrored_words(n):
+    pair = mirrored(n)
+    for t in words.text_slices(pa.array([" ".join(pair)])):
+        w = words.find_words(t)
+        for seed in (0, 1):
+            h = words.hash_words(t, w, seed)
+            assert h[0] != h[1]
+
+
+def test_mirrored_windows():
+    """The same two words in mirrored order, in windows of 32 and 50."""
+    for k in (32, 50):
+        a, b = mirrored(64)
+        texts = [" ".join(a[:k]), " ".join(b[:k])]
+        for t in words.text_slices(pa.array(texts)):
+            w = words.find_words(t)
+            h, _ = words.long_grams(words.hash_words(t, w), w, k)
+            assert len(h) == 2 and h[0] != h[1]
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_mirrored_ids(name, spaced, n):
+    texts = ["x " + t for t in mirrored(n)] * 2
+    e = pieces.TextEncoder(name, spaced)
+    for first, ids, bound in e(pa.array(texts)):
+        for i in range(len(bound) - 1):
+            assert ids[bound[i] : bound[i + 1]].tolist() == e.tokenizer.encode(texts[first + i], add_special_tokens=False).ids
+
+
+def test_pieces_with_one_hash(monkeypatch):
+    """Where the first hash can't tell pieces apart, the second one does."""
+    real = words.hash_words
+    monkeypatch.setattr(pieces, "hash_words", lambda t, w, seed=0: real(t, w, seed) if seed else real(t, w) & np.uint64(3))
+    e = pieces.TextEncoder("byte_bpe_50k.json", True, most=50)
+    texts = ["one two three four five six seven one two", "eight nine ten one eleven", "two two two twelve"]
+    for _ in range(3):
+        for first, ids, bound in e(pa.array(texts)):
+            for i in range(len(bound) - 1):
+                assert ids[bound[i] : bound[i + 1]].tolist() == e.tokenizer.encode(texts[first + i], add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("k", [2, 5, 25, 50])
 def test_grams(k):
     rng = random.Random(k)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(80))) for _ in range(30)]
@@ -159,19 +209,63 @@ def test_digest():
     rng = random.Random(1)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(400)).encode() for _ in range(6)]
-    d = digest.digests(texts)
-    assert [digest.to_text(x) for x in d] == [digest.to_text(digest.digests([t])[0]) for t in texts]
+    ranks = digest.ranks_of(digest.count_entropies(texts))
+    d = digest.digests(texts, ranks)
+    assert [digest.to_text(x) for x in d] == [digest.to_text(digest.digests([t], ranks)[0]) for t in texts]
     edited = texts[0][: len(texts[0]) * 3 // 4] + texts[1][:600]
-    assert digest.likeness(d[0], digest.digests([edited])[0]) > 0.4
+    assert digest.likeness(d[0], digest.digests([edited], ranks)[0]) > 0.4
     assert all(digest.likeness(d[0], x) < 0.05 for x in d[1:]) and digest.likeness(d[0], d[0]) == 1
     back = digest.from_text(digest.to_text(d[0]))
     assert digest.likeness(back, d[0]) == 1 and digest.from_text("")[1].shape[0] == 0
-    none, short = digest.digests([b"", b"x"])
+    none, short = digest.digests([b"", b"x"], ranks)
     assert digest.likeness(none, none) == 1 and digest.likeness(none, short) == 0 and digest.to_text(none) == ""
-    long = digest.digests([b" ".join(texts) * 40])[0]
+    long = digest.digests([b" ".join(texts) * 40], ranks)[0]
     assert len(long[0]) > 1 and 0 <= digest.likeness(long, d[0]) <= 1 and digest.likeness(long, d[0]) == digest.likeness(d[0], long)
 
 
+def plain_features(text, counts):
+    """The places of a text's features, window by window."""
+    n = len(text) - digest.SIZE + 1
+    if n < 1:
+        return []
+    entropy = digest._entropies(np.frombuffer(text, np.uint8)).tolist()
+    order = sorted(range(1001), key=lambda e: (counts[e], e))
+    rank = {e: k for k, e in enumerate(order)}
+    points = [0] * n
+    for last in range(n + digest.STRETCH - 1):
+        stretch = [i for i in range(max(0, last - digest.STRETCH + 1), min(n, last + 1)) if entropy[i] >= 100]
+        if stretch:
+            points[min(stretch, key=lambda i: (rank[entropy[i]], i))] += 1
+    return [i for i in range(n) if points[i] >= digest.POINTS]
+
+
+@pytest.mark.parametrize("part", [64, 1000, 1 << 18])
+def test_digest_features(monkeypatch, part):
+    """Whatever the parts that a long text is cut into, its features are those of the definition."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij kl,.") for _ in range(rng.randrange(2, 12))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)).encode() for n in (0, 3, 30, 400)] + [b"a" * 500, b"x" * 40 + b" ".join(w.encode() for w in vocabulary) + b"y" * 90]
+    monkeypatch.setattr(digest, "_PART", part)
+    counts = digest.count_entropies(texts)
+    plain = Counter()
+    for t in texts:
+        if len(t) >= digest.SIZE:
+            plain.update(digest._entropies(np.frombuffer(t, np.uint8)).tolist())
+    assert {e: n for e, n in enumerate(counts.tolist()) if n} == plain
+    ranks = digest.ranks_of(counts)
+    for t, d in zip(texts, digest.digests(texts, ranks)):
+        places = plain_features(t, counts)
+        buf = np.frombuffer(t, np.uint8)
+        h = digest._hashed(buf, np.array(places, np.int64)) if places else np.array([words.hash_bytes(t)] if t else [], np.uint64)
+        filters = [h[k : k + digest.MOST] for k in range(0, len(h), digest.MOST)]
+        assert d[0].tolist() == [len(f) for f in filters]
+        for got, f in zip(d[1], filters):
+            bits = np.zeros(digest.BITS, bool)
+            for j in range(digest.PER_FEATURE):
+                bits[((f >> np.uint64(11 * j)) & np.uint64(digest.BITS - 1)).astype(int)] = True
+            assert np.unpackbits(got).astype(bool).tolist() == bits.tolist()
+
+
 def test_entropy():
     import math
     from collections import Counter

@@ -278,12 +278,14 @@ def test_digest(spark, rows_each):
     got = digest.compare_neighbours(table(spark, ROWS), rows=rows_each).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [t or "" for _, t, _ in order]
+    ranks = digest.ranks_of(digest.count_entropies([t.encode() for t in texts]))
+    assert {r.ranks for r in got} == {digest.version_of(ranks)}
     want = []
     for i, (d, _, _) in enumerate(order):
         t, nxt = texts[i], texts[(i + 1) % len(texts)]
         n = len(t)
         edited = t[: n - n // 4] + nxt[: n // 4]
-        a, b, c = digest.digests([t.encode(), edited.encode(), nxt.encode()])
+        a, b, c = digest.digests([t.encode(), edited.encode(), nxt.encode()], ranks)
         want.append((d, n, sha(edited), digest.to_text(a), digest.to_text(b), round(digest.likeness(a, b), 9), round(digest.likeness(a, c), 9)))
     assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == Counter(want)
     assert digest.compare_neighbours(none(spark)).count() == 0
