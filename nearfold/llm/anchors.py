@@ -4,22 +4,26 @@ A window of 50 words holds a whole block of 25 wherever blocks begin, so blocks
 document are enough of an index: two documents with a window in common both hold some block of the first.
 
 1. Index the non-overlapping blocks and probe them with every rolling window of 25 words, by ranges of the
-   hash: an anchor is a hash that some block has and that at least two documents hold.
+   hash: an anchor of a document is one of its blocks that another document holds anywhere.  A mapper settles
+   what several of its documents hold, and names to the range only the least and the largest of them, for
+   other mappers to see.
 2. A document's hits are extended: every window of 50 words that contains an anchor is a candidate, and
    candidates are matched on the hash of all 50 words.  Windows that follow each other make up the maximal
-   repeats.
+   repeats.  Again a mapper settles what it can: of its documents that have a window only the least goes to
+   the range, the others are later ones whatever the rest of the corpus holds.
 3. Words covered by a window that also starts in a document with a smaller doc_id go.
 
-Hashes travel in sorted blocks; a passage that many documents share costs each of them its own hits and no
-pairs.
+Hashes travel in sorted blocks.  A passage that many documents share costs each of them its own hits and no
+pairs, and the range that gets its hash a few entries for each mapper's block, not for each document.
 
 Defined results: a null or empty text has no words; windows of one doc_id never count against that doc_id,
-so repeated rows stay as they are against each other; a row with a null doc_id neither loses words nor
+so repeated rows, and rows that share a doc_id, stay as they are against each other; a row with a null doc_id neither loses words nor
 counts; an empty table gives an empty one; other columns pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import HASH_BITS, MOST_DOCS, OWNED_DDL, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
+from .blobs import HASH_BITS, MOST_DOCS, OWNED, OWNED_DDL, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
 from .scratch import Scratch
 from .words import WORD, find_words, hash_words, long_grams, text_slices
 
@@ -43,6 +47,27 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("hits", pa.binary())])
 U = np.uint64
 
 
+def _ends(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending hashes, at least one: where each begins, and the least and the largest document of each."""
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return start, np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+
+
+def _direct(out: dict[str, list], rows: pa.RecordBatch, data: str) -> None:
+    """Rows for the documents themselves, under -1 - bucket; they pass by the ranges."""
+    for r in rows.to_pylist():
+        for name in out:
+            out[name].append(b"")
+        for name, v in (("p", -1 - r["bucket"]), ("owners", r["owners"]), ("places", r["counts"]), (data, r["data"])):
+            out[name][-1] = v
+
+
+def _passed(p: int, group: pa.Table, data: str) -> pa.Table:
+    n = group.num_rows
+    extra = pa.array([bytes(2 * len(x)) for x in group["places"].to_pylist()], pa.binary())  # 8 bytes for 4 of counts
+    return pa.Table.from_arrays([pa.array([-1 - p] * n, pa.int32()), group["owners"], extra, group["places"], group[data]], schema=OWNED)
+
+
 def _probe(bits: int, anchor: int):
     """Every rolling window of `anchor` words by range; those that are index blocks are marked."""
 
@@ -54,6 +79,20 @@ def _probe(bits: int, anchor: int):
         h50, place = unpacked(key)
         owners = np.concatenate(ids).astype("<i8")
         out: dict[str, list] = {f.name: [] for f in _PROBES}
+        if len(key):
+            doc = owners[place]
+            start, least, most = _ends(h50, doc)
+            size = np.diff(np.append(start, len(key)))
+            here = np.repeat(least < most, size)
+            _direct(out, by_owner(doc[here & indexed], h50[here & indexed].astype("<u8"), max(0, bits - 1)), "steps")
+            # where several hold a hash, one row of the least and one of the largest doc_id stand for all
+            stays = ~here
+            for end in (least, most):
+                at = np.flatnonzero(here & (doc == np.repeat(end, size)))
+                _, one = np.unique(h50[at], return_index=True)
+                stays[at[one]] = True
+            indexed &= ~here
+            h50, place, indexed = h50[stays], place[stays], indexed[stays]
         edges = cut_ranges(h50, bits)
         for p in range(1 << bits):
             a, b = edges[p], edges[p + 1]
@@ -96,6 +135,8 @@ def _anchors(bits: int):
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         p = key[0].as_py()
+        if p < 0:
+            return _passed(p, group, "steps")
         hs, docs, marks = [], [], []
         for r in group.to_pylist():
             h50, place = decode(r["steps"], r["places"], bits, p)
@@ -106,11 +147,9 @@ def _anchors(bits: int):
         del hs, docs, marks
         order = np.argsort(h, kind="stable")
         h, doc, mark = h[order], doc[order], mark[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         if len(h):
-            size = np.diff(np.append(start, len(h)))
-            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
-            good = np.repeat(several & np.maximum.reduceat(mark, start), size)
+            start, least, most = _ends(h, doc)
+            good = mark & np.repeat(least < most, np.diff(np.append(start, len(h))))
             h, doc = h[good], doc[good]
         return pa.Table.from_batches([by_owner(doc, h.astype("<u8"), max(0, bits - 1))])
 
@@ -159,16 +198,25 @@ def _extend(bits: int, window: int, anchor: int):
                     order = np.argsort(big, kind="stable")
                     big, start = big[order], start[order]
                     doc = w.doc[start]
+                    out: dict[str, list] = {f.name: [] for f in _WINDOWS}
+                    # where a window begins, after a mark of the text: rows may share a doc_id
+                    text = np.array([zlib.crc32(t.text(i)) for i in range(len(t))], U) << U(32)
+                    if len(big):
+                        own = ids[t.first + doc]
+                        first, least, _ = _ends(big, own)
+                        later = own > np.repeat(least, np.diff(np.append(first, len(big))))
+                        place = text[doc] | (start - w.bound[doc]).astype(U)
+                        _direct(out, by_owner(own[later], place[later], max(0, bits - 1)), "at")
+                        big, start, doc = big[~later], start[~later], doc[~later]
                     check = (big & U((1 << (64 - HASH_BITS)) - 1)).astype("<u2")  # what the 50 bits leave of the 64
                     h50 = big >> U(64 - HASH_BITS)
                     edges = cut_ranges(h50, bits)
-                    out: dict[str, list] = {f.name: [] for f in _WINDOWS}
                     for p in range(1 << bits):
                         a, b = edges[p], edges[p + 1]
                         if a < b:
                             there, local = np.unique(doc[a:b], return_inverse=True)
                             steps, places, _ = encode(h50[a:b], local, bits, p)
-                            places_of = (start[a:b] - w.bound[doc[a:b]]).astype("<u4")
+                            places_of = (text[doc[a:b]] | (start[a:b] - w.bound[doc[a:b]]).astype(U)).astype("<u8")
                             for name, v in zip(_WINDOWS.names, (p, ids[t.first + there].tobytes(), steps, places, check[a:b].tobytes(), places_of.tobytes()), strict=True):
                                 out[name].append(v)
                     yield table(out, _WINDOWS)
@@ -181,12 +229,14 @@ def _later(bits: int):
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         p = key[0].as_py()
+        if p < 0:
+            return _passed(p, group, "at")
         hs, docs, ats = [], [], []
         for r in group.to_pylist():
             h50, place = decode(r["steps"], r["places"], bits, p)
             hs.append(h50 << U(64 - HASH_BITS) | np.frombuffer(r["checks"], "<u2").astype(U))
             docs.append(np.frombuffer(r["owners"], "<i8")[place])
-            ats.append(np.frombuffer(r["at"], "<u4"))
+            ats.append(np.frombuffer(r["at"], "<u8"))
         h, doc, at = np.concatenate(hs), np.concatenate(docs), np.concatenate(ats)
         del hs, docs, ats
         order = np.argsort(h, kind="stable")
@@ -196,7 +246,7 @@ def _later(bits: int):
             least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(h))))
             later = doc > least
             doc, at = doc[later], at[later]
-        return pa.Table.from_batches([by_owner(doc, at.astype("<u4"), max(0, bits - 1))])
+        return pa.Table.from_batches([by_owner(doc, at.astype("<u8"), max(0, bits - 1))])
 
     return run
 
@@ -217,7 +267,8 @@ def _remove(width: int, text_at: int, window: int):
                     x = lists[t.first + i]
                     keep = np.ones(b - a, bool)
                     if x.is_valid:
-                        at = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
+                        at = np.frombuffer(x.as_py(), "<u8")
+                        at = (at[at >> U(32) == zlib.crc32(t.text(i))] & U(0xFFFFFFFF)).astype(np.int64)
                         cover = np.zeros(b - a + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)
@@ -238,7 +289,8 @@ def _remove(width: int, text_at: int, window: int):
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, per_range: int = 1_000_000) -> DataFrame:
-    """(doc_id, hits): the first words of windows that also start in a document with a smaller doc_id."""
+    """(doc_id, hits): the first words of windows that also start in a document with a smaller doc_id, after the
+    crc32 of the text that they are in."""
     anchor = window // 2
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -249,7 +301,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, win
     scratch.settle()
     held = docs.join(by_doc, docs["doc_id"] == F.col("__id")).select("doc_id", "text", "hits")
     windows = held.mapInArrow(_extend(bits, window, anchor), "p int, owners binary, steps binary, places binary, checks binary, at binary")
-    later = windows.groupBy("p").applyInArrow(_later(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u4"), "doc_id long, hits binary")
+    later = windows.groupBy("p").applyInArrow(_later(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u8"), "doc_id long, hits binary")
     later = scratch.save(later, "later", codec="none")
     scratch.settle()
     return later
