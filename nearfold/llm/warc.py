@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import spread_join
 
 VERSION = b"WARC/1.1"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
@@ -87,20 +88,32 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     return Record(headers, payload), tail.end()
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member that starts at `at` and the place after it."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
+    """The member that starts at `at`: its text, or what there is of it before a damage, the place after it, what is
+    wrong (empty: nothing), and some places of the archive with how much text was there."""
     z = zlib.decompressobj(31)
     parts: list[bytes] = []
-    k = at
+    marks = [(at, 0)]
+    k, size, step = at, 0, 1 << 16
+    wrong = ""
     while not z.eof:
         if k >= len(data):
-            raise ValueError("member is cut off")
+            wrong = "member is cut off"
+            break
+        before = z.copy()
         try:
-            parts.append(z.decompress(data[k : k + (1 << 16)]))
+            part = z.decompress(data[k : k + step])
         except zlib.error as e:
-            raise ValueError(f"bad member: {e}") from None
-        k += 1 << 16
-    return b"".join(parts), min(k, len(data)) - len(z.unused_data)
+            if step == 64:
+                wrong = f"bad member: {e}"
+                break
+            z, step = before, 64  # as near to the damage as can be
+            continue
+        parts.append(part)
+        size += len(part)
+        k += step
+        marks.append((min(k, len(data)), size))
+    return b"".join(parts), len(data) if wrong else min(k, len(data)) - len(z.unused_data), wrong, marks
 
 
 def _opens(data: bytes, at: int) -> bool:
@@ -133,23 +146,31 @@ def _next_start(data: bytes, at: int) -> int:
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """All records that can be recovered, in order, and the gaps between them.
 
-    A damage inside a member's text is a gap of the whole member, beside the records that it still gives.
+    A member that is damaged or cut off still gives the records before the damage; the gap is what follows the last
+    of them.  A record that fails its checks inside a sound member is a gap of the whole member, beside the records
+    that it still gives.
     """
     at = 0
     while at < len(data):
         try:
             if data.startswith(_MEMBER, at):
-                body, end = _inflate(data, at)
+                body, end, wrong, marks = _inflate(data, at)
                 k = 0
                 while k < len(body):
                     try:
                         record, k = parse_record(body, k)
                         yield record
                     except ValueError as e:
-                        yield Gap(at, end, str(e))
-                        k = _version_line(body, k + 1, len(body))
-                        if k < 0:
+                        later = _version_line(body, k + 1, len(body))
+                        if not wrong or later >= 0:
+                            yield Gap(at, min(end, marks[-1][0]), str(e))
+                        if later < 0:
                             break
+                        k = later
+                if wrong:
+                    told = max(n for _, n in marks if n <= k)
+                    at = min(a for a, n in marks if n == told)
+                    raise ValueError(wrong)
                 if not body:
                     yield Gap(at, end, "empty member")
             else:
@@ -167,14 +188,16 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
 def classify(pages: DataFrame, least: int = LEAST_DEDUP) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
-    Of equal payloads of at least `least` bytes the smallest page_id is the response.  Payload bytes never
-    group; only (page_id, digest) does, with a minimum per digest taken before the shuffle.
+    Of equal payloads of at least `least` bytes the smallest page_id is the response.  Only (page_id, digest)
+    groups, with a minimum per digest taken before the shuffle.  Pages of a payload that is a large share of all
+    stay where they are read; the others are dealt by digest.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
     firsts = sized.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").drop("n")
-    j = sized.join(firsts, "payload_digest", "left")
+    firsts = Scratch(pages.sparkSession, "firsts").save(firsts.where("n > 1"), "firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    j = spread_join(sized, firsts, ["payload_digest"], "n", total)
     again = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
     return j.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
