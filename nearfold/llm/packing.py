@@ -13,7 +13,7 @@ at any size of corpus:
    sequences; pieces of the full capacity stand alone.  Small lengths go best-fit, longest first, into the remainders, then into new sequences.
 
 The plan is kept as runs: "ranks a..b of length l go to sequences s..s+b-a at offset o".  A distributed
-rank of each piece among those of its length (a prefix sum over salted blocks, so that a hot length is
+rank of each piece among those of its length (a prefix sum over parts of bounded size, so that a hot length is
 spread) then finds its run.
 
 Defined results: a null text is empty and packs as its end id alone; repeated rows are packed each for
@@ -36,7 +36,8 @@ from .pieces import text_encoder, with_end
 from .scratch import Scratch
 
 CAPACITY = 2048
-SALTS = 64
+#: Pieces of one length in a part of its ranking.
+PART = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -242,7 +243,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, capacity), PIECES)
 
 
-def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """Adds sequence_id and offset to rows of (doc_id, piece, length, ...), read more than once."""
     # at most `capacity` rows
     histogram = pieces.groupBy("length").count().collect()
@@ -251,7 +252,9 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, salts
     runs, _ = best_plan(lengths, counts, capacity)
     schema = T.StructType([T.StructField(c, T.LongType(), False) for c in ("length", "rank_from", "rank_to", "first", "offset")])
     planned = spark.createDataFrame(pa.table([pa.array(runs[:, i]) for i in range(5)], names=schema.names), schema)
-    salted = pieces.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)), F.lit(0)))
+    # a hot length is ranked in as many parts as it has pieces for; at most `capacity` rows
+    parts = spark.createDataFrame(pa.table([pa.array(lengths), pa.array(-(-counts // part))], names=["length", "parts"]), "length long, parts long")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     blocks = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
