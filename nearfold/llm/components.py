@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most: int = 60, label: str = "edges") -> DataFrame:
     """(v, component) for every vertex of edges (a, b); the component is its least vertex.
 
     Each round is written, so lineage stays short; the number of rounds grows with the logarithm of the
     number of vertices.
     """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
+    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}0")
     before = None
     for k in range(1, most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,10 +24,10 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = low.select("a", F.col("m").alias("b")).unionByName(small).where("a <> b").distinct()
-        after = scratch.save(after, f"edges{k}")
+        after = scratch.save(after, f"{label}{k}")
         mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if k > 1:
-            scratch.drop(f"edges{k - 1}")
+            scratch.drop(f"{label}{k - 1}")
         now = after
         if mark == before:
             break

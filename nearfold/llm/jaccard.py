@@ -5,18 +5,23 @@ Documents are sets of 5-word shingles; two link when their Jaccard similarity is
 1. Equal sets are one set.  Every shingle is counted over all distinct sets, by ranges of its hash.  A set
    linked to another shares at least three quarters of its own shingles with some other set; a set whose
    shared shingles are fewer has no link and goes no further.  What is left carries its shared shingles and
-   in how many sets each is.
+   in how many sets each is.  A shingle that many documents of a mapper's block hold is sent as a count; the
+   total comes back to the block, so the list of a frequent shingle grows with blocks and not with documents.
+   (Copies in different blocks count anew in such totals.  They order shingles, alike for all sets, and tell
+   which are shared; both hold.)
 2. Sets are put into groups of similar ones: those whose common shingles (at least half as frequent as the
    set's most frequent) have the same least hash.  A frequent key is split, so a group has a bounded number
    of sets.  Each group stores the union of its shingles.
 3. With shingles in ascending frequency, two linked sets share one among the first n - ceil(0.75 n) + 1 of
-   each.  Groups that share such a shingle are paired.  In a pair, the overlap of each query set with the
-   other group's union bounds its overlap with any member; only sets and groups that qualify are opened, and
-   there the links are counted exactly.
+   each.  Groups that share such a shingle are paired, in two rounds: first each with the next in the
+   shingle's list, then those pairs whose sets the links so far haven't all brought together.  So a family of
+   near copies of any size costs a chain of pairs.  In a pair, the overlap of each query set with the other
+   group's union bounds its overlap with any member; only sets and groups that qualify are opened, and there
+   the links are counted exactly.
 4. A spanning forest of each pair's links goes to connected components.
 
 Nothing is dropped, capped or sampled: a group of copies of any size is one set, a group of near copies is
-split among groups, and no list of pairs is made.
+split among groups.
 """
 
 from __future__ import annotations
@@ -29,17 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import MOST_DOCS, OWNED, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
+from .blobs import HASH_BITS, MOST_DOCS, OWNED, OWNED_DDL, by_owner, cut_ranges, decode, encode, gathered, packed, range_bits, table, unpacked
 from .components import components
-from .scratch import Scratch, small
+from .scratch import Scratch
+from .skew import spread_join
 from .words import Words, _short, find_words, grams, hash_words, mix, text_slices
 
 K = 5
 GROUP = 256
 #: Shingles that a mapper gathers before it writes a block.
 _HELD = 3_000_000
+#: A shingle in so many sets of a block is sent as a count.
+_FREQUENT = 64
+#: Lists of groups are chained in so many parts, and the parts' first ones again.
+_PARTS = 64
 _BLOCK = pa.schema([("p", pa.int32()), ("name", pa.int64()), ("owners", pa.binary()), ("steps", pa.binary()), ("places", pa.binary())])
-#: Rows of both kinds: a document (kind 0), or a bucket of sets with their shared shingles (kind 1).
+#: Rows of four kinds: a document (0), a bucket of sets with their shared shingles (1), a block's frequent shingles
+#: (2), and in how many sets those are (3); the last two have the block's name as owner.
 _SHARED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), *OWNED])
 _SHARED_DDL = "kind int, doc_id long, sig long, n long, owner long, bucket int, owners binary, extra binary, counts binary, data binary"
 _PAIR = np.dtype([("h", "<u8"), ("df", "<u4")])
@@ -78,7 +89,7 @@ def _blocks(bits: int):
         name = TaskContext.get().partitionId() << 38 | turn << 14
         out: dict[str, list] = {f.name: [] for f in _BLOCK}
 
-        def add(p: int, *values: bytes) -> None:
+        def add(p: int, *values: bytes, name: int = name) -> None:
             for c, v in zip(_BLOCK.names, (p, name, *values), strict=True):
                 out[c].append(v)
 
@@ -90,6 +101,16 @@ def _blocks(bits: int):
         first[one] = True
         keep = first[place]
         h50, place = h50[keep], place[keep]
+        if len(h50):
+            run = np.flatnonzero(np.concatenate([[True], h50[1:] != h50[:-1]]))
+            size = np.diff(np.append(run, len(h50)))
+            often = np.flatnonzero(size >= _FREQUENT)
+            if len(often):
+                held = np.repeat(size >= _FREQUENT, size)
+                add((1 << bits) + turn % (1 << bits), place[held].astype("<u2").tobytes() + np.minimum(n, 0xFFFF).astype("<u2").tobytes(), h50[held].astype("<u8").tobytes(), len(sig).to_bytes(8, "little"), name=-1 - name)
+                for p, at in _by_range(h50[run[often]], bits):
+                    add(p, b"", h50[run[often[at]]].astype("<u8").tobytes(), size[often[at]].astype("<u4").tobytes(), name=-1 - name)
+                h50, place = h50[~held], place[~held]
         known = sig.view(U) >> U(16) << U(16) | np.minimum(n, 0xFFFF).astype(U)
         edges = cut_ranges(h50, bits)
         for p in range(1 << bits):
@@ -126,60 +147,137 @@ def _blocks(bits: int):
     return run
 
 
+def _by_range(h50: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The ranges that ascending hashes lie in, and which of them lie in each."""
+    edges = cut_ranges(h50, bits)
+    for p in np.unique(h50 >> U(HASH_BITS - bits)).tolist():
+        yield p, slice(int(edges[p]), int(edges[p + 1]))
+
+
 def _share(bits: int):
     """Of one range: for each document the shingles that a different set has too, with their frequencies."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         p = key[0].as_py()
         if p >= 1 << bits:  # the list of documents passes through
-            out: dict[str, list] = {f.name: [] for f in _SHARED}
-            for r in group.to_pylist():
-                nulls = np.frombuffer(r["places"], np.uint8).astype(bool)
-                both = np.frombuffer(r["owners"], "<i8").reshape(2, -1)
-                out["doc_id"] += [None if x else i for i, x in zip(np.frombuffer(r["steps"], "<i8").tolist(), nulls, strict=True)]
-                out["sig"] += both[0].tolist()
-                out["n"] += both[1].tolist()
-                out["owner"] += (r["name"] + np.arange(len(nulls))).tolist()
-            m = len(out["sig"])
-            out |= {"kind": [0] * m} | {c: [None] * m for c in OWNED.names}
-            return pa.Table.from_batches([table(out, _SHARED)])
+            return _passed(group)
         hs, whose, knowns, owners = [], [], [], []
+        frequent: list[tuple[int, np.ndarray, np.ndarray]] = []
         docs = 0
         for i in range(group.num_rows):
+            name = group["name"][i].as_py()
+            if name < 0:
+                frequent.append((-1 - name, np.frombuffer(group["steps"][i].as_py(), "<u8"), np.frombuffer(group["places"][i].as_py(), "<u4")))
+                continue
             h50, place = decode(group["steps"][i].as_py(), group["places"][i].as_py(), bits, p)
             raw = np.frombuffer(group["owners"][i].as_py(), "<u2")
             m = len(raw) // 5
             hs.append(h50)
             whose.append((place + docs).astype(np.int32))
             knowns.append(np.frombuffer(raw[: 4 * m].tobytes(), "<u8"))
-            owners.append(group["name"][i].as_py() + raw[4 * m :].astype(np.int64))
+            owners.append(name + raw[4 * m :].astype(np.int64))
             docs += m
-        h, who = np.concatenate(hs), np.concatenate(whose)
-        known, owner = np.concatenate(knowns), np.concatenate(owners)
+        empty = np.zeros(0, U)
+        h, who = np.concatenate([empty, *hs]), np.concatenate([np.zeros(0, np.int32), *whose])
+        known, owner = np.concatenate([empty, *knowns]), np.concatenate([np.zeros(0, np.int64), *owners])
         del hs, whose, knowns, owners
+        # in how many sets the frequent ones are, by the blocks that only count them
+        often, at = np.unique(np.concatenate([empty, *(x for _, x, _ in frequent)]), return_inverse=True)
+        counted = np.bincount(at, np.concatenate([np.zeros(0), *(c for _, _, c in frequent)]), len(often)).astype(np.int64)
         order = np.argsort(h, kind="stable")
         h, who = h[order], who[order]
         del order
         # only hashes met more than once can be shared
         same = h[1:] == h[:-1]
-        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        again = (np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(h)]
+        if len(often):
+            k = np.searchsorted(often, h)
+            again |= often[np.minimum(k, len(often) - 1)] == h
         h, who = h[again], who[again]
         order = np.lexsort((known[who], h))
         h, who = h[order], who[order]
         k = known[who]
         if len(h):
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])  # once for each set
-            which = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            df = np.bincount(which, new)[which].astype(np.int64)
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            which = np.cumsum(first) - 1
+            each = np.bincount(which, new).astype(np.int64)
+            if len(often):
+                here = h[first]
+                k = np.searchsorted(often, here)
+                hit = (k < len(often)) & (often[np.minimum(k, len(often) - 1)] == here)
+                each[hit] += counted[k[hit]]
+                counted[k[hit]] = each[hit]
+            df = each[which]
             keep = df > 1
             h, who, df = h[keep], who[keep], df[keep]
         else:
             df = np.zeros(0, np.int64)
         pairs = np.empty(len(h), _PAIR)
-        pairs["h"], pairs["df"] = h, df
-        rows = by_owner(owner[who], pairs, max(0, bits - 1), (known[who] & U(0xFFFF)).astype(np.int64))
-        m = rows.num_rows
-        return pa.Table.from_arrays([pa.array([1] * m, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, *rows.columns], schema=_SHARED)
+        pairs["h"], pairs["df"] = h, np.minimum(df, 0xFFFFFFFF)
+        made = [_kind(1, by_owner(owner[who], pairs, max(0, bits - 1), (known[who] & U(0xFFFF)).astype(np.int64)))]
+        for name, x, _ in frequent:
+            made.append(_answer(name, x, np.minimum(counted[np.searchsorted(often, x)], 0xFFFFFFFF)))
+        return pa.concat_tables(made)
+
+    return run
+
+
+def _rows(columns: dict[str, list]) -> pa.Table:
+    """Rows of _SHARED; columns not named are null."""
+    m = len(next(iter(columns.values())))
+    return pa.Table.from_batches([table({f.name: columns.get(f.name, [None] * m) for f in _SHARED}, _SHARED)])
+
+
+def _kind(kind: int, rows: pa.RecordBatch) -> pa.Table:
+    m = rows.num_rows
+    return pa.Table.from_arrays([pa.array([kind] * m, pa.int32()), *[pa.nulls(m, pa.int64())] * 4, *rows.columns], schema=_SHARED)
+
+
+def _answer(name: int, h: np.ndarray, df: np.ndarray) -> pa.Table:
+    pairs = np.empty(len(h), _PAIR)
+    pairs["h"], pairs["df"] = h, df
+    return _rows({"kind": [3], "owner": [name], "data": [pairs.tobytes()]})
+
+
+def _passed(group: pa.Table) -> pa.Table:
+    """The documents of blocks, and the frequent shingles of each."""
+    doc_id: list[int | None] = []
+    sig: list[int] = []
+    n: list[int] = []
+    owner: list[int] = []
+    made = []
+    for r in group.to_pylist():
+        if r["name"] < 0:
+            raw = np.frombuffer(r["owners"], "<u2")
+            m = int.from_bytes(r["places"], "little")
+            made.append(_rows({"kind": [2], "owner": [-1 - r["name"]], "owners": [raw[: len(raw) - m].tobytes()], "extra": [raw[len(raw) - m :].tobytes()], "data": [r["steps"]]}))
+            continue
+        nulls = np.frombuffer(r["places"], np.uint8).astype(bool)
+        both = np.frombuffer(r["owners"], "<i8").reshape(2, -1)
+        doc_id += [None if x else i for i, x in zip(np.frombuffer(r["steps"], "<i8").tolist(), nulls, strict=True)]
+        sig += both[0].tolist()
+        n += both[1].tolist()
+        owner += (r["name"] + np.arange(len(nulls))).tolist()
+    made.append(_rows({"kind": [0] * len(sig), "doc_id": doc_id, "sig": sig, "n": n, "owner": owner}))
+    return pa.concat_tables(made)
+
+
+def _returned(bits: int):
+    """The frequent shingles of a block with their totals, by bucket of documents."""
+
+    def run(key: tuple, held: pa.Table, totals: pa.Table) -> pa.Table:
+        made = []
+        pairs = [np.frombuffer(x.as_py(), _PAIR) for x in totals["data"]]
+        known = np.concatenate(pairs) if pairs else np.zeros(0, _PAIR)
+        known = known[np.argsort(known["h"], kind="stable")]
+        for r in held.to_pylist():
+            place = np.frombuffer(r["owners"], "<u2").astype(np.int64)
+            h = np.frombuffer(r["data"], "<u8")
+            items = np.empty(len(h), _PAIR)
+            items["h"], items["df"] = h, known["df"][np.searchsorted(known["h"], h)]
+            made.append(by_owner(r["owner"] + place, items, bits, np.frombuffer(r["extra"], "<u2")[place].astype(np.int64)))
+        return pa.Table.from_batches(made, schema=OWNED)
 
     return run
 
@@ -332,12 +430,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 2_
     shared = scratch.save(shared, "shared", codec="none", by="kind")
     sets = shared.where("kind = 0").select("doc_id", "sig", "n", "owner")
     scratch.settle()
-    active = shared.where("kind = 1").select(*OWNED.names).groupBy("bucket").applyInArrow(_order, "owner long, c long, key long, tokens binary")
+    held = shared.where("kind = 2").select("owner", "owners", "extra", "data").groupBy("owner")
+    totals = shared.where("kind = 3").select(F.col("owner").alias("name"), "data").groupBy("name")
+    frequent = held.cogroup(totals).applyInArrow(_returned(max(0, bits - 1)), OWNED_DDL)
+    listed = shared.where("kind = 1").select(*OWNED.names).unionByName(frequent)
+    active = listed.groupBy("bucket").applyInArrow(_order, "owner long, c long, key long, tokens binary")
     active = active.join(sets.select("owner", "sig", "n"), "owner").where("4 * c >= 3 * n").dropDuplicates(["sig"])
     # a set's other shingles are in no other set and come before these
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.col("c"))).cast("long")
     active = scratch.save(active.select("sig", "n", "key", prefix.alias("prefix"), "tokens"), "active", codec="none")
-    scratch.drop("shared/kind=1")
+    for kind in (1, 2, 3):
+        scratch.drop(f"shared/kind={kind}")
     scratch.settle()
     parts = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("parts"))
     grouped = active.join(parts, "key").withColumn("g", F.xxhash64("key", F.pmod(F.xxhash64("sig"), F.col("parts")))).select("g", "sig", "n", "prefix", "tokens")
@@ -347,29 +450,71 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, per_range: int = 2_
     scratch.settle()
     images = inside.where("image is not null").select("g", "image")
     # (shingle, group) once each; how many groups hold a shingle, not how many documents, makes pairs
-    held = grouped.select("g", "prefix", "tokens").mapInArrow(_prefixes, "token long, g long").distinct()
-    lists = held.groupBy("token").agg(F.sort_array(F.collect_set("g")).alias("gs")).where("size(gs) > 1").select("gs").distinct()
-    pairs = lists.select(F.explode(F.expr("flatten(transform(gs, (x, i) -> transform(slice(gs, i + 2, size(gs)), y -> struct(x as x, y as y))))")).alias("xy")).select("xy.x", "xy.y").distinct()
-    opened = (
+    listed = scratch.save(grouped.select("g", "prefix", "tokens").mapInArrow(_prefixes, "token long, g long").distinct(), "listed", codec="none")
+    edges = inside.where("a is not null").select("a", "b")
+    chain = scratch.save(_chain(listed), "chain", codec="none")
+    chained = scratch.save(_opened(chain, images), "chained")
+    edges = scratch.save(edges.unionByName(chained), "round1")
+    ends = components(edges, scratch, label="sets")
+    # a group whose sets are all in one component, or else a name of its own
+    whole = grouped.select("g", "sig").join(ends.withColumnRenamed("v", "sig"), "sig", "left").select("g", F.coalesce("component", "sig").alias("c"))
+    whole = whole.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    whole = whole.select("g", F.struct((F.col("low") == F.col("high")).alias("one"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("name")).alias("c"))
+    placed = listed.join(whole, "g")
+    several = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    lists = placed.join(several, "token").groupBy("token", "c").agg(F.sort_array(F.collect_set("g")).alias("gs"))
+    lists = lists.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("c", "gs"))).alias("cs")).select("cs").distinct()
+    left = lists.select(F.posexplode("cs").alias("i", "x"), "cs").select("x.gs", F.expr("slice(cs, i + 2, size(cs))").alias("later"))
+    pairs = left.select("gs", F.explode("later").alias("y")).select(F.explode("gs").alias("x"), F.col("y.gs").alias("ys")).select("x", F.explode("ys").alias("y"))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(chain, ["x", "y"], "left_anti")
+    edges = edges.unionByName(_opened(pairs, images))
+    first = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    first = scratch.save(first, "first")
+    ends = scratch.save(edges, "links").join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b")
+    label = components(ends.select(F.col("fa").alias("a"), F.col("fb").alias("b")), scratch)
+    named = first.join(label, first["first"] == label["v"], "left").select("sig", F.coalesce("component", "first").alias("component_id"), "times")
+    named = scratch.save(named, "named")
+    total = named.agg(F.sum("times")).first()[0] or 0
+    out = spread_join(sets.where("n > 0").select("doc_id", "sig", "n"), named, ["sig"], "times", total)
+    bare = sets.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    out = out.select("doc_id", "n", "component_id").unionByName(bare)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _chain(listed: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of groups that follow each other in the list of a shingle.
+
+    A list is cut into parts that are chained each, and so are the parts' first ones.
+    """
+    part = listed.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(_PARTS))).groupBy("token", "part").agg(F.sort_array(F.collect_set("g")).alias("gs"))
+    tops = part.groupBy("token").agg(F.sort_array(F.collect_set(F.element_at("gs", 1))).alias("gs"))
+    lists = part.select("gs").unionByName(tops.select("gs")).where("size(gs) > 1").distinct()
+    return lists.select(F.explode(F.expr("transform(slice(gs, 2, size(gs)), (y, i) -> struct(gs[i] as x, y as y))")).alias("xy")).select("xy.x", "xy.y").distinct()
+
+
+def _opened(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """Links between the sets of paired groups."""
+    return (
         pairs.join(images.select(F.col("g").alias("x"), F.col("image").alias("ix")), "x")
         .join(images.select(F.col("g").alias("y"), F.col("image").alias("iy")), "y")
         .select("ix", "iy")
         .mapInArrow(_open, "a long, b long")
     )
-    edges = inside.where("a is not null").select("a", "b").unionByName(opened)
-    first = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    ends = scratch.save(edges, "links").join(first.select(F.col("sig").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("sig").alias("b"), F.col("first").alias("fb")), "b")
-    label = components(ends.select(F.col("fa").alias("a"), F.col("fb").alias("b")), scratch)
-    named = first.join(label, first["first"] == label["v"], "left").select("sig", F.coalesce("component", "first").alias("component_id"))
-    out = sets.join(named.withColumnRenamed("sig", "__sig"), (sets["sig"] == F.col("__sig")) & (sets["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with the columns of docs."""
-    found = jaccard_components(spark, docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    found = small(Scratch(spark, "kept").save(found, "kept"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id is the least of its component, with the columns of docs.
+
+    Defined results: a row with a null doc_id stays, for nothing names it among its group; rows that share the
+    least doc_id of a group all stay; a text without words is linked with nothing and stays; an empty table gives
+    an empty one.  At every size the texts are dealt by doc_id to where the ids to keep are hashed.
+    """
+    scratch = Scratch(spark, "kept")
+    found = jaccard_components(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    found = scratch.save(found, "kept")
+    scratch.settle()
+    known = docs.where("doc_id is not null").join(found.hint("shuffle_hash"), docs["doc_id"] == found["__id"], "left_semi")
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

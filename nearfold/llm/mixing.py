@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small
+from .scratch import Scratch
 from .words import WORD
 
 WEIGHTS = (3, 1, 2)
@@ -103,12 +103,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def emit_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as many times as it was drawn, with the columns of docs.
 
-    Rows that share a doc_id are drawn together under one count, so a doc_id should name one row.
+    Rows that share a doc_id are drawn together under one count, the largest of theirs, so a doc_id should name one
+    row; rows with a null doc_id are drawn so too.  Other columns pass through; an empty table gives an empty one.
+    At every size the texts are dealt by doc_id to where the counts are hashed.
     """
     drawn = mix_sources(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     drawn = drawn.select(F.col("doc_id").alias("__id"), "__copies").where("__copies > 0")
-    drawn = small(Scratch(spark, "drawn").save(drawn, "drawn"))
-    times = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
+    drawn = Scratch(spark, "drawn").save(drawn, "drawn")
+    times = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(drawn["__id"]), "inner")
     return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
 
 

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -23,11 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def small(saved: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A saved table of a few numbers a row, to be broadcast if it has at most so many rows; else as it is."""
-    return F.broadcast(saved) if saved.count() <= rows else saved
-
-
 class Scratch:
     """Tables of one operator call.  They cut lineage, survive lost executors and go when the session ends."""
 

@@ -321,6 +321,21 @@ def test_salvage(packed):
     assert read(both)[0] == ids(*range(6))
 
 
+@pytest.mark.parametrize("cut_off", [True, False])
+def test_salvage_within_a_member(cut_off):
+    """An archive packed as one stream gives the records before the damage, and the gap begins after them."""
+    rng = random.Random(7)
+    noise = [({"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{i}>"}, rng.randbytes(30_000)) for i in range(12)]
+    plain = [warc.format_record(h, b) for h, b in noise]
+    whole = warc.member(b"".join(plain))
+    at = len(whole) * 2 // 3
+    data = whole[:at] if cut_off else whole[:at] + bytes(16) + whole[at + 16 :]
+    tail = warc.member(warc.format_record(*records()[0]))
+    got, gaps = read(data + tail if not cut_off else data)
+    assert got[: 7] == [i for i in ids(*range(7))] or [x for x in got if x in ids(*range(12))][:7] == ids(*range(7))
+    assert gaps and gaps[0][0] > len(whole) // 2 and gaps[-1][1] == len(data)
+
+
 def test_digest_check():
     h, b = records(1)[0]
     bad = warc.format_record(h, b).replace(b"payload 0", b"payload 9")

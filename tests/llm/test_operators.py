@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfold.llm import anchors, components, digest, fertility, jaccard, line_runs, mixing, packing, pfor, pieces, scratch, warc
+from nearfold.llm import anchors, components, digest, fertility, jaccard, line_runs, mixing, packing, pfor, pieces, scratch, skew, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines string, kept string, hits int"
 
@@ -158,6 +158,37 @@ def test_jaccard(spark, monkeypatch, per_range, group):
     assert Counter(map(tuple, got.collect())) == components_of(ROWS)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_jaccard_families(spark, monkeypatch, parts):
+    """A sentence in every document, families of near copies over many groups, and copies in hot keys."""
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "_PARTS", 2)
+    monkeypatch.setattr(skew, "LEAST", 10)
+    monkeypatch.setattr(skew, "MOST", 5)
+    rng = random.Random(4)
+    common = " every text of this table has this sentence in it and no other one"
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{rng.randrange(500)}" for _ in range(80)]
+        for k in range(40):
+            x = list(base)
+            for _ in range(rng.choice([0, 1, 2, 9])):
+                x[rng.randrange(len(x))] = f"n{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(x) + common, None))
+    rows += [(len(rows) + k, common, None) for k in range(60)]
+    rows += [(len(rows) + k, a, None) for k, a in enumerate(["".join("ab"[bin(i).count("1") % 2] for i in range(1024)), "".join("ba"[bin(i).count("1") % 2] for i in range(1024))])]
+    rng.shuffle(rows)
+    got = jaccard.jaccard_components(spark, table(spark, rows, parts), 2000)
+    assert Counter(map(tuple, got.collect())) == components_of(rows)
+
+
+def test_keep_one_without_ids(spark):
+    rows = [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (4, "a b c d e f", "s"), (5, None, "s"), (6, "", "s")]
+    got = jaccard.keep_one(spark, table(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(map(repr, [None, None, 3, 3, 5, 6]))
+    assert jaccard.keep_one(spark, none(spark)).count() == 0
+
+
 def test_jaccard_random(spark):
     rng = random.Random(8)
     rows = []
@@ -325,6 +356,23 @@ def test_substrings(spark, window, per_range, monkeypatch):
     assert got.columns == [c for c in table(spark, ROWS).columns if c != "kept"] + ["n_words", "n_removed", "kept"]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substrings_random(spark, parts):
+    """Passages at any place of many documents, copies, and repeats inside one document."""
+    rng = random.Random(parts)
+    passages = [[f"p{k}x{j}" for j in range(rng.randrange(20, 70))] for k in range(6)]
+    rows = []
+    for i in range(90):
+        x = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 40))]
+        for p in rng.sample(passages, rng.randrange(0, 4)):
+            x += p + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 9))]
+        rows.append((rng.randrange(60), " ".join(x * rng.choice([1, 1, 1, 2])), "s"))
+    rows += [(100 + k, rows[3][1], "s") for k in range(80)]
+    rng.shuffle(rows)
+    got = anchors.dedup_substrings(spark, table(spark, rows, parts), 20)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(plain_substrings(rows, 20))
+
+
 def test_substrings_empty(spark):
     assert anchors.dedup_substrings(spark, none(spark)).count() == 0
 
@@ -376,6 +424,8 @@ def test_packing(spark):
         assert at <= 2048
     assert len(by) <= -(-total // 2048) + 3
     assert packing.pack_documents(spark, none(spark)).count() == 0
+    parted = packing.pack(spark, packing.token_pieces(table(spark, rows)).cache(), part=3).collect()
+    assert len({(r.sequence_id, r.offset) for r in parted}) == len(parted) == len(got) and len({r.sequence_id for r in parted}) == len(by)
 
 
 # ---------------------------------------------------------------- pipeline
@@ -400,3 +450,25 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in final} <= {r[0] for r in left} and final
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == columns, name
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() == 0, name
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 5)
+    monkeypatch.setattr(skew, "MOST", 4)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(100)] + [(None, 500), (99, 501)], "key long, v long").cache()
+    named = rows.where("key < 90").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).cache()
+    want = Counter(map(tuple, rows.join(named.drop("n"), "key", "left").select("key", "v", "top").collect()))
+    got = skew.spread_join(rows, named, ["key"], "n", 100)
+    assert got.columns == ["key", "v", "top"] and Counter(map(tuple, got.collect())) == want
+    inner = skew.spread_join(rows, named, ["key"], "n", 100, "inner")
+    assert Counter(map(tuple, inner.collect())) == Counter({k: v for k, v in want.items() if k[2] is not None})
