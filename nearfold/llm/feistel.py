@@ -1,27 +1,30 @@
 """Format-preserving pseudonyms for personal numbers, dates, addresses and secrets.
 
 A value that its format's checks accept is replaced by another value of the same format that they accept too:
-a keyed Feistel network permutes the numbers of that format, walking on while it leaves the valid ones.  So
-equal values have equal pseudonyms in all documents and columns, different values different ones, and who
-holds the key can go back.  White space and punctuation inside a value stay.
+a keyed Feistel network permutes the numbers of that format, walking on while it leaves the valid ones.  What is
+permuted is the value itself (a day, all digits of a number, an address in lower case), and its way of writing is
+put back after, so equal values have equal pseudonyms in all documents, columns and ways of writing, different
+values different ones, and who holds the key can go back.  White space and punctuation inside a value stay.
 
 | kind | accepted | kept |
 |---|---|---|
 | card | 13 to 19 digits, single spaces or dashes inside, other numbers beside, Luhn digit right | length, Luhn |
 | iban | country, check digits right modulo 97 | country, classes of characters, check |
 | ssn | 3-2-4 digits in issued ranges | those ranges |
-| phone | + and country code, 7 to 14 more digits | country code |
+| phone | + and country code, 7 to 14 more digits | country code, number of digits |
 | ip | four numbers up to 255 | that |
-| date | a day of 1900 to 2099 as y-m-d, d.m.y or m/d/y, a time after T | order, padding, range |
+| date | a day of 1900 to 2099 as y-m-d, d.m.y or m/d/y, a time after T | order, padding, range, what its digits tell of the order |
 | email | local@host.tld | host, classes of the local part's characters |
-| secret | 32 hexadecimal digits or more assigned to a key, token, secret or password | length, case |
+| secret | 32 hexadecimal digits or more assigned to a key, token, secret or password; keys with an issuer's prefix | length, case, prefix, classes |
 
-Defined results: a null text stays null; text without a valid value comes back as it is; repeated rows are
-treated alike; an empty table gives an empty one; other columns pass through.
+Defined results: a null text stays null; text without a valid value comes back as it is; of values that overlap
+the one of the earlier kind is taken; repeated rows are treated alike; an empty table gives an empty one; other
+columns pass through.  The time for a text grows with its length and the number of its values, not their square.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 10
-#: For tests and the query; a corpus has its own.
+#: Where the query finds the key of a corpus; tests and demonstrations have one of their own.
+KEY_SETTING = "spark.nearfold.pseudonymKey"
 DEMO_KEY = b"nearfold demonstration key"
 
 
@@ -148,13 +152,17 @@ def cards(p: Permutation, m: re.Match, back: bool) -> list[tuple[int, int, str]]
     at = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"\d+", m[0])]
     groups = [m.string[a:b] for a, b in at]
     spans = _spans(groups)
-    taken: list[tuple[int, int]] = []
+    by_first: dict[int, list[tuple[int, int, int]]] = {}
+    for k, (a, b) in enumerate(spans):
+        by_first.setdefault(a, []).append((k, a, b))
+    taken = bytearray(len(groups))
     made = []
     for k, (a, b) in enumerate(spans):
         digits = "".join(groups[a:b])
-        if any(a < d and c < b for c, d in taken) or not _is_card(digits):
+        if any(taken[a:b]) or not _is_card(digits):
             continue
-        over = [(c, d) for c, d in spans[:k] if a < d and c < b and not any(c < f and e < d for e, f in taken)]
+        # a span has 19 groups at most
+        over = [(c, d) for first in range(max(0, a - 18), b) for j, c, d in by_first.get(first, ()) if j < k and a < d and not any(taken[c:d])]
         n = len(digits) - 1
 
         def fit(x: int, a=a, b=b, over=over, n=n) -> bool:
@@ -166,7 +174,7 @@ def cards(p: Permutation, m: re.Match, back: bool) -> list[tuple[int, int, str]]
             return not any(_is_card("".join(mine[c:d])) for c, d in over)
 
         body = f"{p(int(digits[:-1]), 10**n, 'card', fit, back):0{n}d}"
-        taken.append((a, b))
+        taken[a:b] = b"\1" * (b - a)
         made.append((at[a][0], at[b - 1][1], _refill(m.string[at[a][0] : at[b - 1][1]], body + _luhn_digit(body))))
     return made
 
@@ -194,12 +202,22 @@ def ssn(p: Permutation, m: re.Match, back: bool) -> str | None:
     return _refill(m[0], f"{p(x, 10**9, 'ssn', _ssn_ok, back):09d}") if _ssn_ok(x) else None
 
 
+#: The calling codes of one and two digits; all others have three.
+CALLING_1 = ("1", "7")
+CALLING_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
 def phone(p: Permutation, m: re.Match, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", m["rest"])
-    if not 7 <= len(digits) <= 14:
+    digits = re.sub(r"\D", "", m[0])
+    n = 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3
+    code, rest = digits[:n], digits[n:]
+    if not 7 <= len(rest) <= 14:
         return None
-    made = f"{p(int(digits), 10 ** len(digits), 'phone' + m['code'], None, back):0{len(digits)}d}"
-    return "+" + m["code"] + _refill(m["rest"], made)
+    made = f"{p(int(rest), 10 ** len(rest), 'phone' + code, None, back):0{len(rest)}d}"
+    return _refill(m[0], code + made)
 
 
 def ip(p: Permutation, m: re.Match, back: bool) -> str | None:
@@ -210,8 +228,16 @@ def ip(p: Permutation, m: re.Match, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4)))
 
 
+def _day_class(d: datetime.date) -> int:
+    """Days of a class can be written alike: with or without a leading zero in month and day, and as day/month, which
+    a day over 12 tells from month/day."""
+    return 3 * (d.month > 9) + (d.day > 9) + (d.day > 12)
+
+
 _FIRST = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
+_CLASS: list[list[int]] = [[] for _ in range(6)]
+for _day in range(_FIRST, datetime.date(2099, 12, 31).toordinal() + 1):
+    _CLASS[_day_class(datetime.date.fromordinal(_day))].append(_day)
 
 
 def date(p: Permutation, m: re.Match, back: bool) -> str | None:
@@ -223,32 +249,27 @@ def date(p: Permutation, m: re.Match, back: bool) -> str | None:
         return None
     part = dict(zip(order, (a, b, c), strict=True))
     try:
-        day = datetime.date(*(int(part[k]) for k in "ymd")).toordinal() - _FIRST
+        day = datetime.date(*(int(part[k]) for k in "ymd"))
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    if not 1900 <= day.year <= 2099:
         return None
-    bare = any(len(part[k]) == 1 for k in "md")  # written without leading zeros
-
-    def fit(x: int) -> bool:
-        """What reads back as the same order and padding."""
-        d = datetime.date.fromordinal(x + _FIRST)
-        if bare and d.month > 9 and d.day > 9:
-            return False
-        if s == "/" and order == "dmy" and d.day <= 12:
-            return False
-        return True
-
-    d = datetime.date.fromordinal(p(day, _DAYS, f"date{order}{bare}", fit, back) + _FIRST)
-    text = {"y": f"{d.year:04d}", "m": f"{d.month}" if bare else f"{d.month:02d}", "d": f"{d.day}" if bare else f"{d.day:02d}"}
+    days = _CLASS[k := _day_class(day)]
+    d = datetime.date.fromordinal(days[p(bisect.bisect_left(days, day.toordinal()), len(days), f"date{k}", None, back)])
+    text = {"y": f"{d.year:04d}", "m": f"{d.month:0{len(part['m'])}d}", "d": f"{d.day:0{len(part['d'])}d}"}
     return s.join(text[k] for k in order)
 
 
 def email(p: Permutation, m: re.Match, back: bool) -> str | None:
-    return by_class(p, m["local"], "email", back) + "@" + m["host"]
+    """Addresses that differ in case alone are one value."""
+    local = m["local"]
+    made = by_class(p, local.lower(), "email", back)
+    return "".join(x.upper() if c.isupper() else x for x, c in zip(made, local, strict=True)) + "@" + m["host"]
 
 
 def secret(p: Permutation, m: re.Match, back: bool) -> str | None:
+    if m["issuer"]:
+        return m["issuer"] + by_class(p, m["key"], "secret" + m["issuer"], back)
     body = m["body"]
     lower = body.lower()
     if body not in (lower, body.upper()):
@@ -257,17 +278,28 @@ def secret(p: Permutation, m: re.Match, back: bool) -> str | None:
     return m["head"] + (made if body == lower else made.upper())
 
 
+#: What issuers put before their keys, and how many characters of which kinds follow.
+ISSUERS = (
+    ("AKIA", "[A-Z0-9]{16}"), ("ASIA", "[A-Z0-9]{16}"), ("AIza", "[A-Za-z0-9_-]{35}"),
+    ("ghp_", "[A-Za-z0-9]{36}"), ("gho_", "[A-Za-z0-9]{36}"), ("ghu_", "[A-Za-z0-9]{36}"), ("ghs_", "[A-Za-z0-9]{36}"), ("ghr_", "[A-Za-z0-9]{36}"),
+    ("github_pat_", "[A-Za-z0-9_]{82}"), ("glpat-", "[A-Za-z0-9_-]{20}"), ("npm_", "[A-Za-z0-9]{36}"),
+    ("xoxb-", "[A-Za-z0-9-]{20,80}"), ("xoxp-", "[A-Za-z0-9-]{20,80}"), ("sk_live_", "[A-Za-z0-9]{24,99}"), ("rk_live_", "[A-Za-z0-9]{24,99}"),
+)
+_ISSUED = "(?P<issuer>" + "|".join(x for x, _ in ISSUERS) + ")(?P<key>" + "|".join(f"(?<={x}){y}" for x, y in ISSUERS) + ")"
+
 #: In order; a later kind doesn't look into what an earlier one took.
 KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | list[tuple[int, int, str]] | None]]] = {
-    "email": (r"(?<![\w.+-])(?P<local>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", email),
-    "secret": (r"(?i)(?P<head>\b(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<body>[0-9a-f]{32,})(?![0-9a-z])", secret),
+    "email": (r"(?<![\w.%+-])(?P<local>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", email),
+    "secret": (rf"(?i:(?P<head>\b(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<body>[0-9a-f]{{32,}})(?![0-9a-z]))|(?<![\w-])(?:{_ISSUED})(?![\w-])", secret),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", iban),
-    "phone": (r"(?<![\w+])\+(?P<code>1|7|[2-9]\d{1,2})(?P<rest>[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,5}){1,6})(?!\w)", phone),
+    "phone": (r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,5}){1,6})(?!\w)", phone),
     "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", cards),
     "date": (r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-./])(?P<b>\d{1,2})(?P=s)(?P<c>\d{4}|\d{1,2})(?:(?=[Tt]\d\d:?\d\d)|(?![\w/-]))(?!\.\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)", ip),
 }
+#: What every value of a kind has.
+_SIGNS = {"email": "@", "phone": "+"}
 _COMPILED = {k: (re.compile(r), f) for k, (r, f) in KINDS.items()}
 
 
@@ -275,15 +307,19 @@ def pseudonymise(text: str, p: Permutation, back: bool = False) -> tuple[str, di
     """The text with its values replaced, and how many of each kind."""
     counts: dict[str, int] = {}
     taken: list[tuple[int, int, str]] = []
+    covered = bytearray(len(text))
     for kind, (pattern, make) in _COMPILED.items():
+        if (sign := _SIGNS.get(kind)) and sign not in text:
+            continue
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
+            if covered.find(1, m.start(), m.end()) >= 0:
                 continue
             made = make(p, m, back)
             if isinstance(made, str):
                 made = [(m.start(), m.end(), made)]
             for one in made or []:
                 taken.append(one)
+                covered[one[0] : one[1]] = b"\1" * (one[1] - one[0])
                 counts[kind] = counts.get(kind, 0) + 1
     out, at = [], 0
     for a, b, made in sorted(taken):
@@ -292,13 +328,16 @@ def pseudonymise(text: str, p: Permutation, back: bool = False) -> tuple[str, di
     return "".join([*out, text[at:]]), counts
 
 
+_LOOK = "[0-9@]|(?i:key|token|secret|passw)|" + "|".join(x for x, _ in ISSUERS)
+
+
 def _over(key: bytes, width: int, text_at: int, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Permutation(key)
         for batch in batches:
             texts = batch.column(text_at)
-            # every kind has a digit, an @ or the name of a secret
-            look = pc.fill_null(pc.match_substring_regex(texts, r"[0-9@]"), False)
+            # every kind has a digit, an @, or the name of a secret or its issuer
+            look = pc.fill_null(pc.match_substring_regex(texts, _LOOK), False)
             made = {}
             counts = [{} for _ in range(batch.num_rows)]
             for i in pc.indices_nonzero(look).to_pylist():
@@ -325,4 +364,5 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, back: bool = False) -> D
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), "text")
-    return pseudonymise_documents(docs, DEMO_KEY)
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise_documents(docs, key.encode() if key else DEMO_KEY)
