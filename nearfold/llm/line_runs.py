@@ -2,21 +2,27 @@
 
 A line's key is the line without white space at both ends, A-Z in lower case.  A run is a table of
 (hi, lo, n_docs, keep): the 128-bit hash of a key, in how many documents it was found, and the largest
-doc_id that holds it, sorted by hash.  Runs live in levels.  Each batch of documents is merged against the
-runs: an anti-join parts its keys into those never seen and those seen, and the batch's own run joins
-level 0.  When a level holds `fanout` runs, they are merged into one run of the next level, so a key is
-rewritten once per level and a batch meets few runs.
+doc_id that holds it, in buckets of the hash, sorted in each.  Runs live in levels, in a folder that can
+outlive the call.  Each batch of documents is sorted into buckets and merged against the runs, bucket by
+bucket: an anti-join leaves the keys never seen, which join level 0 as a run of their own; what the batch
+adds to keys of earlier runs is a run beside them.  When a level holds `fanout` runs, they are merged into
+one run of the next level, so a key is rewritten once per level and a batch meets few runs.  Runs are never
+shuffled again: joins and merges read them by bucket.
 
 Keys of at least `min_chars` code points found in at least `min_docs` documents lose all their lines except
 in the largest doc_id that holds them.
 
 Defined results: a null or empty text has one empty line and stays as it is; a row is a document, so
 repeated rows count each, and rows sharing the largest doc_id all keep the line; a row with a null doc_id
-neither counts nor changes; an empty table gives an empty one; other columns pass through.
+neither counts nor changes; an empty table gives an empty one; other columns pass through.  With a folder
+of runs of earlier calls, their documents count and may hold the line that stays; they aren't rewritten.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,11 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
+from .skew import spread_join
 from .words import SPACES
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
+#: Documents come in batches of about so many lines, in so many batches at least and at most.
+BATCH_LINES = 20_000_000
+LEAST_BATCHES, MOST_BATCHES = 4, 64
 FANOUT = 3
 
 
@@ -76,55 +85,124 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.mapInArrow(_keys(min_chars), "doc_id long, hi long, lo long")
 
 
+_KEY = ["hi", "lo"]
+_RUN = "hi bigint, lo bigint, n_docs bigint, keep bigint"
+
+
 class LineRuns:
-    """The levels.  A key is in one run only; what later batches add to it is in `again`."""
-
-    def __init__(self, scratch: Scratch, fanout: int = FANOUT):
-        self.scratch, self.fanout = scratch, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self.again: list[DataFrame] = []
-        self._made = 0
-
-    def runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
-
-    def _name(self) -> str:
-        self._made += 1
-        return f"run{self._made}"
-
-    def add(self, lines: DataFrame) -> None:
-        """Merge one batch of (doc_id, hi, lo) into the levels."""
-        own = lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep"))
-        held = self.runs()
-        if held:
-            seen = reduce(DataFrame.unionByName, [r.select("hi", "lo", F.lit(False).alias("fresh")) for r in held])
-            own = own.join(seen, ["hi", "lo"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+    """Runs in the levels of a folder.  A key is in one run of `levels` only; what later batches add to it is in
+    `again`, levelled alike.
+
+    The folder's manifest names what is valid; a newer one takes its place when a batch is through, so a batch that
+    failed has left nothing but files that no manifest names.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.version, known = self._manifest()
+        # as many as a shuffle makes, so that a batch is dealt out as the runs are
+        self.buckets: int = known.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = known.get("levels", [])
+        self.again: list[list[str]] = known.get("again", [])
+        self.batches: list[str] = known.get("batches", [])
+        self._open: dict[str, DataFrame] = {}
+
+    def _manifest(self) -> tuple[int, dict]:
+        top = self._path(self.folder)
+        names = [x.getPath().getName() for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        versions = [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)", n))]
+        if not versions:
+            return 0, {}
+        rows = self.spark.read.text(f"{self.folder}/manifest-{max(versions)}").collect()
+        return max(versions), json.loads(rows[0][0])
+
+    def _commit(self, gone: list[str]) -> None:
+        """Name what is valid now; then remove what no longer is."""
+        self.version += 1
+        said = json.dumps({"buckets": self.buckets, "levels": self.levels, "again": self.again, "batches": self.batches})
+        hidden = f"{self.folder}/.manifest-{self.version}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(hidden)
+        if not self._fs.rename(self._path(hidden), self._path(f"{self.folder}/manifest-{self.version}")):
+            raise RuntimeError(f"another writer has made manifest {self.version} of {self.folder}")
+        for name in [*gone, f"manifest-{self.version - 1}"]:
+            self._open.pop(name, None)
+            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+
+    def run(self, name: str) -> DataFrame:
+        """A run, read by bucket."""
+        if name not in self._open:
+            table = f"nearfold_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"create table {table} ({_RUN}) using parquet clustered by (hi, lo) sorted by (hi, lo) into {self.buckets} buckets location '{self.folder}/{name}'")
+            self._open[name] = self.spark.table(table)
+            self.spark.sql(f"drop table {table}")  # the files stay, and the plan knows their buckets
+        return self._open[name]
+
+    def _save(self, df: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        table = f"nearfold_{name.replace('-', '_')}"
+        writer = df.select("hi", "lo", "n_docs", "keep").write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("compression", "none")
+        writer.option("path", f"{self.folder}/{name}").saveAsTable(table)
+        self.spark.sql(f"drop table {table}")
+        return name
+
+    def runs(self) -> list[str]:
+        return [x for level in self.levels for x in level]
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The rows of keys whose (hi, lo) no run holds."""
+        return reduce(lambda df, name: df.join(self.run(name).select(*_KEY).hint("merge"), _KEY, "left_anti"), self.runs(), keys)
+
+    def add(self, lines: DataFrame, label: str | None = None) -> None:
+        """Merge one batch of (doc_id, hi, lo) into the levels; a label that came before is not merged again."""
+        if label is not None and label in self.batches:
+            return
+        batch = self._save(lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep")))
+        gone: list[str] = []
+        if self.runs():
+            fresh = self._save(self.unseen(self.run(batch)))
+            gone.append(batch)
+            more = self._save(self.run(batch).join(self.run(fresh).select(*_KEY).hint("merge"), _KEY, "left_anti"))
+            self.again = [[*(self.again[0] if self.again else []), more], *self.again[1:]]
         else:
-            own = own.withColumn("fresh", F.lit(True))
-        name = self._name()
-        both = self.scratch.save(own.repartition("hi").sortWithinPartitions("fresh", "hi", "lo"), name, codec="none", by="fresh")
-        self.again.append(both.where("not fresh").drop("fresh"))
-        self.levels[0].append((f"{name}/fresh=true", both.where("fresh").drop("fresh")))
-        k = 0
-        while len(self.levels[k]) >= self.fanout:
-            full, self.levels[k] = self.levels[k], []
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            merged = reduce(DataFrame.unionByName, [df for _, df in full])
-            name = self._name()
-            self.levels[k + 1].append((name, self.scratch.save(merged.repartition("hi").sortWithinPartitions("hi", "lo"), name, codec="none")))
-            for old, _ in full:
-                self.scratch.drop(old)
-            k += 1
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of (doc_id, hi, lo) whose key no run holds."""
-        return reduce(lambda df, r: df.join(r, ["hi", "lo"], "left_anti"), self.runs(), lines)
+            fresh = batch
+        self.levels = [[*(self.levels[0] if self.levels else []), fresh], *self.levels[1:]]
+        for levels in (self.levels, self.again):
+            k = 0
+            while k < len(levels):
+                if len(levels[k]) >= self.fanout:
+                    full, levels[k] = levels[k], []
+                    if k + 1 == len(levels):
+                        levels.append([])
+                    one = full[0]
+                    for other in full[1:]:
+                        gone += one, other
+                        one = self._save(self.merged(one, other))
+                    levels[k + 1].append(one)
+                k += 1
+        if label is not None:
+            self.batches.append(label)
+        self._commit(gone)
+
+    def merged(self, one: str, other: str) -> DataFrame:
+        """The keys of two runs, bucket by bucket."""
+        a, b = self.run(one), self.run(other).toDF(*_KEY, "n_more", "keep_more")
+        n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
+        return a.join(b.hint("merge"), _KEY, "full").select(*_KEY, n.alias("n_docs"), F.greatest("keep", "keep_more").alias("keep"))
 
     def table(self) -> DataFrame:
         """All keys, each once, with all that was counted."""
-        both = reduce(DataFrame.unionByName, [*self.runs(), *self.again])
-        return both.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("keep").alias("keep"))
+        found = []
+        for name in self.runs():  # their keys differ
+            df = self.run(name)
+            for more in (x for level in self.again for x in level):
+                also = self.run(more).toDF(*_KEY, "n_more", "keep_more").hint("merge")
+                n = F.col("n_docs") + F.coalesce("n_more", F.lit(0))
+                df = df.join(also, _KEY, "left").select(*_KEY, n.alias("n_docs"), F.greatest("keep", "keep_more").alias("keep"))
+            found.append(df)
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], _RUN)
 
 
 def _rewrite(width: int, text_at: int, count_at: int):
@@ -160,27 +238,31 @@ def _rewrite(width: int, text_at: int, count_at: int):
     return run
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, store: str | None = None, label: str | None = None) -> DataFrame:
     """docs with the repeated lines gone and n_chars, where there is one, counted anew; adds n_lines and n_dropped.
 
-    Columns of docs of those two names give way to the new ones.
+    Columns of docs of those two names give way to the new ones.  store: a folder of runs that stays, for documents
+    that come later; label names this call there, so that a repeated call doesn't count its documents twice.
     """
     scratch = Scratch(spark, "lines")
     docs = docs.drop("n_lines", "n_dropped")
     lines = scratch.save(line_hashes(docs, min_chars), "lines", codec="none")
-    runs = LineRuns(scratch)
+    runs = LineRuns(spark, store or f"{scratch.path}/runs")
+    if batches is None:
+        batches = min(MOST_BATCHES, max(LEAST_BATCHES, lines.count() // BATCH_LINES))
     # later documents first, in batches of about as many rows
-    cuts = lines.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    cuts = lines.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
-    for low, high in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
+    for k, (low, high) in enumerate(reversed(list(zip(edges[:-1], edges[1:], strict=True)))):
         batch = lines
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        runs.add(batch)
-    hot = runs.table().where(F.col("n_docs") >= min_docs)
-    drops = lines.join(hot, ["hi", "lo"]).where("doc_id < keep")
+        runs.add(batch, None if label is None else f"{label}/{k}")
+    hot = scratch.save(runs.table().where(F.col("n_docs") >= min_docs), "hot", codec="none")
+    total = hot.agg(F.sum("n_docs")).first()[0] or 0
+    drops = spread_join(lines, hot, _KEY, "n_docs", total, "inner").where("doc_id < keep")
     drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("__drop")).withColumnRenamed("doc_id", "__id")
     drops = scratch.save(drops, "drops", codec="none")
     joined = docs.join(drops, docs["doc_id"] == drops["__id"], "left").drop("__id")

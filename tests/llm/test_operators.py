@@ -245,21 +245,60 @@ def test_lines(spark, batches):
     assert line_runs.dedup_lines(spark, none(spark)).count() == 0
 
 
-def test_runs(spark):
-    store = line_runs.LineRuns(scratch.Scratch(spark, "r"), fanout=2)
+def test_runs(spark, tmp_path):
+    folder = f"file://{tmp_path}/runs"
     want = {}
-    for b in range(5):
+    for b in range(9):
+        store = line_runs.LineRuns(spark, folder, fanout=2)  # opened anew for each batch
         batch = [(100 * b + i, (b * i) % 7, i % 3) for i in range(12)]
         for d, hi, lo in batch:
             n, keep = want.get((hi, lo), (0, -1))
             want[hi, lo] = (n + 1, max(keep, d))
-        store.add(spark.createDataFrame(batch, "doc_id bigint, hi bigint, lo bigint"))
+        lines = spark.createDataFrame(batch, "doc_id bigint, hi bigint, lo bigint")
+        store.add(lines, f"batch{b}")
+        store.add(lines, f"batch{b}")  # it has been counted
+    store = line_runs.LineRuns(spark, folder, fanout=2)
     assert {(r.hi, r.lo): (r.n_docs, r.keep) for r in store.table().collect()} == want
-    assert all(len(x) < 2 for x in store.levels)
-    keys = [tuple(r) for run in store.runs() for r in run.select("hi", "lo").collect()]
+    assert all(len(x) < 2 for x in [*store.levels, *store.again]) and any(store.again)
+    keys = [tuple(r) for name in store.runs() for r in store.run(name).select("hi", "lo").collect()]
     assert len(keys) == len(set(keys))  # a key is in one run
     probe = spark.createDataFrame([(1, 0, 0), (1, 99, 99)], "doc_id bigint, hi bigint, lo bigint")
     assert [r.hi for r in store.unseen(probe).collect()] == [99]
+    held = {x for level in [*store.levels, *store.again] for x in level}
+    assert {p.name for p in (tmp_path / "runs").iterdir() if p.name.startswith("run-")} == held
+    for name in held:  # sorted in each file
+        for file in (tmp_path / "runs" / name).glob("*.parquet"):
+            rows = [(r.hi, r.lo) for r in spark.read.parquet(f"file://{file}").collect()]
+            assert rows == sorted(rows)
+
+
+def test_runs_are_not_shuffled(spark, tmp_path):
+    """The merge-anti-join and the merges of runs have no exchange but the one that sorts the batch into buckets."""
+    store = line_runs.LineRuns(spark, f"file://{tmp_path}/runs", fanout=5)
+    for b in range(3):
+        store.add(spark.range(500).select((F.col("id") + 300 * b).alias("doc_id"), (F.col("id") + 300 * b).alias("hi"), F.col("id").alias("lo")))
+    for df in (store.unseen(store.run(store.runs()[-1])), store.merged(*store.runs()[:2]), store.table()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+    assert "SortMergeJoin" in store.unseen(store.run(store.runs()[-1]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_earlier_calls(spark, tmp_path):
+    """Documents of a second call lose lines that the first one has brought; a failed batch leaves nothing."""
+    folder = f"file://{tmp_path}/runs"
+    first = [(d, t, s) for d, t, s in ROWS if d is not None and d % 2]
+    second = [(d, t, s) for d, t, s in ROWS if d is not None and d % 2 == 0]
+    line_runs.dedup_lines(spark, table(spark, first), store=folder, label="first", batches=2).count()
+    for _ in range(2):
+        got = line_runs.dedup_lines(spark, table(spark, second), store=folder, label="second", batches=3)
+    want = Counter(plain_lines(first + second)) - Counter(x for x in plain_lines(first + second) if x[0] % 2)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()) == want
+    store = line_runs.LineRuns(spark, folder)
+    before = sorted(map(tuple, store.table().collect()))
+    broken = spark.createDataFrame([(1, 2, 3)], "doc_id bigint, hi bigint, lo bigint").withColumn("doc_id", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        store.add(broken)
+    assert sorted(map(tuple, line_runs.LineRuns(spark, folder).table().collect())) == before
 
 
 # ---------------------------------------------------------------- 6
