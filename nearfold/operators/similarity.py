@@ -1,66 +1,19 @@
 """Cosine joins: pairs above a threshold, nearest neighbours, search.
 
-Pairs of sparse vectors come from a prefix filter, which is exact: with terms from rare to common, two unit
-vectors of cosine t or more have a term in common before the point from which the rest of either is shorter
-than t.  So only the rare ends of vectors are joined, on the term, and candidates are verified once.  Equal
-vectors are one vector in the join.  A block product of dense vectors is there for vectors without rare terms.
+Pairs of sparse vectors come from products of blocks (tiles.py).  Equal vectors are one vector in the join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-_SLACK = 1e-9
-
-
-def prefixes(sparse: DataFrame, threshold: float) -> DataFrame:
-    """(chunk_id, term_index): the rare end of each vector.  A higher index is a rarer term."""
-    upto = W.partitionBy("chunk_id").orderBy("term_index").rowsBetween(W.unboundedPreceding, 0)
-    mass = F.sum(F.col("w") * F.col("w")).over(upto)
-    return sparse.withColumn("__mass", mass).where(F.col("__mass") >= threshold * threshold - _SLACK).select("chunk_id", "term_index")
-
-
-def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b and the product of their sparse vectors."""
-
-    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offs = column.offsets.to_numpy().astype(np.int64)
-        return np.repeat(np.arange(len(column)), np.diff(offs)), column.flatten().to_numpy(zero_copy_only=False)
-
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            part = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(k, 2000)]) for c in batch.columns], names=batch.schema.names)
-            row, ti = flat(part.column("ti"))
-            _, tw = flat(part.column("tw"))
-            other, ui = flat(part.column("ui"))
-            _, uw = flat(part.column("uw"))
-            mine, theirs = row << 32 | ti.astype(np.int64), other << 32 | ui.astype(np.int64)
-            at = np.searchsorted(theirs, mine)
-            hit = (at < len(theirs)) & (theirs[np.minimum(at, max(len(theirs) - 1, 0))] == mine) if len(theirs) else np.zeros(len(mine), bool)
-            sim = np.bincount(row[hit], tw[hit] * uw[at[hit]], part.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-
-
-def sparse_pairs(sparse: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) with a < b and sim >= threshold, each once."""
-    ends = prefixes(sparse, threshold)
-    left = ends.select(F.col("chunk_id").alias("a"), "term_index")
-    right = ends.select(F.col("chunk_id").alias("b"), "term_index")
-    found = left.join(right, "term_index").where("a < b").select("a", "b").distinct()
-    va = packed.select(F.col("chunk_id").alias("a"), "ti", "tw")
-    vb = packed.select(F.col("chunk_id").alias("b"), F.col("ti").alias("ui"), F.col("tw").alias("uw"))
-    both = found.join(va, "a").join(vb, "b").select("a", "b", "ti", "tw", "ui", "uw")
-    return both.mapInArrow(_dots, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
-
+from ..storage import stage
+from .tiles import tile_nearest, tile_pairs
 
 def collapse(packed: DataFrame) -> DataFrame:
     """(chunk_id, rep): the least id with an equal vector."""
@@ -70,11 +23,10 @@ def collapse(packed: DataFrame) -> DataFrame:
     return keyed.join(reps, "key").select("chunk_id", "rep")
 
 
-def near_pairs(sparse: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim), a < b, of all chunks, copies written out.  The result has a row per pair by definition."""
-    groups = collapse(packed)
-    reps = groups.where("chunk_id = rep").select("chunk_id")
-    core = sparse_pairs(sparse.join(reps, "chunk_id", "left_semi"), packed.join(reps, "chunk_id", "left_semi"), threshold)
+def near_pairs(packed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b, of all chunks, copies written out.  The result has a row per pair by definition; see
+    near_groups for what grows with the chunks."""
+    core, groups = near_groups(packed, threshold)
     ga = groups.select(F.col("chunk_id").alias("ca"), F.col("rep").alias("a"))
     gb = groups.select(F.col("chunk_id").alias("cb"), F.col("rep").alias("b"))
     across = core.join(ga, "a").join(gb, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "sim")
@@ -82,24 +34,40 @@ def near_pairs(sparse: DataFrame, packed: DataFrame, threshold: float) -> DataFr
     return across.unionByName(inside)
 
 
-def neighbours(sparse: DataFrame, packed: DataFrame, threshold: float, limit: int = 10) -> DataFrame:
+def near_groups(packed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, sim) of different vectors, a and b the least ids that have them, and (chunk_id, rep): who has
+    which."""
+    groups = stage(collapse(packed), "groups")
+    return tile_pairs(_representatives(packed, groups), threshold), groups
+
+
+def _representatives(packed: DataFrame, groups: DataFrame) -> DataFrame:
+    return stage(packed.join(groups.where("chunk_id = rep").select("chunk_id"), "chunk_id", "left_semi"), "representatives")
+
+
+def neighbours(packed: DataFrame, threshold: float, limit: int = 10, new_ids: DataFrame | None = None) -> DataFrame:
     """(a, b, sim, rank): of the `limit` nearest chunks, itself included, those of sim >= threshold.
 
-    What is under the threshold would be dropped anyway, so the nearest are taken among pairs above it.  Of
-    equal vectors only the first `limit` ids can be among the nearest, so copies are never all written out.
-    Equal similarities go by id.
+    What is under the threshold would be dropped anyway, so the nearest are taken among pairs above it.  The
+    `limit` nearest different vectors have the `limit` nearest chunks, and of equal vectors only the first `limit`
+    ids can be among them, so copies are never all written out.  Similarities are rounded to nine digits; equal
+    ones go by id.  new_ids: the chunks (id) whose neighbours are wanted, else all.
     """
-    groups = collapse(packed)
-    reps = groups.where("chunk_id = rep").select("chunk_id")
-    core = sparse_pairs(sparse.join(reps, "chunk_id", "left_semi"), packed.join(reps, "chunk_id", "left_semi"), threshold)
-    both = core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    both = both.unionByName(reps.select(F.col("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("sim")))
+    groups = stage(collapse(packed), "groups")
+    vectors = _representatives(packed, groups)
+    wanted = groups if new_ids is None else groups.join(new_ids.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    reps = groups.where("chunk_id = rep").select("rep") if new_ids is None else wanted.select("rep").distinct()
+    if new_ids is None:
+        core = tile_nearest(vectors, threshold, limit)
+    else:
+        core = tile_nearest(stage(vectors.join(reps.withColumnRenamed("rep", "chunk_id"), "chunk_id", "left_semi"), "wanted"), threshold, limit, vectors)
+    both = core.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim")))
     first = W.partitionBy("rep").orderBy("chunk_id")
     heads = groups.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select(F.col("rep").alias("b"), F.col("chunk_id").alias("cb"))
     # the nearest of a representative are those of all its copies
     near = W.partitionBy("a").orderBy(F.col("sim").desc(), "cb")
     best = both.join(heads, "b").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= limit).select("a", "cb", "sim", "rank")
-    out = groups.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ca")).join(best, "a")
+    out = wanted.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ca")).join(best, "a")
     return out.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "sim", "rank")
 
 

@@ -1,11 +1,16 @@
-"""TF-IDF vectors over a frozen vocabulary, as sparse rows (chunk_id, term_index, w).
+"""TF-IDF vectors over a frozen vocabulary, as sparse rows (chunk_id, term_index, w) or packed, a row a chunk.
 
-Only ids and terms are shuffled, never the code.  The vocabulary has a fixed number of terms, so joining it
-is a broadcast of bounded size at any size of corpus.
+The vocabulary has a fixed number of terms, so every task has all of it and a chunk is embedded where it is read,
+without a shuffle.  Only its making groups terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,12 +46,41 @@ def build_vocabulary(chunks: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.select("term", "term_index", "df", F.log(F.col("n_chunks").cast("double") / F.col("df")).alias("idf"))
 
 
+def embed(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(chunk_id, ti, tw): vectors of unit length, terms ascending; a chunk without weight has no row."""
+    known = sorted((r["term_index"], r["term"], r["idf"]) for r in vocabulary.select("term", "term_index", "idf").collect())  # SIZE rows at most
+    index = np.array([k for k, _, _ in known], np.int64)
+    idf = np.array([x for _, _, x in known])
+    terms = pa.array([t for _, t, _ in known], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            total = np.diff(words.offsets.to_numpy()).astype(np.int64)
+            at = pc.index_in(words.flatten(), terms)
+            found = at.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), total)[found]
+            key, n = np.unique(row * max(1, len(idf)) + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
+            row, term = np.divmod(key, max(1, len(idf)))
+            w = n / total[row] * idf[term]
+            row, term, w = row[w > 0], term[w > 0], w[w > 0]
+            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
+            size = np.bincount(row, minlength=batch.num_rows)
+            some = np.flatnonzero(size)
+            edge = pa.array(np.concatenate([[0], np.cumsum(size[some])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(edge, pa.array(index[term], pa.int32())), pa.ListArray.from_arrays(edge, pa.array(w))], names=["chunk_id", "ti", "tw"])
+
+    return tokens(chunks).select(F.col("chunk_id").cast("bigint"), "terms").where("terms is not null").mapInArrow(run, "chunk_id bigint, ti array<int>, tw array<double>")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(chunk_id, term_index, w) of packed vectors."""
+    return packed.select("chunk_id", F.inline(F.arrays_zip(F.col("ti").alias("term_index"), F.col("tw").alias("w"))))
+
+
 def weights(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(chunk_id, term_index, w) of unit length; a chunk without weight has no rows."""
-    terms = F.broadcast(vocabulary.select("term", "term_index", "idf"))
-    x = term_counts(chunks).join(terms, "term").select("chunk_id", "term_index", (F.col("n") / F.col("total") * F.col("idf")).alias("w")).where("w > 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("chunk_id")))
-    return x.select("chunk_id", "term_index", (F.col("w") / norm).alias("w"))
+    return unpacked(embed(chunks, vocabulary))
 
 
 def vectors(sparse: DataFrame) -> DataFrame:

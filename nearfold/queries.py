@@ -267,12 +267,11 @@ def vocabulary_idf(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf.build_vocabulary(_chunks(spark, sf)).withColumn("idf", _r6(F.col("idf")))
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Chunks, vocabulary, sparse rows and packed vectors; vectors are read by several joins, so staged."""
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, vocabulary and packed vectors; vectors are read by several joins, so staged."""
     chunks = _chunks(spark, sf)
     vocabulary = stage(tfidf.build_vocabulary(chunks), "vocabulary")
-    sparse = stage(tfidf.weights(chunks, vocabulary), "sparse")
-    return chunks, vocabulary, sparse, stage(tfidf.vectors(sparse), "vectors")
+    return chunks, vocabulary, stage(tfidf.embed(chunks, vocabulary), "vectors")
 
 
 @query(f"with {_TFIDF} select id as chunk_id, term_index, round(w, 6) as w from y")
@@ -290,8 +289,8 @@ def tfidf_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_PAIRS} select a, b, round(sim, 6) as sim from pairs")
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, sparse, packed = _vectors(spark, sf)
-    return similarity.near_pairs(sparse, packed, 0.85).withColumn("sim", _r6(F.col("sim")))
+    _, _, packed = _vectors(spark, sf)
+    return similarity.near_pairs(packed, 0.85).withColumn("sim", _r6(F.col("sim")))
 
 
 _NEAR = f"""{_PAIRS},
@@ -302,8 +301,8 @@ near as (select a, b, sim from both_ways qualify row_number() over (partition by
 @query(f"with {_NEAR} select a, count(*) as n, round(min(sim), 6) as least_sim, round(sum(sim), 6) as total from near group by 1")
 def knn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Among equal similarities the ids chosen can differ with rounding, so what is compared are similarities."""
-    _, _, sparse, packed = _vectors(spark, sf)
-    near = similarity.neighbours(sparse, packed, 0.85, 10)
+    _, _, packed = _vectors(spark, sf)
+    near = similarity.neighbours(packed, 0.85, 10)
     return near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), _r6(F.min("sim")).alias("least_sim"), _r6(F.sum("sim")).alias("total"))
 
 
@@ -364,8 +363,8 @@ s4 as (select sha, term_index, w / sqrt(sum(w * w) over (partition by sha)) as w
 hit as (select y.id, s4.sha from y join s4 using (term_index) group by 1, 2 having sum(y.w * s4.w) >= 0.6)
 select distinct id from hit union select doc_id from documents where sha1(text) in (select sha from s)""")
 def skip_similar(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, vocabulary, sparse, packed = _vectors(spark, sf)
-    return skiplist.skipped(chunks, sparse, packed, _skips(spark, sf), vocabulary, 0.6)
+    chunks, vocabulary, packed = _vectors(spark, sf)
+    return skiplist.skipped(chunks, packed, _skips(spark, sf), vocabulary, 0.6)
 
 
 @query("select sha1(text) as sha, count(*) as n from (select text from benchmark union select text from documents where doc_id < 50 and text is not null) group by 1")
@@ -453,8 +452,8 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
     """Incremental assignment of all documents; depends on order, so a test holds it against a plain loop."""
-    chunks, _, sparse, packed = _vectors(spark, sf)
-    near = similarity.neighbours(sparse, packed, 0.85, 10).where("a <> b")
+    chunks, _, packed = _vectors(spark, sf)
+    near = similarity.neighbours(packed, 0.85, 10).where("a <> b")
     none = spark.createDataFrame([], "cluster_id bigint, chunk_id bigint, similarity double")
     return clustering.assign(stage(near, "near"), chunks.select("id"), chunks.select("id").limit(0), none)
 
@@ -505,8 +504,8 @@ def refreeze_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked clusters of near-duplicate documents."""
-    chunks, _, sparse, packed = _vectors(spark, sf)
-    near = stage(similarity.neighbours(sparse, packed, 0.85, 10).where("a <> b"), "near")
+    chunks, _, packed = _vectors(spark, sf)
+    near = stage(similarity.neighbours(packed, 0.85, 10).where("a <> b"), "near")
     none = spark.createDataFrame([], "cluster_id bigint, chunk_id bigint, similarity double")
     members = stage(clustering.assign(near, chunks.select("id"), chunks.select("id").limit(0), none), "members")
     clusters = members.select("cluster_id", F.col("cluster_id").alias("canonical_chunk_id")).distinct()

@@ -76,11 +76,11 @@ def test_pairs_and_neighbours(spark):
     sparse = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(len(m)) for j in range(30) if m[i, j] > 0], "chunk_id bigint, term_index int, w double")
     packed = tfidf.vectors(sparse)
     s = m @ m.T
-    got = {(r.a, r.b): r.sim for r in similarity.near_pairs(sparse, packed, 0.85).collect()}
+    got = {(r.a, r.b): r.sim for r in similarity.near_pairs(packed, 0.85).collect()}
     want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if s[i, j] >= 0.85}
     assert set(got) == want and all(got[k] == pytest.approx(s[k]) for k in want)
     near = {}
-    for r in similarity.neighbours(sparse, packed, 0.85, 10).collect():
+    for r in similarity.neighbours(packed, 0.85, 10).collect():
         near.setdefault(r.a, []).append((r.rank, r.b, r.sim))
     for i in range(len(m)):
         best = sorted((x for x in s[i] if x >= 0.85 - 1e-12), reverse=True)[:10]
