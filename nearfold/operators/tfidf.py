@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokens import token_slices
 
 SIZE = 1536
 
@@ -31,10 +32,20 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     return x.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, row, tokens in token_slices(batch.column(0)):
+            coded = tokens.dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            each = np.unique(row * width + coded.indices.to_numpy()) % width
+            df = np.bincount(each, minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(df.astype(np.int64))], names=["term", "df"])
+
+
 def document_frequency(chunks: DataFrame) -> DataFrame:
     """(term, df): in how many chunks the term is."""
-    each = tokens(chunks).select(F.explode(F.array_distinct("terms")).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = chunks.select(F.lower("code").alias("code")).mapInArrow(_frequencies, "term string, df bigint")
+    return each.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def build_vocabulary(chunks: DataFrame, size: int = SIZE) -> DataFrame:
@@ -51,26 +62,25 @@ def embed(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     known = sorted((r["term_index"], r["term"], r["idf"]) for r in vocabulary.select("term", "term_index", "idf").collect())  # SIZE rows at most
     index = np.array([k for k, _, _ in known], np.int64)
     idf = np.array([x for _, _, x in known])
-    terms = pa.array([t for _, t, _ in known], pa.string())
+    terms = pa.array([t for _, t, _ in known], pa.large_string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(1)
-            total = np.diff(words.offsets.to_numpy()).astype(np.int64)
-            at = pc.index_in(words.flatten(), terms)
-            found = at.is_valid().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), total)[found]
-            key, n = np.unique(row * max(1, len(idf)) + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
-            row, term = np.divmod(key, max(1, len(idf)))
-            w = n / total[row] * idf[term]
-            row, term, w = row[w > 0], term[w > 0], w[w > 0]
-            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
-            size = np.bincount(row, minlength=batch.num_rows)
-            some = np.flatnonzero(size)
-            edge = pa.array(np.concatenate([[0], np.cumsum(size[some])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(edge, pa.array(index[term], pa.int32())), pa.ListArray.from_arrays(edge, pa.array(w))], names=["chunk_id", "ti", "tw"])
-
-    return tokens(chunks).select(F.col("chunk_id").cast("bigint"), "terms").where("terms is not null").mapInArrow(run, "chunk_id bigint, ti array<int>, tw array<double>")
+            for first, n_texts, where, tokens in token_slices(batch.column(1)):
+                total = np.bincount(where, minlength=n_texts)
+                at = pc.index_in(tokens, terms)
+                found = at.is_valid().to_numpy(zero_copy_only=False)
+                key, n = np.unique(where[found] * max(1, len(idf)) + at.drop_null().to_numpy().astype(np.int64), return_counts=True)
+                row, term = np.divmod(key, max(1, len(idf)))
+                w = n / total[row] * idf[term]
+                row, term, w = row[w > 0], term[w > 0], w[w > 0]
+                w = w / np.sqrt(np.bincount(row, w * w, n_texts))[row]
+                size = np.bincount(row, minlength=n_texts)
+                some = np.flatnonzero(size)
+                edge = pa.array(np.concatenate([[0], np.cumsum(size[some])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + some)), pa.ListArray.from_arrays(edge, pa.array(index[term], pa.int32())), pa.ListArray.from_arrays(edge, pa.array(w))], names=["chunk_id", "ti", "tw"])
+
+    return chunks.select(F.col("id").cast("bigint").alias("chunk_id"), F.lower("code").alias("code")).mapInArrow(run, "chunk_id bigint, ti array<int>, tw array<double>")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
