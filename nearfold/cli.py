@@ -35,7 +35,7 @@ def parse(argv: list[str]) -> tuple[EngineConfig, list[str]]:
 def main(argv: list[str] | None = None) -> int:
     config, paths = parse(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("nearfold").getOrCreate()
-    engine = Engine(spark, config)
+    engine = Engine(spark, config, say=lambda line: print(line, file=sys.stderr))
     try:
         if config.print_ignore:
             print("\n".join(engine.print_ignore(paths[0] if paths else ".")))

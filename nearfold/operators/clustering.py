@@ -102,22 +102,41 @@ def score(strategy: str, code_bytes, lines, size, avg_similarity):
     return lines * avg_similarity * (1 + F.when(size > 1, F.log2(size)).otherwise(F.lit(0.0)))
 
 
-def load_clusters(clusters: DataFrame, members: DataFrame, chunks: DataFrame, strategy: str = "default") -> DataFrame:
-    """Clusters with canonical chunk, members (nearest first, then by id), statistics and score."""
-    place = chunks.select(F.col("id").alias("chunk_id"), "path", "language", "start_line", "end_line", "code", "sha")
-    full = members.join(place, "chunk_id")
-    item = F.struct((-F.col("similarity")).alias("o"), "chunk_id", "path", "language", "start_line", "end_line", "code", "sha", "similarity")
-    stats = full.groupBy("cluster_id").agg(
+def by_size(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """Clusters with their statistics, largest first, then by id."""
+    return clusters.join(statistics(members), "cluster_id").orderBy(F.col("size").desc(), "cluster_id")
+
+
+def summaries(clusters: DataFrame, members: DataFrame, chunks: DataFrame, strategy: str = "default") -> DataFrame:
+    """Clusters with canonical chunk, statistics and score.  No code but the canonical chunk's is moved."""
+    place = members.join(chunks.select(F.col("id").alias("chunk_id"), "start_line", "end_line"), "chunk_id")
+    stats = place.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("size"),
         F.avg("similarity").alias("avg_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.sum(total_lines(F.col("start_line"), F.col("end_line"))).alias("total_lines"),
-        F.sort_array(F.collect_list(item)).alias("chunks"),
     )
-    canon = place.select(F.col("chunk_id").alias("canonical_chunk_id"), F.struct("chunk_id", "path", "language", "start_line", "end_line", "code", "sha").alias("canonical"))
+    canon = chunks.select(F.col("id").alias("canonical_chunk_id"), F.struct(F.col("id").alias("chunk_id"), "path", "language", "start_line", "end_line", "code", "sha").alias("canonical"))
     x = clusters.select("cluster_id", "canonical_chunk_id").join(stats, "cluster_id").join(canon, "canonical_chunk_id")
     s = score(strategy, F.octet_length("canonical.code"), F.col("total_lines"), F.col("size"), F.col("avg_similarity"))
-    return x.withColumn("score", s).withColumn("sha", F.col("canonical.sha")).select("cluster_id", "sha", "canonical", "chunks", "size", "avg_similarity", "max_similarity", "total_lines", "score")
+    return x.withColumn("score", s).withColumn("sha", F.col("canonical.sha")).select("cluster_id", "sha", "canonical", "size", "avg_similarity", "max_similarity", "total_lines", "score")
+
+
+def with_members(summed: DataFrame, members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The given clusters with their member chunks, nearest first, then by id.
+
+    A cluster's members with their code make one row, which is what a report shows of it.
+    """
+    own = members.join(summed.select("cluster_id"), "cluster_id", "left_semi")
+    place = chunks.select(F.col("id").alias("chunk_id"), "path", "language", "start_line", "end_line", "code", "sha")
+    item = F.struct((-F.col("similarity")).alias("o"), "chunk_id", "path", "language", "start_line", "end_line", "code", "sha", "similarity")
+    lists = own.join(place, "chunk_id").groupBy("cluster_id").agg(F.sort_array(F.collect_list(item)).alias("chunks"))
+    return summed.join(lists, "cluster_id").select("cluster_id", "sha", "canonical", "chunks", "size", "avg_similarity", "max_similarity", "total_lines", "score")
+
+
+def load_clusters(clusters: DataFrame, members: DataFrame, chunks: DataFrame, strategy: str = "default") -> DataFrame:
+    """All clusters with canonical chunk, members, statistics and score."""
+    return with_members(summaries(clusters, members, chunks, strategy), members, chunks)
 
 
 def ranked(loaded: DataFrame, limit: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -40,3 +42,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     fs.deleteOnExit(p)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Manifest:
+    """What is valid in a folder, as numbered JSON texts of which the newest counts.
+
+    A text is written aside and then renamed, so a reader sees one whole state or the one before, and of two writers
+    of one number the second fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _numbers(self) -> list[int]:
+        p, fs = hadoop(self.spark, self.folder)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)", n)))
+
+    def read(self) -> tuple[int, dict]:
+        """The newest number (0: none) and its content."""
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {}
+        return numbers[-1], json.loads(self.spark.read.text(f"{self.folder}/manifest-{numbers[-1]}").first()[0])
+
+    def write(self, number: int, content: dict) -> None:
+        aside = f"{self.folder}/.manifest-{number}-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(aside)
+        target, fs = hadoop(self.spark, f"{self.folder}/manifest-{number}")
+        if fs.exists(target) or not fs.rename(hadoop(self.spark, aside)[0], target):
+            raise RuntimeError(f"another writer has made manifest {number} of {self.folder}")
+        for old in self._numbers():
+            if old < number:
+                fs.delete(hadoop(self.spark, f"{self.folder}/manifest-{old}")[0], True)

@@ -15,7 +15,8 @@ def file_stream(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame
 
 
 def run_incremental(engine: Engine, stream: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each micro-batch is ingested and clustered.  A batch that comes again finds its files up to date."""
+    """Each micro-batch is ingested and clustered.  A batch that comes again finds its files up to date, and chunks
+    that are stored but not clustered, if it failed between the two, are clustered then."""
 
     def step(batch: DataFrame, _: int) -> None:
         engine.cluster(engine.ingest(batch))

@@ -193,3 +193,50 @@ def test_components(spark):
     seen = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in seen}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_json_pairs():
+    """Objects, arrays and pairs, breadth first, with the places and children of a syntax tree."""
+    got = chunking.parse_json('{"a": [1, {"b": "x,}"}],\n "c" : {}, "d": 2 }')
+    assert got == [
+        ("object", 7, 1, 2, '{"a": [1, {"b": "x,}"}],\n "c" : {}, "d": 2 }'),
+        ("pair", 3, 1, 1, '"a": [1, {"b": "x,}"}]'),
+        ("pair", 3, 2, 2, '"c" : {}'),
+        ("pair", 3, 2, 2, '"d": 2'),
+        ("array", 5, 1, 1, '[1, {"b": "x,}"}]'),
+        ("object", 2, 2, 2, "{}"),
+        ("object", 3, 1, 1, '{"b": "x,}"}'),
+        ("pair", 3, 1, 1, '"b": "x,}"'),
+    ]
+    assert chunking.parse_json("[]") == [("array", 2, 1, 1, "[]")] and chunking.parse_json("3") == []
+
+
+def test_tiles(spark, monkeypatch):
+    """Whatever the blocks, pairs, nearest and members are those of the whole product."""
+    from nearfold.operators import tiles
+
+    rng = np.random.default_rng(5)
+    m = np.abs(rng.normal(size=(70, 12))) * (rng.random((70, 12)) < 0.6)
+    m[5], m[6] = m[4], m[4]
+    m = m[np.linalg.norm(m, axis=1) > 0]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(10 * i, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for i, r in enumerate(m)]
+    packed = spark.createDataFrame(rows, "chunk_id bigint, ti array<int>, tw array<double>")
+    s = m @ m.T
+    n = len(m)
+    for size in (7, 20, 1000):
+        monkeypatch.setattr(tiles, "ROWS", size)
+        got = {(r.a, r.b): r.sim for r in tiles.tile_pairs(packed, 0.7).collect()}
+        assert set(got) == {(10 * i, 10 * j) for i in range(n) for j in range(i + 1, n) if s[i, j] >= 0.7}
+        assert all(v == pytest.approx(s[a // 10, b // 10]) for (a, b), v in got.items())
+        near = {}
+        for r in tiles.tile_nearest(packed, 0.5, 4).collect():
+            near.setdefault(r.a, []).append((-r.sim, r.b))
+        some = {r.a: None for r in tiles.tile_nearest(packed.where("chunk_id < 100"), 0.5, 4, packed).collect()}
+        for i in range(n):
+            want = sorted((-round(s[i, j], 9), 10 * j) for j in range(n) if j != i and s[i, j] >= 0.5)[:4]
+            assert [b for _, b in sorted(near.get(10 * i, []))[:4]] == [b for _, b in want]
+            assert (10 * i in some) == (i < 10 and bool(want))
+        hits = {r.id for r in tiles.tile_members(packed, packed.where("chunk_id < 50"), 0.8).collect()}
+        assert hits == {10 * j for j in range(n) if s[:5, j].max() >= 0.8}
+    assert tiles.tile_pairs(packed.limit(0), 0.5).count() == 0 and tiles.tile_members(packed, packed.limit(0), 0.5).count() == 0
