@@ -43,7 +43,7 @@ from .words import Words, _short, find_words, grams, hash_words, mix, text_slice
 K = 5
 GROUP = 256
 #: Shingles that a mapper gathers before it writes a block.
-_HELD = 3_000_000
+_HELD = 2_000_000
 #: A shingle in so many sets of a block is sent as a count.
 _FREQUENT = 64
 #: Lists of groups are chained in so many parts, and the parts' first ones again.
