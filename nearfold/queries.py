@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.globs import compile_simple
 from .functions.languages import EXTENSIONS, file_language
 from .operators import chunking, clustering, similarity, skiplist, tfidf
-from .plans.state import needs_update, replace_files
+from .plans.state import growth, needs_update, replace_files, should_refreeze, with_ids
 from .sources import ignore, sinks
 from .sources.files import files_from_table
 from .storage import stage
@@ -103,23 +104,8 @@ def chunk_location_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id as id, length(text) as n from documents where text is not null order by n desc, id limit 100")
 def chunks_by_length(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.length("code").cast("long")
-    return _chunks(spark, sf).select("id", n.alias("n")).orderBy(F.col("n").desc(), "id").limit(100)
-
-
-_RANGES = "(select 'f' || user_id % 20 as path, (event_id % 7)::int as s, (event_id % 7 + event_id % 5)::int as e, event_id as id from events where event_id < 400)"
-
-
-@query(f"""select a.id as a, b.id as b from {_RANGES} a join {_RANGES} b on a.path = b.path and a.id < b.id
-where ((a.s >= b.s and a.e <= b.e) or (b.s >= a.s and b.e <= a.e)) and not (a.s = b.s and a.e = b.e)""")
-def subset_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature is the predicate; ranges are made of the first events."""
-    e = _table(spark, sf, "events").where("event_id < 400")
-    r = e.select(F.concat(F.lit("f"), F.col("user_id") % 20).alias("path"), (F.col("event_id") % 7).cast("int").alias("s"), (F.col("event_id") % 7 + F.col("event_id") % 5).cast("int").alias("e"), F.col("event_id").alias("id"))
-    a, b = r.alias("a"), r.alias("b")
-    c = F.col
-    rel = X.is_subset(c("a.path"), c("a.s"), c("a.e"), c("b.path"), c("b.s"), c("b.e"))
-    return a.join(b, (c("a.path") == c("b.path")) & (c("a.id") < c("b.id")) & rel).select(c("a.id").alias("a"), c("b.id").alias("b"))
+    """The longest are the feature."""
+    return chunking.by_length(_chunks(spark, sf), 100).select("id", F.length("code").cast("long").alias("n"))
 
 
 _ALL_RANGES = "(select 'f' || user_id % 20 || '/' || event_id // 400 as path, (event_id % 7)::int as s, (event_id % 7 + event_id % 5)::int as e, event_id as id from events)"
@@ -192,6 +178,22 @@ def ignore_tree(spark: SparkSession, sf: str) -> DataFrame:
     return ignore.ignored_by_tree(r, ignore.tree_rules(texts, (".nearfoldignore", ".gitignore"))).select("rel", "tree_ignored")
 
 
+@query(f"""with r as (select distinct {_REL} as rel from pages), a as (select rel, unnest(generate_series(1, len(string_split(rel, '/')))) as k from r),
+p as (select rel, array_to_string(string_split(rel, '/')[1:k], '/') as part from a),
+m as (select rel, bool_or({_match_sql("part", "string_split(part, '/')[-1]")} is not null) as listed from p group by 1),
+x as (select rel, listed, string_split(rtrim(rel, '/'), '/') as p, lower(regexp_extract(rel, '(\\.[^./]*)$', 1)) as ext from m),
+t as (select *, regexp_matches(p[-1], '^[0-9]*5$') and not (len(p) > 1 and p[1] = 'en' and ends_with(p[-1], '7')) as tree_ignored, len(p) > 1 and p[1] = 'en' and ends_with(p[-1], '7') and not ends_with(rel, '/') as included from x)
+select rel, not listed and not tree_ignored as walked, not listed and not tree_ignored and (included or ext = '.html') as analysed from t""")
+def ignore_two_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """The resolved patterns come first and can't be taken back; a ! in the tree's files passes the language check."""
+    r = _table(spark, sf, "pages").select(_rel().alias("rel")).distinct()
+    texts = spark.createDataFrame([(".gitignore", "[0-9]5\n[0-9][0-9]5\n[0-9][0-9][0-9]5\n[0-9][0-9][0-9][0-9]5\n5\n"), ("en/.gitignore", "!*7\n")], "rel string, content string")
+    names = (".nearfoldignore", ".gitignore")
+    x = ignore.ignored_by_tree(ignore.ignored_by_list(r, PATTERNS), ignore.tree_rules(texts, names))
+    walked = ~F.col("listed") & ~F.col("tree_ignored")
+    return x.select("rel", walked.alias("walked"), (walked & (F.col("tree_included") | ignore.analyzable(F.col("rel"), F.lit(b"")))).alias("analysed"))
+
+
 @query("""with c as (select page_id, case page_id % 5 when 0 then chr(0) || html when 1 then repeat(chr(7), 200) || html else html end as h from pages),
 b as (select page_id, encode(h)[1:512] as b from c), x as (select page_id, hex(b) as h, octet_length(b) as n from b),
 y as (select page_id, n, h, list_transform(generate_series(0, n - 1), lambda i: substr(h, (2 * i + 1)::int, 2)) as bytes from x)
@@ -306,6 +308,39 @@ def knn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), _r6(F.min("sim")).alias("least_sim"), _r6(F.sum("sim")).alias("total"))
 
 
+@query(f"with {_NEAR} select a, b, round(sim, 6) as sim from near")
+def knn_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours themselves: similarities are rounded to nine digits, and equal ones go by id."""
+    _, _, packed = _vectors(spark, sf)
+    return similarity.neighbours(packed, 0.85, 10).select("a", "b", _r6(F.col("sim")).alias("sim"))
+
+
+@query(f"""with {_PAIRS}, old as (select id from nn where id % 3 <> 0),
+both_ways as (select a, b, round(sim, 9) as sim from pairs union all select b, a, round(sim, 9) from pairs union all select id, id, 1.0::double from nn),
+near as (select a, b, sim from both_ways qualify row_number() over (partition by a order by sim desc, b) <= 10)
+select a, b, round(sim, 6) as sim from near where a not in (select id from old)""")
+def knn_of_new_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of the chunks of a later batch, a third of all, among all."""
+    chunks, _, packed = _vectors(spark, sf)
+    new = chunks.where("id % 3 = 0").select("id")
+    return similarity.neighbours(packed, 0.85, 10, new).select("a", "b", _r6(F.col("sim")).alias("sim"))
+
+
+@query("""with c as (select event_id as id, 'f' || user_id % 20 || '/' || event_id // 400 as path, (event_id % 7)::int as s, (event_id % 7 + event_id % 5)::int as e from events),
+n as (select a.id as a, b.id as b from c a join c b on b.id between a.id - 40 and a.id + 40)
+select n.a, n.b from n join c x on x.id = n.a join c y on y.id = n.b
+where n.a <> n.b and not (x.path = y.path and ((x.s >= y.s and x.e <= y.e) or (y.s >= x.s and y.e <= x.e)) and not (x.s = y.s and x.e = y.e))""")
+def neighbours_unrelated(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each event and those of the 40 ids around it, those that neither are it nor lie in its range or it in theirs."""
+    c = F.col
+    start = c("event_id") % 7
+    path = F.concat(F.lit("f"), c("user_id") % 20, F.lit("/"), F.floor(c("event_id") / 400))
+    r = _table(spark, sf, "events").select(c("event_id").alias("id"), path.alias("path"), start.cast("int").alias("start_line"), (start + c("event_id") % 5).cast("int").alias("end_line"))
+    b = r.select(c("id").alias("b"))
+    near = r.select(c("id").alias("a"), F.explode(F.sequence(c("id") - 40, c("id") + 40)).alias("b")).join(b, "b").select("a", "b", F.lit(1.0).alias("sim"), F.lit(1).alias("rank"))
+    return similarity.without_related(near, r).select("a", "b")
+
+
 _QUERY = "the and of in onthe eron tion her with that this was for"
 
 
@@ -350,10 +385,12 @@ def _skips(spark: SparkSession, sf: str) -> DataFrame:
     return skiplist.skip_rows(_table(spark, sf, "benchmark").select(F.col("text").alias("code")), "now")
 
 
-@query("select doc_id as id from documents where sha1(text) in (select sha1(text) from documents where doc_id % 10 = 0)")
-def skip_exact(spark: SparkSession, sf: str) -> DataFrame:
+@query("select doc_id as id from documents where sha1(text) in (select sha1(text) from documents where text is not null group by 1 having count(*) > 1)")
+def skip_exact_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The list holds every text that has a copy."""
     c = _chunks(spark, sf)
-    return skiplist.skipped_exact(c, c.where("id % 10 = 0"))
+    listed = c.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return skiplist.skipped_exact(c, listed)
 
 
 @query(f"""with {_TFIDF}, s as (select sha1(text) as sha, min(text) as text from benchmark group by 1),
@@ -367,14 +404,6 @@ def skip_similar(spark: SparkSession, sf: str) -> DataFrame:
     return skiplist.skipped(chunks, packed, _skips(spark, sf), vocabulary, 0.6)
 
 
-@query("select sha1(text) as sha, count(*) as n from (select text from benchmark union select text from documents where doc_id < 50 and text is not null) group by 1")
-def skip_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """A sha is listed once, however often it is added."""
-    fresh = _chunks(spark, sf).where("id < 50")
-    once = skiplist.add_skips(_skips(spark, sf).dropDuplicates(["sha"]), fresh, "now")
-    return skiplist.add_skips(once, fresh, "later").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("select sha1(text) as sha, count(*) as n from (select text from benchmark union select text from documents where text is not null) group by 1")
 def skip_upsert_all(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, added twice."""
@@ -435,6 +464,15 @@ def small_cluster_delete(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.small_clusters(clusters, members)
 
 
+@query(f"with {_CLUSTERS} select cluster_id, size, rank() over (order by size desc, cluster_id) as place from s")
+def clusters_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    clusters, members, _ = _clusters(spark, sf)
+    clusters, members = clustering.drop_small(clusters, members)
+    ordered = clustering.by_size(clusters, members).select("cluster_id", "size")
+    # an id each in the order that the rows come in; clusters are far fewer than chunks
+    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
 @query(f"with {_CLUSTERS} select cluster_id, string_agg(chunk_id::varchar, ',' order by similarity desc, chunk_id) as members from m where cluster_id in (select cluster_id from s) group by 1")
 def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     return _big(spark, sf).select("cluster_id", F.array_join(F.transform("chunks", lambda x: x["chunk_id"].cast("string")), ",").alias("members"))
@@ -497,9 +535,16 @@ def incremental_union(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select round((count(*) - count(*) filter (where doc_id % 4 <> 0))::double / count(*), 6) as growth,
 (count(*) - count(*) filter (where doc_id % 4 <> 0))::double / count(*) > 0.2 as refreeze from documents""")
 def refreeze_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    now, frozen = F.count(F.lit(1)), F.count_if(F.col("doc_id") % 4 != 0)
-    growth = (now - frozen).cast("double") / now
-    return _table(spark, sf, "documents").agg(_r6(growth).alias("growth"), ((frozen == 0) | (growth > 0.2)).alias("refreeze"))
+    """What the engine decides on, from the numbers of chunks now and at the freeze."""
+    now, frozen = _table(spark, sf, "documents").agg(F.count(F.lit(1)), F.count_if(F.col("doc_id") % 4 != 0)).first()
+    return spark.createDataFrame([(round(growth(now, frozen), 6), should_refreeze(now, frozen, 0.2))], "growth double, refreeze boolean")
+
+
+@query("select 'doc/' || doc_id as path, row_number() over (order by 'doc/' || doc_id, text) + 7 as id from documents where text is not null")
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids follow the order of path, lines and code, after those given before."""
+    c = _chunks(spark, sf).select(F.concat(F.lit("doc/"), "id").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "code")
+    return with_ids(c, 7).select("path", "id")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
