@@ -1,37 +1,20 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components whose rounds go to the folder of an operator call."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .scratch import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60, label: str = "edges") -> DataFrame:
-    """(v, component) for every vertex of edges (a, b); the component is its least vertex.
+def components(edges: DataFrame, scratch: Scratch, label: str = "edges") -> DataFrame:
+    """(v, component) for every vertex of edges (a, b) that has another; the component is its least vertex."""
 
-    Each round is written, so lineage stays short; the number of rounds grows with the logarithm of the
-    number of vertices.
-    """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}0")
-    before = None
-    for k in range(1, most):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        # small star: every smaller neighbour and the vertex itself hang on the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = low.select("a", F.col("m").alias("b")).unionByName(small).where("a <> b").distinct()
-        after = scratch.save(after, f"{label}{k}")
-        mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def save(df: DataFrame, k: int) -> DataFrame:
+        saved = scratch.save(df, f"{label}{k}")
         if k > 1:
             scratch.drop(f"{label}{k - 1}")
-        now = after
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("component"))
+        return saved
+
+    return connected_components(edges, save=save)

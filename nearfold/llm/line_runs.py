@@ -20,8 +20,6 @@ of runs of earlier calls, their documents count and may hold the line that stays
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -34,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import Manifest, hadoop
 from .scratch import Scratch
 from .skew import spread_join
 from .words import SPACES
@@ -99,10 +98,8 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.version, known = self._manifest()
+        self.manifest = Manifest(spark, self.folder)
+        self.version, known = self.manifest.read()
         # as many as a shuffle makes, so that a batch is dealt out as the runs are
         self.buckets: int = known.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = known.get("levels", [])
@@ -110,26 +107,14 @@ class LineRuns:
         self.batches: list[str] = known.get("batches", [])
         self._open: dict[str, DataFrame] = {}
 
-    def _manifest(self) -> tuple[int, dict]:
-        top = self._path(self.folder)
-        names = [x.getPath().getName() for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        versions = [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)", n))]
-        if not versions:
-            return 0, {}
-        rows = self.spark.read.text(f"{self.folder}/manifest-{max(versions)}").collect()
-        return max(versions), json.loads(rows[0][0])
-
     def _commit(self, gone: list[str]) -> None:
         """Name what is valid now; then remove what no longer is."""
         self.version += 1
-        said = json.dumps({"buckets": self.buckets, "levels": self.levels, "again": self.again, "batches": self.batches})
-        hidden = f"{self.folder}/.manifest-{self.version}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(hidden)
-        if not self._fs.rename(self._path(hidden), self._path(f"{self.folder}/manifest-{self.version}")):
-            raise RuntimeError(f"another writer has made manifest {self.version} of {self.folder}")
-        for name in [*gone, f"manifest-{self.version - 1}"]:
+        self.manifest.write(self.version, {"buckets": self.buckets, "levels": self.levels, "again": self.again, "batches": self.batches})
+        for name in gone:
             self._open.pop(name, None)
-            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
+            path, fs = hadoop(self.spark, f"{self.folder}/{name}")
+            fs.delete(path, True)
 
     def run(self, name: str) -> DataFrame:
         """A run, read by bucket."""

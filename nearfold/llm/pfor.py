@@ -32,6 +32,8 @@ from .scratch import Scratch
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 90
+#: The driver and every task hold a cut point for each.
+MOST_SHARDS = 20_000
 _HEAD = struct.Struct("<4sIQII")
 _INDEX = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("start", "<u8")])
 _BITS = np.array([0] + [1 << k for k in range(32)], np.uint64)
@@ -231,11 +233,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_files(spark: SparkSession, docs: DataFrame, scratch: Scratch, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, wide: bool = False, rows: int = 4096, most: int = 1 << 21) -> DataFrame:
     """Token files (shard, seq, n_ids, image) in ascending doc_id order, written to the shared folder.
 
-    Shards are ranges of doc_id between quantiles of that column alone, so the texts are encoded once,
-    where they are read, and only ids are shuffled.  wide: ids above 65535.
+    Shards are ranges of doc_id between quantiles of that column alone, of about `rows` rows but never more than
+    MOST_SHARDS, so the texts are encoded once, where they are read, and only ids are shuffled.  wide: ids above
+    65535.
     """
     found = docs.select(F.count(F.lit(1)), F.min("doc_id")).first()
-    shards = max(1, -(-found[0] // rows))
+    shards = max(1, min(MOST_SHARDS, -(-found[0] // rows)))
     shares = [k / shards for k in range(1, shards)]
     cuts: list[int] = []
     if shares:
@@ -243,7 +246,7 @@ def write_files(spark: SparkSession, docs: DataFrame, scratch: Scratch, vocabula
     # shard: how many cuts are below doc_id; a null is below all
     keyed = docs.select(F.col("doc_id").cast("long"), "text")
     coded = keyed.mapInArrow(_encode(vocabulary, end_id, wide, np.array(cuts, np.int64)), "shard int, doc_id long, ids binary")
-    spread = coded.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    spread = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     images = spread.mapInArrow(_images(wide, most), "shard int, seq int, n_ids long, image binary")
     return scratch.save(images, "tokens", codec="none")
 

@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="nearfold-")
-    return f"file://{_own[app]}"
-
+from ..storage import hadoop, shared_dir
 
 class Scratch:
     """Tables of one operator call.  They cut lineage, survive lost executors and go when the session ends."""
@@ -28,10 +15,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/nearfold-{label}-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path)
+        path, fs = hadoop(spark, self.path)
+        fs.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
@@ -46,5 +31,5 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        self._fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        path, fs = hadoop(self.spark, f"{self.path}/{name}")
+        fs.delete(path, True)
