@@ -37,7 +37,7 @@ from .scratch import Scratch
 
 CAPACITY = 2048
 #: Pieces of one length in a part of its ranking.
-PART = 100_000
+PART = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
