@@ -169,6 +169,33 @@ def _to_docs(dtype: str):
 _WINDOWS = pa.schema([("p", pa.int32()), ("owners", pa.binary()), ("steps", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()), ("at", pa.binary())])
 
 
+#: Bits for the first word of a run of windows and for how many there are; what is left marks the text, for rows may
+#: share a doc_id.
+_PLACE, _COUNT = 28, 12
+
+
+def _mark(text: bytes) -> int:
+    return zlib.crc32(text) >> (_PLACE + _COUNT - 32)
+
+
+def _item(mark: np.ndarray, count: np.ndarray | int, place: np.ndarray) -> np.ndarray:
+    return mark << U(_PLACE + _COUNT) | (np.zeros(len(place), U) + U(1) * count) << U(_PLACE) | place.astype(U)
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of documents as runs of windows that follow each other."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    n = np.arange(len(doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    new |= (n - np.repeat(first, np.diff(np.append(first, len(doc))))) % ((1 << _COUNT) - 1) == 0  # as many as fit a count
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(doc))).astype(U)
+    return doc[first], _item(marks[doc[first]], count, place[first])
+
+
 def _extend(bits: int, window: int, anchor: int):
     """Windows around the anchors of each document, by range of their hash."""
 
@@ -199,14 +226,13 @@ def _extend(bits: int, window: int, anchor: int):
                     big, start = big[order], start[order]
                     doc = w.doc[start]
                     out: dict[str, list] = {f.name: [] for f in _WINDOWS}
-                    # where a window begins, after a mark of the text: rows may share a doc_id
-                    text = np.array([zlib.crc32(t.text(i)) for i in range(len(t))], U) << U(32)
+                    text = np.array([_mark(t.text(i)) for i in range(len(t))], U)
                     if len(big):
                         own = ids[t.first + doc]
                         first, least, _ = _ends(big, own)
                         later = own > np.repeat(least, np.diff(np.append(first, len(big))))
-                        place = text[doc] | (start - w.bound[doc]).astype(U)
-                        _direct(out, by_owner(own[later], place[later], max(0, bits - 1)), "at")
+                        who, items = _runs(doc[later], (start - w.bound[doc])[later], text)
+                        _direct(out, by_owner(ids[t.first + who], items, max(0, bits - 1)), "at")
                         big, start, doc = big[~later], start[~later], doc[~later]
                     check = (big & U((1 << (64 - HASH_BITS)) - 1)).astype("<u2")  # what the 50 bits leave of the 64
                     h50 = big >> U(64 - HASH_BITS)
@@ -216,7 +242,7 @@ def _extend(bits: int, window: int, anchor: int):
                         if a < b:
                             there, local = np.unique(doc[a:b], return_inverse=True)
                             steps, places, _ = encode(h50[a:b], local, bits, p)
-                            places_of = (text[doc[a:b]] | (start[a:b] - w.bound[doc[a:b]]).astype(U)).astype("<u8")
+                            places_of = _item(text[doc[a:b]], 1, start[a:b] - w.bound[doc[a:b]]).astype("<u8")
                             for name, v in zip(_WINDOWS.names, (p, ids[t.first + there].tobytes(), steps, places, check[a:b].tobytes(), places_of.tobytes()), strict=True):
                                 out[name].append(v)
                     yield table(out, _WINDOWS)
@@ -267,11 +293,13 @@ def _remove(width: int, text_at: int, window: int):
                     x = lists[t.first + i]
                     keep = np.ones(b - a, bool)
                     if x.is_valid:
-                        at = np.frombuffer(x.as_py(), "<u8")
-                        at = (at[at >> U(32) == zlib.crc32(t.text(i))] & U(0xFFFFFFFF)).astype(np.int64)
+                        items = np.frombuffer(x.as_py(), "<u8")
+                        items = items[items >> U(_PLACE + _COUNT) == _mark(t.text(i))]
+                        at = (items & U((1 << _PLACE) - 1)).astype(np.int64)
+                        n = (items >> U(_PLACE) & U((1 << _COUNT) - 1)).astype(np.int64)
                         cover = np.zeros(b - a + 1, np.int64)
                         np.add.at(cover, at, 1)
-                        np.add.at(cover, at + window, -1)
+                        np.add.at(cover, at + n - 1 + window, -1)
                         keep = np.cumsum(cover[:-1]) <= 0
                     text = t.text(i)
                     base = int(t.offs[i])
@@ -289,8 +317,8 @@ def _remove(width: int, text_at: int, window: int):
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, per_range: int = 1_000_000) -> DataFrame:
-    """(doc_id, hits): the first words of windows that also start in a document with a smaller doc_id, after the
-    crc32 of the text that they are in."""
+    """(doc_id, hits): the first words of windows that also start in a document with a smaller doc_id, in
+    runs, after a mark of the text that they are in."""
     anchor = window // 2
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

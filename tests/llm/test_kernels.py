@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfold.llm import blobs, digest, packing, pfor, pieces, warc, words
+from nearfold.llm import anchors, blobs, digest, packing, pfor, pieces, warc, words
 
 TEXTS = ["", "a b  c\n d", " \t\n", "é ü\x0bx\x0cy\rz", "word" * 50, "a b c", "one two three four five six one two three four five six", "x" * 3000, None]
 
@@ -343,3 +343,19 @@ def test_digest_check():
     with pytest.raises(ValueError):
         warc.parse_record(b"WARC/1.1\r\nContent-Length: x\r\n\r\n")
     assert zlib.crc32(b"") == 0
+
+
+def test_runs_of_windows():
+    doc = np.array([0] * 9000 + [1, 1, 1, 2])
+    place = np.concatenate([np.arange(9000) + 7, [5, 3, 4, 0]])
+    marks = np.array([5, (1 << 24) - 1, 0], np.uint64)
+    shuffled = np.random.default_rng(1).permutation(len(doc))
+    who, items = anchors._runs(doc[shuffled], place[shuffled], marks)
+    assert who.tolist() == [0, 0, 0, 1, 2]
+    back = []
+    for w, x in zip(who.tolist(), items.tolist()):
+        assert x >> 40 == marks[w]
+        back += [(w, (x & ((1 << 28) - 1)) + k) for k in range(x >> 28 & 4095)]
+    assert back == sorted(zip(doc.tolist(), place.tolist()))
+    none = anchors._runs(np.zeros(0, np.int64), np.zeros(0, np.int64), marks)
+    assert len(none[0]) == len(none[1]) == 0
