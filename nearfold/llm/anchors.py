@@ -242,8 +242,9 @@ def _extend(bits: int, window: int, anchor: int):
                         if a < b:
                             there, local = np.unique(doc[a:b], return_inverse=True)
                             steps, places, _ = encode(h50[a:b], local, bits, p)
-                            places_of = _item(text[doc[a:b]], 1, start[a:b] - w.bound[doc[a:b]]).astype("<u8")
-                            for name, v in zip(_WINDOWS.names, (p, ids[t.first + there].tobytes(), steps, places, check[a:b].tobytes(), places_of.tobytes()), strict=True):
+                            places_of = (start[a:b] - w.bound[doc[a:b]]).astype("<u4")
+                            who = ids[t.first + there].tobytes() + text[there].astype("<u4").tobytes()
+                            for name, v in zip(_WINDOWS.names, (p, who, steps, places, check[a:b].tobytes(), places_of.tobytes()), strict=True):
                                 out[name].append(v)
                     yield table(out, _WINDOWS)
 
@@ -261,8 +262,10 @@ def _later(bits: int):
         for r in group.to_pylist():
             h50, place = decode(r["steps"], r["places"], bits, p)
             hs.append(h50 << U(64 - HASH_BITS) | np.frombuffer(r["checks"], "<u2").astype(U))
-            docs.append(np.frombuffer(r["owners"], "<i8")[place])
-            ats.append(np.frombuffer(r["at"], "<u8"))
+            n = len(r["owners"]) // 12  # 8 bytes of doc_id each, then 4 of the mark of the text
+            docs.append(np.frombuffer(r["owners"], "<i8", n)[place])
+            marks = np.frombuffer(r["owners"], "<u4", n, 8 * n).astype(U)
+            ats.append(_item(marks[place], 1, np.frombuffer(r["at"], "<u4")))
         h, doc, at = np.concatenate(hs), np.concatenate(docs), np.concatenate(ats)
         del hs, docs, ats
         order = np.argsort(h, kind="stable")
@@ -326,11 +329,14 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, win
     probes = docs.mapInArrow(_probe(bits, anchor), "p int, owners binary, steps binary, places binary")
     hits = probes.groupBy("p").applyInArrow(_anchors(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u8"), "doc_id long, hits binary")
     by_doc = scratch.save(hits, "hits", codec="none").withColumnRenamed("doc_id", "__id")
+    del probes, hits
     scratch.settle()
     held = docs.join(by_doc, docs["doc_id"] == F.col("__id")).select("doc_id", "text", "hits")
     windows = held.mapInArrow(_extend(bits, window, anchor), "p int, owners binary, steps binary, places binary, checks binary, at binary")
     later = windows.groupBy("p").applyInArrow(_later(bits), OWNED_DDL).groupBy("bucket").applyInArrow(_to_docs("<u8"), "doc_id long, hits binary")
     later = scratch.save(later, "later", codec="none")
+    del held, windows, by_doc
+    scratch.drop("hits")
     scratch.settle()
     return later
 
