@@ -25,9 +25,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(target)
 
     def settle(self) -> None:
-        """Between phases: Spark removes the shuffle files of plans that nothing holds any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Between phases: Spark removes the shuffle files of plans that nothing holds any more.
+
+        What Python lets go reaches the JVM with the next call, so the second collection is the one that finds it.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
