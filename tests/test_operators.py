@@ -240,3 +240,91 @@ def test_tiles(spark, monkeypatch):
         hits = {r.id for r in tiles.tile_members(packed, packed.where("chunk_id < 50"), 0.8).collect()}
         assert hits == {10 * j for j in range(n) if s[:5, j].max() >= 0.8}
     assert tiles.tile_pairs(packed.limit(0), 0.5).count() == 0 and tiles.tile_members(packed, packed.limit(0), 0.5).count() == 0
+
+
+GO_SOURCE = """package main
+
+type Point struct {
+	X, Y int // a { brace
+}
+
+const (
+	A = 1
+	B = "}"
+)
+
+func (p Point) Sum(k int) int {
+	if n := k; n > 0 {
+		return p.X + n
+	} else if k < 0 {
+		return 0
+	}
+	for i := 0; i < k; i++ {
+		k--
+	}
+	return p.Y
+}
+
+func plain() {
+	x := map[string]int{"a": 1}
+	_ = x
+}
+"""
+JS_SOURCE = """import x from 'y'
+export async function load(a, b) {
+  const f = (c) => { return `}${c}` };
+  if (a) { return b } else { return f(a) }
+}
+class Box extends Base {
+  static size(w) {
+    for (let i = 0; i < w; i++) { w-- }
+    while (w) w--;
+    switch (w) { case 1: break }
+  }
+}
+"""
+JAVA_SOURCE = """package p;
+public class Box extends Base {
+  private int w;
+  public int size(int k) throws Bad {
+    if (k > 0) return k; else return w;
+  }
+  List<String> names() { return null; }
+}
+"""
+C_SOURCE = """#include <stdio.h>
+#define F(x) { x
+static int add(int a, int b) {
+  do { a++; } while (a < b);
+  for (int i = 0; i < b; i++)
+    a += i;
+  return a;
+}
+"""
+
+
+@pytest.mark.parametrize(
+    ("language", "source", "want"),
+    [
+        ("go", GO_SOURCE, [("type_declaration", 2, 3, 5), ("const_declaration", 5, 7, 10), ("method_declaration", 6, 12, 22), ("function_declaration", 4, 24, 27), ("if_statement", 7, 13, 17), ("for_statement", 3, 18, 20), ("if_statement", 3, 15, 17)]),
+        ("javascript", JS_SOURCE, [("function_declaration", 5, 2, 5), ("class_declaration", 4, 6, 12), ("lexical_declaration", 3, 3, 3), ("if_statement", 4, 4, 4), ("method_definition", 4, 7, 11), ("arrow_function", 3, 3, 3), ("for_statement", 7, 8, 8), ("while_statement", 3, 9, 9), ("switch_statement", 3, 10, 10)]),
+        ("java", JAVA_SOURCE, [("class_declaration", 5, 2, 8), ("method_declaration", 6, 4, 6), ("method_declaration", 4, 7, 7), ("if_statement", 5, 5, 5)]),
+        ("c", C_SOURCE, [("function_definition", 4, 3, 8), ("for_statement", 8, 5, 6)]),
+    ],
+)
+def test_braces(language, source, want):
+    from nearfold.operators.braces import parse_braces
+
+    got = [n for n in parse_braces(source, language) if not (n[0] == "lexical_declaration" and n[4].startswith("let"))]
+    assert [n[:4] for n in got] == want
+    lines = source.split("\n")
+    assert all(n[4].count("\n") == n[3] - n[2] and lines[n[2] - 1].find(n[4].split("\n")[0]) >= 0 for n in got)
+    with pytest.raises(ValueError):
+        parse_braces(source + "}", language)
+
+
+def test_scanned_files(spark):
+    """Nodes where there are some, lines where there are none or brackets don't match."""
+    got = chunking.chunk_files(files(spark, [("a.go", GO_SOURCE), ("b.go", "let x\nlet y\nlet z\n"), ("c.go", "func f() {\nx\ny\n"), ("d.java", JAVA_SOURCE)]), EngineConfig())
+    rows = sorted((r.path, r.start_line, r.end_line) for r in got.collect())
+    assert rows == [("a.go", 3, 5), ("a.go", 7, 10), ("a.go", 12, 22), ("a.go", 13, 17), ("a.go", 15, 17), ("a.go", 18, 20), ("a.go", 24, 27), ("b.go", 1, 3), ("c.go", 1, 3), ("d.java", 2, 8), ("d.java", 4, 6), ("d.java", 5, 5), ("d.java", 7, 7)]
