@@ -487,13 +487,29 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cascade_delete(clusters, members, gone)[1].select("cluster_id", "chunk_id")
 
 
-@query()
+# the fold in order of ids: the state is a map of chunks to clusters, and a step takes the next chunk with neighbours
+_FOLD = f"""with recursive {_NEAR},
+lists as (select a, list(b order by sim desc, b) as bs, list(sim order by sim desc, b) as sims from near where a <> b group by a),
+todo as materialized (select a, bs, sims, row_number() over (order by a) as k from lists),
+steps as (
+  select 0::bigint as k, map([]::bigint[], []::struct(c bigint, s double)[]) as m
+  union all
+  select t.k, case when map_contains(f.m, t.a) then f.m
+    when map_contains(f.m, t.bs[1]) then map_concat(f.m, map([t.a], [struct_pack(c := f.m[t.bs[1]].c, s := t.sims[1])]))
+    else map_concat(f.m, map(
+      list_prepend(t.a, t.bs[:coalesce(list_position(list_transform(t.bs, lambda b: map_contains(f.m, b)), true) - 1, len(t.bs))]),
+      list_prepend(struct_pack(c := t.a, s := 1.0::double), list_transform(t.sims[:coalesce(list_position(list_transform(t.bs, lambda b: map_contains(f.m, b)), true) - 1, len(t.bs))], lambda x: struct_pack(c := t.a, s := x))))) end
+  from steps f join todo t on t.k = f.k + 1),
+ends as (select unnest(map_entries(m)) as x from steps where k = (select max(k) from steps))"""
+
+
+@query(f"{_FOLD} select x.value.c as cluster_id, x.key as chunk_id, round(x.value.s, 6) as similarity from ends")
 def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
-    """Incremental assignment of all documents; depends on order, so a test holds it against a plain loop."""
+    """Incremental assignment of all documents, which depends on their order."""
     chunks, _, packed = _vectors(spark, sf)
     near = similarity.neighbours(packed, 0.85, 10).where("a <> b")
     none = spark.createDataFrame([], "cluster_id bigint, chunk_id bigint, similarity double")
-    return clustering.assign(stage(near, "near"), chunks.select("id"), chunks.select("id").limit(0), none)
+    return clustering.assign(stage(near, "near"), chunks.select("id"), chunks.select("id").limit(0), none).withColumn("similarity", _r6(F.col("similarity")))
 
 
 @query(f"""with {_CLUSTERS} select cluster_id, json_extract_string(j, '$.cluster_id') as short_id, (json_extract(j, '$.size'))::bigint as size from (
