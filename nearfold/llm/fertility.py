@@ -14,7 +14,7 @@ no rows.  A column of the input that has the name of a measure gives way to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +54,15 @@ class Band:
     short_evenness: float = 0.6
 
 
-#: By language, else by script.  The bounds of languages were set on the labelled rows of even doc_id of the 10,000
-#: test documents, at the tail of what clean text of 100 tokens or more measures there (a few in a thousand lie
-#: outside); those of latin are looser than any language's.  Other scripts have no labelled rows.  The test documents'
-#: words are few, so natural prose lies up to 2 bits over their entropy and the upper bound stands at 2.5.
+#: By language, else by script.  Those of languages and of latin are what fit_bands finds on the labelled rows of even
+#: doc_id of the 10,000 test documents (a test fits them again).  Other scripts have no labelled rows.  The test
+#: documents' words are few, so natural prose lies up to 2 bits over their entropy and the upper bound stands at 2.5.
 BANDS = {
-    "en": Band(chars_low=1.9, second_low=2.06, bytes_high=0.1, entropy_below=0.22),
-    "de": Band(chars_low=2.03, second_low=2.14, bytes_high=0.1, entropy_below=0.28),
-    "fr": Band(chars_low=1.7, second_low=1.86, bytes_high=0.1, entropy_below=0.36),
-    "es": Band(chars_low=1.76, second_low=1.91, bytes_high=0.1, entropy_below=0.34),
-    "latin": Band(chars_low=1.6, second_low=1.78, bytes_high=0.1, entropy_below=0.5),
+    "en": Band(chars_low=1.97, second_low=2.04, bytes_high=0.1, entropy_below=0.22),
+    "de": Band(chars_low=2.03, second_low=2.15, bytes_high=0.1, entropy_below=0.29),
+    "fr": Band(chars_low=1.7, second_low=1.85, bytes_high=0.1, entropy_below=0.38),
+    "es": Band(chars_low=1.75, second_low=1.9, bytes_high=0.1, entropy_below=0.35),
+    "latin": Band(chars_low=1.6, second_low=1.75, bytes_high=0.1, entropy_below=0.48),
     "cyrillic": Band(chars_low=1.2),
     "greek": Band(chars_low=0.7, second_low=0.4),
     "east_asian": Band(chars_low=0.25, second_low=0.25, bytes_high=0.9, entropy_low=4.0),
@@ -157,10 +156,14 @@ def base_counts(t: Texts, w: Words) -> dict[str, np.ndarray]:
     return {"n_words": words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "scripts": scripts}
 
 
+#: A parabola in the logarithm of the number of tokens, fitted on the rows as BANDS were.
+USUAL = (0.23, 1.147, -0.05)
+
+
 def usual_entropy(tokens: np.ndarray) -> np.ndarray:
-    """The entropy of clean text of so many tokens: a parabola in their logarithm, fitted on the rows as BANDS were."""
+    """The entropy of clean text of so many tokens."""
     x = np.log2(np.clip(tokens, 1, 4096))
-    return 0.23 + 1.147 * x - 0.05 * x * x
+    return USUAL[0] + USUAL[1] * x + USUAL[2] * x * x
 
 
 _made: dict[tuple[str, str], Fertility] = {}
@@ -229,6 +232,44 @@ def judge(docs: DataFrame, carry: list[str], first: str = FIRST, second: str = S
     return out.toDF(*carry, *_NAMES)
 
 
+#: Labelled rows that bands are fitted on at most; clean ones a language needs; the share of clean text that may lie
+#: outside a bound; what a bound gives way beyond that, in characters per token and in bits; the same for a script.
+FIT_ROWS, FIT_LEAST, FIT_TAIL, FIT_SLACK, FIT_SCRIPT_SLACK = 20_000, 100, 0.001, 0.02, 0.12
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, least: int = FIT_LEAST, first: str = FIRST, second: str = SECOND) -> dict[str, Band]:
+    """Bands of languages and scripts, from clean rows (quality 1) of labels (doc_id, quality).
+
+    The sample is the `most` labelled doc_ids whose hash is least, so it doesn't grow with the corpus and reruns
+    agree.  Lower bounds stand FIT_SLACK under the FIT_TAIL quantile of what the clean texts of a language measure
+    that pass the base rules and have enough tokens; a script takes the loosest of its languages with
+    FIT_SCRIPT_SLACK.  Languages and scripts with under `least` such texts keep their band of BANDS, as do the
+    other bounds; a null lang is no language; null ids and qualities are left out, and an id with two qualities
+    counts as its lower; empty tables give BANDS.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).where("quality = 1").select("doc_id")
+    scripts = {s: BANDS[s] for s in SCRIPTS}
+    rows = judge(docs.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id"), ["lang"], first, second, scripts)
+    x = F.log2(F.least(F.greatest("n_tokens", F.lit(1)), F.lit(4096)))
+    off = F.col("token_entropy") - (F.lit(USUAL[0]) + F.lit(USUAL[1]) * x + F.lit(USUAL[2]) * x * x)
+    clean = rows.where(~F.col("base_failed") & (F.col("n_tokens") >= Band.least_tokens) & F.col("lang").isNotNull())
+    low = [F.percentile(v, F.lit(FIT_TAIL)).alias(n) for n, v in (("chars", F.col("chars_per_token")), ("second", F.col("chars_per_token_2")), ("off", off))]
+    found = clean.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("n"), *low).where(F.col("n") >= least)
+
+    def bounds(rows: list, slack: float) -> dict[str, float]:
+        lowest = {n: min(r[n] for r in rows) - slack for n in ("chars", "second", "off")}
+        return {"chars_low": round(lowest["chars"], 2), "second_low": round(lowest["second"], 2), "entropy_below": round(-lowest["off"], 2)}
+
+    out, by_script = dict(BANDS), {}
+    for r in sorted(found.collect(), key=lambda r: (r["n"], r["lang"], r["band"])):  # a row per language and script of the sample
+        out[r["lang"]] = replace(BANDS.get(r["lang"], BANDS[r["band"]]), **bounds([r], FIT_SLACK))
+        by_script.setdefault(r["band"], []).append(r)
+    for script, group in by_script.items():
+        out[script] = replace(BANDS[script], **bounds(group, FIT_SCRIPT_SLACK))
+    return out
+
+
 def keep_good(docs: DataFrame, first: str = FIRST, second: str = SECOND, bands: dict[str, Band] | None = None) -> DataFrame:
     """The rows of docs that the rules keep, as they are."""
     names = docs.columns

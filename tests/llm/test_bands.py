@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold.llm import fertility as ft
 from nearfold.llm.words import text_slices
@@ -70,3 +71,31 @@ def test_short_texts(vocabularies, lang):
     assert [(r["base_failed"], r["kept"], r["n_tokens"] < 100) for r in junk] == [(False, False, True)] * len(junk)
     clean = judged(vocabularies, SHORT_CLEAN, [lang] * len(SHORT_CLEAN))
     assert all(r["n_tokens"] < 100 and r["kept"] for r in clean)
+
+
+FIT = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(FIT), reason="no test tables")
+def test_bands_are_fitted(spark):
+    """BANDS come from rows of even doc_id; the others are held out."""
+    docs, labels = spark.read.parquet(f"{FIT}/documents.parquet"), spark.read.parquet(f"{FIT}/labels.parquet")
+    assert ft.fit_bands(docs.where("doc_id % 2 = 0"), labels) == ft.BANDS
+    held = ft.judge(docs.where("doc_id % 2 = 1").join(labels, "doc_id"), ["quality"]).where("not base_failed and n_tokens >= 100")
+    n = {(r.quality, r.kept): r["count"] for r in held.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, True), 0) <= 0.02 * n[0, False] and n.get((1, False), 0) <= 0.005 * n[1, True]
+
+
+def test_fit_of_odd_rows(spark):
+    """A new language gets a band of its own; nulls, repeated rows, clashing columns and empty tables do no harm."""
+    words = [a + b for a in "maa meri taivas ilta aamu koti joki pelto kivi tuuli sade lumi".split() for b in "ssa lla ksi".split()]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200)), "fi") for i in range(30)] + [(None, "x", None), (77, None, "fi"), (78, "", "fi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1)).withColumn("quality", F.lit(0))
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(i, 1) for i in range(3)] + [(None, 1), (77, 1), (78, None)], "doc_id long, quality int")
+    made = ft.fit_bands(docs, labels, least=20)
+    kept = {r.doc_id: r.kept for r in ft.judge(docs, ["doc_id"], bands=made).collect()}
+    assert set(made) == {*ft.BANDS, "fi"} and all(kept[i] for i in range(30)) and not kept[77] and not kept[78]
+    assert {k: v for k, v in made.items() if k not in ("fi", "latin")} == {k: v for k, v in ft.BANDS.items() if k != "latin"}
+    assert ft.fit_bands(docs, labels.limit(0)) == ft.BANDS == ft.fit_bands(docs.limit(0), labels, least=1)
+    assert ft.fit_bands(docs, labels, most=10, least=20) == ft.BANDS
