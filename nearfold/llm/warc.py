@@ -6,7 +6,8 @@ failed check it searches on: inside the archive for the next place where a gzip
 version line, inside plain bytes for the next version line that a parsable header follows.  Records after
 a damage are recovered; every byte range that gave none is logged as quarantined, with the reason.
 
-Archive images travel as rows (archive, image), so they can lie in any store that Spark reaches.
+Archive images travel as rows (archive, image), so they can lie in any store that Spark reaches; export_archives
+and open_archives make files of them and read files.
 """
 
 from __future__ import annotations
@@ -268,6 +269,44 @@ def read_archives(archives: DataFrame) -> DataFrame:
     )
 
 
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each archive image as a file NAME.warc.gz under folder; (path, size) of the files.
+
+    folder: a path or URI that pyarrow's file systems know and all workers reach.  A file's name is told by its
+    partition, place and content and it appears under that name when whole, so a task that runs again writes the
+    same files; write from a stored table, whose partitions stay.  The result is what makes the files: each action
+    on it writes them.  A null image is left out, an empty table gives no file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for image in batch.column(0):
+                if not image.is_valid:
+                    continue
+                data = image.as_buffer()
+                name = f"part-{part:06d}-{k:06d}-{hashlib.sha256(data).hexdigest()[:16]}.warc.gz"
+                early = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(early, compression=None) as out:
+                    out.write(data)
+                store.move(early, f"{root}/{name}")
+                k += 1
+                yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([data.size], pa.int64())], names=["path", "size"])
+
+    return archives.select("image").mapInArrow(run, "path string, size long")
+
+
+def open_archives(spark: SparkSession, folder: str, pattern: str = "*.{warc,warc.gz}") -> DataFrame:
+    """(path, image) of the archive files below a folder, of at most 2 GB each, for read_archives."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("content").alias("image"))
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes a record per page, reads the archives back and returns records and gaps.
 

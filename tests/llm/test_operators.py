@@ -1,5 +1,6 @@
 """Operators of this subpackage against plain versions, on small tables with odd rows."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -436,6 +437,26 @@ def test_warc(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Archives as files: any gzip reader opens them, reruns write the same ones, and damage costs what it hits."""
+    pages = spark.createDataFrame([(i, f"http://e/{i}", f"page {i} " + "y" * 200) for i in range(40)], "page_id bigint, url string, html string")
+    made = warc.write_archives(warc.classify(pages), most=4000)
+    made.unionByName(spark.createDataFrame([(None,)], "image binary")).write.parquet(str(tmp_path / "images"))
+    images, folder = spark.read.parquet(str(tmp_path / "images")), tmp_path / "out"
+    paths = sorted(r.path for r in warc.export_archives(images, str(folder)).collect())
+    assert sorted(r.path for r in warc.export_archives(images, folder.as_uri()).collect()) == paths
+    assert sorted(str(p) for p in folder.iterdir()) == paths and len(paths) > 1
+    assert all(gzip.open(p).read().startswith(b"WARC/1.1\r\n") for p in paths)
+    opened = warc.open_archives(spark, str(folder))
+    assert {r.page_id for r in warc.read_archives(opened).collect()} == set(range(40))
+    whole = open(paths[0], "rb").read()
+    with open(paths[0], "wb") as f:
+        f.write(b"\0" * 30 + whole[30:])
+    got = warc.read_archives(warc.open_archives(spark, str(folder))).collect()
+    assert [r.gap_start for r in got if r.reason] == [0] and len({r.page_id for r in got if not r.reason}) == 39
+    assert warc.export_archives(images.limit(0), str(folder)).count() == 0
+
+
 # ---------------------------------------------------------------- 10
 
 
