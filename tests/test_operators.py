@@ -303,6 +303,87 @@ static int add(int a, int b) {
 """
 
 
+SHARP_SOURCE = """using System;
+#region { x
+namespace N {
+  [Serializable]
+  public sealed class Box<T> : Base, IFoo where T : class {
+    private readonly string p = @"c:\\";
+    public Box(int k) { }
+    [Test]
+    public static async Task<List<int>> Run(int k) {
+      if (k > 0) { return null; } else if (k < 0) { return x; } else { y(); }
+      for (int i = 0; i < k; i++) { k--; }
+      foreach (var q in z) { q.Go(); }
+      while (true) { break; }
+      switch (k) { case 1: break; }
+      do { k++; } while (k < 3);
+    }
+    int[] Names() {
+      return null;
+    }
+  }
+}
+"""
+PHP_SOURCE = """<p>don't {</p>
+<?php
+# it's a comment {
+namespace A;
+use const B\\C;
+const X = 1;
+abstract class Box extends Base implements I, J {
+  private const Y = 2, Z = 3;
+  #[Attr(1)]
+  public static function make(int $k = 1): ?Box {
+    $s = "a
+    { b";
+    if ($k > 0) { return $x['a']; } elseif ($k) { return 1; } else { return 2; }
+    for ($i = 0; $i < $k; $i++) { echo $i; }
+    foreach ($a as $b) { f($b); }
+    while ($k) { $k--; }
+    switch ($k) { case 1: break; }
+    $g = function ($q) use ($k) { return $q; };
+    return Box::class;
+  }
+  abstract function none();
+}
+function &plain($a) {
+  $t = <<<EOT
+  it's { here
+  EOT;
+  return new class { function m() { return 1; } };
+}
+?>
+<b>"</b>
+"""
+YAML_SOURCE = """# top
+version: "2"  # c
+services:
+  web:
+    image: a/b:1
+    ports:
+    - "80:80"
+    - 443
+    env: {A: 1, B: [x, y], C: {}}
+  db: &x
+    cmd: |
+      line: one
+        - two
+
+    list:
+      - name: n
+        run: >-
+          k: v
+      - - a
+        - b
+other: [1,
+  2]
+---
+- x
+- y: 1
+"""
+
+
 @pytest.mark.parametrize(
     ("language", "source", "want"),
     [
@@ -310,6 +391,8 @@ static int add(int a, int b) {
         ("javascript", JS_SOURCE, [("function_declaration", 5, 2, 5), ("class_declaration", 4, 6, 12), ("lexical_declaration", 3, 3, 3), ("if_statement", 4, 4, 4), ("method_definition", 4, 7, 11), ("arrow_function", 3, 3, 3), ("for_statement", 7, 8, 8), ("while_statement", 3, 9, 9), ("switch_statement", 3, 10, 10)]),
         ("java", JAVA_SOURCE, [("class_declaration", 5, 2, 8), ("method_declaration", 6, 4, 6), ("method_declaration", 4, 7, 7), ("if_statement", 5, 5, 5)]),
         ("c", C_SOURCE, [("function_definition", 4, 3, 8), ("for_statement", 8, 5, 6)]),
+        ("csharp", SHARP_SOURCE, [("class_declaration", 9, 4, 20), ("method_declaration", 8, 8, 16), ("method_declaration", 4, 17, 19), ("if_statement", 7, 10, 10), ("for_statement", 9, 11, 11), ("while_statement", 5, 13, 13), ("switch_statement", 5, 14, 14), ("if_statement", 7, 10, 10)]),
+        ("php", PHP_SOURCE, [("const_declaration", 3, 6, 6), ("class_declaration", 6, 7, 22), ("function_definition", 5, 23, 28), ("const_declaration", 6, 8, 8), ("method_declaration", 9, 9, 20), ("method_declaration", 4, 27, 27), ("if_statement", 5, 13, 13), ("for_statement", 9, 14, 14), ("while_statement", 3, 16, 16), ("switch_statement", 3, 17, 17)]),
     ],
 )
 def test_braces(language, source, want):
@@ -319,8 +402,29 @@ def test_braces(language, source, want):
     assert [n[:4] for n in got] == want
     lines = source.split("\n")
     assert all(n[4].count("\n") == n[3] - n[2] and lines[n[2] - 1].find(n[4].split("\n")[0]) >= 0 for n in got)
-    with pytest.raises(ValueError):
-        parse_braces(source + "}", language)
+    if language != "php":  # the text ends outside of its tags
+        with pytest.raises(ValueError):
+            parse_braces(source + "}", language)
+
+
+def test_yaml():
+    from nearfold.operators.indents import parse_yaml
+
+    got = parse_yaml(YAML_SOURCE)
+    assert [n[:4] for n in got] == [
+        ("block_mapping", 3, 2, 22), ("block_mapping", 2, 4, 20), ("block_mapping", 3, 5, 9), ("block_sequence", 2, 7, 8),
+        ("flow_mapping", 7, 9, 9), ("flow_sequence", 5, 9, 9), ("flow_mapping", 2, 9, 9), ("block_mapping", 2, 11, 20),
+        ("block_sequence", 2, 16, 20), ("block_mapping", 2, 16, 18), ("block_sequence", 2, 19, 20), ("flow_sequence", 5, 21, 22),
+        ("block_sequence", 2, 24, 25), ("block_mapping", 1, 25, 25),
+    ]
+    lines = YAML_SOURCE.split("\n")
+    assert all(n[4].count("\n") == n[3] - n[2] and n[4].split("\n")[0] in lines[n[2] - 1] for n in got)
+    assert [n[4] for n in parse_yaml("a: b\r\nc: 'it''s'  # d\r\n")] == ["a: b\r\nc: 'it''s'"]
+    assert [parse_yaml(x) for x in ("", "plain", "---\n", "\n \n", "url: x\n"[:3])] == [[]] * 5
+    for bad in ("a: [1", "a: [1}", 'a: "b'):
+        with pytest.raises(ValueError):
+            parse_yaml(bad)
+    assert parse_yaml("a" + " " * 50_000 + "b") == [] and parse_yaml("- " * 300)
 
 
 def test_scanned_files(spark):
