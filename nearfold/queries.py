@@ -5,20 +5,23 @@ documents stand for files, pages for paths, benchmark for the skip list, embeddi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .config import EngineConfig
 from .functions import text as X
 from .functions.globs import compile_simple
 from .functions.languages import EXTENSIONS, file_language
 from .operators import chunking, clustering, similarity, skiplist, tfidf
+from .plans.engine import Engine
 from .plans.state import growth, needs_update, replace_files, should_refreeze, with_ids
 from .sources import ignore, sinks
 from .sources.files import files_from_table
-from .storage import stage
+from .storage import hadoop, shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -563,6 +566,74 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return with_ids(c, 7).select("path", "id")
 
 
+# ---------------------------------------------------------------- the engine on a state of its own
+
+
+def _engine(spark: SparkSession, **config) -> Engine:
+    """An engine whose state goes with the session."""
+    folder = f"{shared_dir(spark)}/nearfold-state-{uuid.uuid4().hex}"
+    p, fs = hadoop(spark, folder)
+    fs.deleteOnExit(p)
+    return Engine(spark, EngineConfig(state=folder, **config))
+
+
+def _clustered(spark: SparkSession, sf: str) -> Engine:
+    """An engine that holds the documents and the clusters of equal ones."""
+    engine = _engine(spark)
+    clusters, members, chunks = _clusters(spark, sf)
+    stamped = chunks.withColumn("modified_at", F.lit(1)).withColumn("embed_method", F.lit("local"))
+    engine.state.commit({"chunks": stamped, "clusters": clusters.withColumn("created_at", F.lit("")), "cluster_chunks": members})
+    return engine
+
+
+@query(f"""with {_LINES} select row_number() over (order by path, start_line, end_line, code) as id, path, start_line, end_line, sha1(code) as sha from chunks""")
+def engine_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as they lie in the state after files came in."""
+    engine = _engine(spark)
+    engine.ingest(_files(spark, sf).where("content is not null"))
+    return engine.state.read("chunks").select("id", "path", "start_line", "end_line", "sha")
+
+
+@query(f"""with {_CLUSTERS}, gone as (select doc_id as id from documents where doc_id % 3 = 0),
+k as (select distinct cluster_id from m where cluster_id not in (select id from gone))
+select c.id, m.cluster_id from c left join (select m.* from m join k using (cluster_id)) m on m.chunk_id = c.id where c.id not in (select id from gone)""")
+def engine_delete_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What the state holds of chunks and memberships once every third file is forgotten."""
+    engine = _clustered(spark, sf)
+    engine.delete_files(_chunks(spark, sf).where("id % 3 = 0").select(F.concat(F.lit("doc/"), "id").alias("path")))
+    return engine.cluster_of(engine.state.read("chunks"))
+
+
+@query(f"with {_CLUSTERS} select d.doc_id as id, m.cluster_id from documents d left join m on m.chunk_id = d.doc_id")
+def engine_membership(spark: SparkSession, sf: str) -> DataFrame:
+    return _clustered(spark, sf).cluster_of(_table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query(f"with {_TFIDF} select term_index, term, df, round(idf, 6) as idf from v")
+def engine_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary as it is read back."""
+    engine = _engine(spark)
+    engine.set_vocabulary(tfidf.build_vocabulary(_chunks(spark, sf)))
+    return engine.vocabulary().select("term_index", "term", "df", _r6(F.col("idf")).alias("idf"))
+
+
+@query(f"""with {_TFIDF}, q0 as (select regexp_split_to_array('{_QUERY}', ' ') as t), q1 as (select len(t) as n, unnest(t) as term from q0),
+q2 as (select term, count(*) / max(n) as tf from q1 group by 1), q3 as (select term_index, tf * idf as w from q2 join v using (term) where idf > 0),
+q as (select term_index, w / sqrt((select sum(w * w) from q3)) as w from q3),
+s as (select id as chunk_id, sum(y.w * q.w) as sim from y join q using (term_index) group by 1 order by sim desc, chunk_id limit 20),
+h as (select * from s where sim >= 0.2 order by sim desc, chunk_id limit 10)
+select count(*) as size, round(avg(sim), 6) as avg_similarity, round(max(sim), 6) as max_similarity, sum(len(string_split(text, chr(10))))::bigint as total_lines,
+sha1(arg_max(text, sim)) as sha from h join documents d on d.doc_id = h.chunk_id""")
+def engine_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits as one cluster; top hits are the feature."""
+    engine = _engine(spark, threshold=0.2)
+    _, _, chunks = _clusters(spark, sf)
+    vocabulary = stage(tfidf.build_vocabulary(chunks), "vocabulary")
+    stamped = chunks.withColumn("modified_at", F.lit(1)).withColumn("embed_method", F.lit("local"))
+    engine.state.commit({"chunks": stamped, "vocabulary": vocabulary, "vectors_sparse": tfidf.weights(chunks, vocabulary)})
+    return engine.search(_QUERY).select("size", _r6(F.col("avg_similarity")).alias("avg_similarity"), _r6(F.col("max_similarity")).alias("max_similarity"), F.col("total_lines").cast("bigint").alias("total_lines"), "sha")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked clusters of near-duplicate documents."""
     chunks, _, packed = _vectors(spark, sf)
