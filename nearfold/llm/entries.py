@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, digest, feistel, fertility, jaccard, line_runs, mixing, packing, pfor, warc
+from . import anchors, digest, feistel, fertility, fim, jaccard, line_runs, mixing, packing, periodic, pfor, urls, warc
 
 QUERIES = {
     "op1_fertility_rules": fertility.op1_fertility_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_anchor_dedup": anchors.op8_anchor_dedup,
     "op9_warc_salvage": warc.op9_warc_salvage,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_url_filter": urls.op13_url_filter,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,5 @@ ORACLE_SQL = {
     "op6_mix_sources": mixing.ORACLE,
     "op8_anchor_dedup": anchors.ORACLE,
     "op9_warc_salvage": warc.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
