@@ -1,17 +1,29 @@
 """Incremental clustering, statistics and scores.
 
-The assignment depends on the order of chunks, but only on neighbours, so components of the neighbour graph
-are independent: the fold runs once per component, in parallel.  A chunk brings at most limit - 1 rows.
+The assignment takes chunks in order of their ids: a chunk joins the cluster of its nearest neighbour, or starts one with
+its neighbours up to the first that has a cluster.  What a chunk does depends on earlier chunks only where they
+touch what it touches: itself, and its neighbours up to the first that has a cluster.  So in a round all chunks decide at
+once that are the least undecided chunk at everything they touch, as in a greedy matching by priority.  A few rounds
+settle most of a graph, however large its components are: copies and stars at once, for they ask for the one member that
+they all have nearest.  What is left falls apart into small components, which are folded one after the other in the
+partitions that they are dealt to.  A component that is still large goes through further rounds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stage
 from .graph import connected_components
 
+#: Rounds before what is left is looked at, and the edges of a component that a task may fold.
+ROUNDS, FOLD_EDGES = 2, 1_000_000
+
 
 def fold(rows: list[tuple[int, list[tuple[int, float]]]], member: dict[int, int]) -> list[tuple[int, int, float]]:
     """(cluster, chunk, similarity) that new chunks bring; a new cluster has the id of its canonical chunk.
@@ -40,29 +52,99 @@ def fold(rows: list[tuple[int, list[tuple[int, float]]]], member: dict[int, int]
 
 
 def assign(near: DataFrame, new_ids: DataFrame, skipped: DataFrame, existing: DataFrame) -> DataFrame:
-    """Memberships after the new chunks: existing (cluster_id, chunk_id, similarity) and what is added.
+    """Memberships after the new chunks: existing (cluster_id, chunk_id, similarity) and what is added."""
+    return existing.select("cluster_id", "chunk_id", "similarity").unionByName(assign_new(near, new_ids, skipped, existing))
+
 
-    near: (a, b, sim) of sim >= threshold without related ranges.  Skip-listed chunks neither start nor join.
+def assign_new(near: DataFrame, new_ids: DataFrame, skipped: DataFrame, existing: DataFrame, rounds: int = ROUNDS, most: int = FOLD_EDGES) -> DataFrame:
+    """The memberships (cluster_id, chunk_id, similarity) that new chunks bring.
+
+    near: (a, b, sim) of sim >= threshold without related ranges.  Skip-listed chunks neither start nor join.  rounds, most:
+    how often all decide at once before components are looked at, and the edges of a component that is folded in a task.
     """
     gone = skipped.select("id")
     edges = near.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-    edges = edges.join(new_ids.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b", "sim")
-    # members of one old cluster belong together, for whoever joins it must be seen by all
-    ties = existing.select(F.col("chunk_id").alias("a"), F.col("cluster_id").alias("b"))
-    component = connected_components(edges.select("a", "b").unionByName(ties))
-    placed = edges.join(component, F.col("a") == F.col("v")).select("component", "a", "b", "sim", F.lit(None).cast("bigint").alias("cluster_id"))
-    held = existing.join(component, F.col("chunk_id") == F.col("v"), "left")
-    held = held.select(F.coalesce("component", "chunk_id").alias("component"), F.col("chunk_id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("sim"), "cluster_id")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        old = frame[frame["cluster_id"].notna()]
-        member = dict(zip(old["a"].astype("int64"), old["cluster_id"].astype("int64"), strict=True))
-        edge = frame[frame["cluster_id"].isna()].sort_values(["a", "sim", "b"], ascending=[True, False, True])
-        rows = [(int(a), list(zip(g["b"].astype("int64").tolist(), g["sim"].tolist(), strict=True))) for a, g in edge.groupby("a", sort=True)]
-        return pd.DataFrame(fold(rows, member), columns=["cluster_id", "chunk_id", "similarity"])
-
-    added = placed.unionByName(held).groupBy("component").applyInPandas(run, "cluster_id bigint, chunk_id bigint, similarity double")
-    return existing.select("cluster_id", "chunk_id", "similarity").unionByName(added)
+    edges = edges.join(new_ids.select(F.col("id").alias("a")), "a", "left_semi")
+    order = W.partitionBy("a").orderBy(F.col("sim").desc(), "b")  # a chunk has few neighbours
+    left = edges.select("a", "b", "sim", F.row_number().over(order).alias("pos"), F.lit(None).cast("bigint").alias("cluster"))
+    fresh = existing.select("cluster_id", "chunk_id")
+    out = existing.select("cluster_id", "chunk_id", F.col("similarity").cast("double").alias("similarity")).limit(0)
+    while True:
+        for _ in range(rounds):
+            seen = stage(_resolved(left, fresh), "seen")
+            late = stage(_blocked(seen), "late")
+            added = stage(_decided(seen.join(late, "a", "left_anti")), "added")
+            out = out.unionByName(added)
+            left, fresh = seen.join(late, "a", "left_semi"), added.select("cluster_id", "chunk_id")
+        seen = stage(_resolved(left, fresh), "seen")
+        if seen.limit(1).count() == 0:
+            return out
+        component = stage(connected_components(seen.where("cluster is null").select("a", "b")), "component")
+        placed = seen.join(component, F.col("a") == F.col("v"), "left").select(F.coalesce("component", "a").alias("component"), *seen.columns)
+        large = stage(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"), "large")
+        out = out.unionByName(stage(_folded(placed.join(large, "component", "left_anti")), "added"))
+        if large.limit(1).count() == 0:
+            return out
+        left = placed.join(large, "component", "left_semi").select(*seen.columns)
+        fresh, rounds = fresh.limit(0), max(rounds, 1)
+
+
+def _resolved(edges: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Edges (a, b, sim, pos, cluster) of undecided chunks once chunks of `fresh` are members: theirs go, neighbours among
+    them get their cluster, and what follows the first neighbour with a cluster goes, for it is never looked at."""
+    e = edges.join(fresh.select(F.col("chunk_id").alias("a")), "a", "left_anti")
+    e = e.join(fresh.select(F.col("chunk_id").alias("b"), F.col("cluster_id").alias("found")), "b", "left")
+    e = e.select("a", "b", "sim", "pos", F.coalesce("cluster", "found").alias("cluster"))
+    stop = F.min(F.when(F.col("cluster").isNotNull(), F.col("pos"))).over(W.partitionBy("a"))
+    return e.withColumn("stop", stop).where("stop is null or pos <= stop").drop("stop")
+
+
+def _blocked(seen: DataFrame) -> DataFrame:
+    """Chunks (a) that must wait for an earlier one that touches what they touch."""
+    touch = seen.where("cluster is null").select(F.col("b").alias("x"), "a").unionByName(seen.where("pos = 1").select(F.col("a").alias("x"), "a"))
+    low = touch.groupBy("x").agg(F.min("a").alias("low"))
+    return touch.join(low, "x").where("low < a").select("a").distinct()
+
+
+def _decided(ready: DataFrame) -> DataFrame:
+    """Memberships that chunks bring which need not wait."""
+    joined = ready.where("pos = 1 and cluster is not null").select(F.col("cluster").alias("cluster_id"), F.col("a").alias("chunk_id"), F.col("sim").alias("similarity"))
+    begun = ready.where("pos = 1 and cluster is null").select(F.col("a").alias("cluster_id"), F.col("a").alias("chunk_id"), F.lit(1.0).alias("similarity"))
+    taken = ready.where("cluster is null").select(F.col("a").alias("cluster_id"), F.col("b").alias("chunk_id"), F.col("sim").alias("similarity"))
+    return joined.unionByName(begun).unionByName(taken)
+
+
+def _folded(placed: DataFrame) -> DataFrame:
+    """Memberships of whole components, dealt to partitions and folded in order there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member: dict[int, int] = {}
+        now, chunk, near, out = None, None, [], []
+        for batch in batches:
+            for component, a, b, sim, cluster in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a != chunk:
+                    if near:
+                        out += fold([(chunk, near)], member)
+                    chunk, near = a, []
+                if component != now:
+                    now, member = component, {}
+                if cluster is not None:
+                    member[b] = cluster
+                near.append((b, sim))
+            if len(out) > 50_000:
+                yield _memberships(out)
+                out = []
+        if near:
+            out += fold([(chunk, near)], member)
+        yield _memberships(out)
+
+    dealt = placed.repartition("component").sortWithinPartitions("component", "a", "pos")
+    return dealt.select("component", "a", "b", "sim", "cluster").mapInArrow(run, "cluster_id bigint, chunk_id bigint, similarity double")
+
+
+def _memberships(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["cluster_id", "chunk_id", "similarity"])
 
 
 def statistics(members: DataFrame) -> DataFrame:
@@ -89,6 +171,14 @@ def cascade_delete(clusters: DataFrame, members: DataFrame, chunk_ids: DataFrame
     return left, kept
 
 
+def cascade_drops(clusters: DataFrame, members: DataFrame, chunk_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What goes with chunks: (cluster_id) of clusters whose canonical chunk goes, (chunk_id) of memberships."""
+    gone = chunk_ids.select("id").distinct()
+    heads = clusters.join(gone, clusters["canonical_chunk_id"] == gone["id"], "left_semi").select("cluster_id")
+    own = members.join(gone, members["chunk_id"] == gone["id"], "left_semi").select("chunk_id")
+    return heads, own.unionByName(members.join(heads, "cluster_id", "left_semi").select("chunk_id")).distinct()
+
+
 def total_lines(start, end):
     return end - start + 1
 

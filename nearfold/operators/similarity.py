@@ -5,15 +5,17 @@ Pairs of sparse vectors come from products of blocks (tiles.py).  Equal vectors
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..storage import stage
-from .tiles import tile_nearest, tile_pairs
+from .tiles import tile_nearest, tile_pairs, tile_top
 
 def collapse(packed: DataFrame) -> DataFrame:
     """(chunk_id, rep): the least id with an equal vector."""
@@ -85,42 +87,32 @@ def without_related(near: DataFrame, chunks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- dense vectors
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    m = np.stack(column.to_numpy()).astype(np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def dense_packed(vecs: DataFrame) -> DataFrame:
+    """(chunk_id, ti, tw) of (chunk_id, embedding): unit weights of terms 0, 1, 2, ..., which `ti` leaves out.  A vector
+    of length 0 is near nothing and has no row."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    x = vecs.select("chunk_id", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))
+    unit = F.transform("v", lambda y: y / F.col("norm"))
+    return x.where("norm > 0").select("chunk_id", F.array().cast("array<int>").alias("ti"), unit.alias("tw"))
 
 
-def dense_neighbours(vecs: DataFrame, limit: int = 10, blocks: int = 8, threshold: float = -2.0) -> DataFrame:
-    """(a, b, sim, rank): the `limit` nearest by cosine, itself included, of (chunk_id, embedding).
+def dense_neighbours(vecs: DataFrame, limit: int = 10, blocks: int = 1, threshold: float = -2.0, new_ids: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim, rank): the `limit` nearest by cosine, itself included, of (chunk_id, embedding), of sim >= threshold.
 
-    Every block meets every block as a matrix product and gives its best `limit` for each row; the best of
-    those follow by a window over at most blocks * limit rows a chunk.
+    Vectors are multiplied in tiles, whose number follows theirs, and each tile gives its best `limit` for each row.
+    With a threshold over 0 equal vectors are one, as in `neighbours`; new_ids: the chunks (id) whose neighbours are wanted.
+    blocks: vectors make at least so many.
     """
-    spark = vecs.sparkSession
-    spread = vecs.withColumn("bi", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
-    pairs = spark.createDataFrame([(i, j) for i in range(blocks) for j in range(blocks)], "bi int, bj int")
-    left = spread.join(F.broadcast(pairs), "bi").select(F.col("bi").alias("bi"), F.col("bj").alias("bj"), F.col("chunk_id").alias("a"), F.col("embedding").alias("va"))
-    right = spread.select(F.col("bi").alias("bj"), F.col("chunk_id").alias("b"), F.col("embedding").alias("vb")).join(F.broadcast(pairs), "bj").select("bi", "bj", "b", "vb").toDF("xi", "xj", "b", "vb")
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        ids = y["b"].to_numpy()
-        order = np.argsort(ids)
-        ids, m = ids[order], _unit(y["vb"])[order].T
-        a, mine = x["a"].to_numpy(), _unit(x["va"])
-        out = []
-        for k in range(0, len(a), 1024):
-            s = np.round(mine[k : k + 1024] @ m, 12)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :limit]
-            n = top.shape[1]
-            out.append(pd.DataFrame({"a": np.repeat(a[k : k + 1024], n), "b": ids[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()}))
-        return pd.concat(out)
-
-    met = left.groupBy("bi", "bj").cogroup(right.groupBy("xi", "xj")).applyInPandas(best, "a bigint, b bigint, sim double")
+    packed = stage(dense_packed(vecs), "dense")
+    if threshold > 0:
+        return neighbours(packed, threshold, limit, new_ids)
+    wanted = None if new_ids is None else stage(packed.join(new_ids.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), "wanted")
+    left = packed if wanted is None else wanted
+    near = tile_top(left, limit, None if wanted is None else packed, least=blocks)
+    own = left.select(F.col("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.lit(1.0).alias("sim"))
     w = W.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    return met.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= limit) & (F.col("sim") >= threshold))
+    best = near.unionByName(own).withColumn("rank", F.row_number().over(w))
+    return best.where((F.col("rank") <= limit) & (F.col("sim") >= threshold))
 
 
 def dense_search(vecs: DataFrame, query: list[float], threshold: float, limit: int = 10) -> DataFrame:
@@ -135,12 +127,29 @@ def cut_hits(scored: DataFrame, threshold: float, limit: int = 10) -> DataFrame:
     return near.where(F.col("sim") >= threshold).orderBy(F.col("sim").desc(), "chunk_id").limit(limit)
 
 
-def sparse_search(sparse: DataFrame, vocabulary: DataFrame, text: str, threshold: float, limit: int = 10) -> DataFrame:
-    """(chunk_id, sim) for a text embedded with the frozen vocabulary."""
-    from .tfidf import weights
+def scores(packed: DataFrame, query: dict[int, float]) -> DataFrame:
+    """(chunk_id, sim): products of stored vectors with one query vector, over 0; no shuffle."""
+    q = np.zeros(max(query, default=-1) + 1)
+    q[list(query)] = list(query.values())
 
-    spark = sparse.sparkSession
-    one = spark.createDataFrame([(0, text)], "id bigint, code string")
-    q = weights(one, vocabulary).select("term_index", F.col("w").alias("q"))
-    scored = sparse.join(F.broadcast(q), "term_index").groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("sim"))
-    return cut_hits(scored, threshold, limit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            terms, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            known = terms < len(q)
+            row = np.repeat(np.arange(len(size)), size)[known]
+            sim = np.bincount(row, w[known] * q[terms[known]], len(size))
+            found = np.flatnonzero(sim > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)), pa.array(sim[found])], names=["chunk_id", "sim"])
+
+    return packed.select("chunk_id", "ti", "tw").mapInArrow(run, "chunk_id bigint, sim double")
+
+
+def sparse_search(packed: DataFrame, vocabulary: DataFrame, text: str, threshold: float, limit: int = 10) -> DataFrame:
+    """(chunk_id, sim) for a text embedded with the frozen vocabulary, of packed vectors."""
+    from .tfidf import embed
+
+    one = packed.sparkSession.createDataFrame([(0, text)], "id bigint, code string")
+    found = embed(one, vocabulary).first()
+    query = dict(zip(found["ti"], found["tw"], strict=True)) if found else {}
+    return cut_hits(scores(packed, query), threshold, limit)

@@ -94,9 +94,9 @@ def weights(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def vectors(sparse: DataFrame) -> DataFrame:
-    """(chunk_id, ti, tw): a row for each chunk, terms ascending."""
-    packed = F.sort_array(F.collect_list(F.struct("term_index", "w")))
-    x = sparse.groupBy("chunk_id").agg(packed.alias("v"))
+    """(chunk_id, ti, tw) of (chunk_id, term_index, w), terms ascending; the engine stores vectors in this form."""
+    terms = F.sort_array(F.collect_list(F.struct("term_index", "w")))
+    x = sparse.groupBy("chunk_id").agg(terms.alias("v"))
     return x.select("chunk_id", F.col("v.term_index").alias("ti"), F.col("v.w").alias("tw"))
 
 

@@ -32,7 +32,7 @@ Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Rows:
-    """Sparse rows as they come: ids, and terms and weights laid end to end."""
+    """Rows as they come: ids, and terms and weights laid end to end."""
 
     def __init__(self, parts: list[tuple[np.ndarray, ...]]):
         self.ids = np.concatenate([p[0] for p in parts])
@@ -52,8 +52,13 @@ class Rows:
 
 
 def _parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Ids, sizes, terms and weights.  Rows without terms are dense: their weights are those of terms 0, 1, 2, ..."""
     ti, tw = batch.column("ti"), batch.column("tw")
-    return batch.column("chunk_id").to_numpy(), np.diff(ti.offsets.to_numpy()).astype(np.int64), ti.flatten().to_numpy().astype(np.int64), tw.flatten().to_numpy()
+    size, terms = np.diff(tw.offsets.to_numpy()).astype(np.int64), ti.flatten().to_numpy().astype(np.int64)
+    weights = tw.flatten().to_numpy()
+    if len(terms) < len(weights):
+        terms = np.arange(len(weights)) - np.repeat(np.cumsum(size) - size, size)
+    return batch.column("chunk_id").to_numpy(), size, terms, weights
 
 
 def _exact(left: Rows, i: np.ndarray, right: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -129,14 +134,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Rows, Iterator[R
             pass
 
 
-def _dealt(left: DataFrame, right: DataFrame | None) -> DataFrame:
+def _dealt(left: DataFrame, right: DataFrame | None, fewest: int = 1) -> DataFrame:
     """Rows of (tile, side, same, chunk_id, ti, tw), each tile in one partition, its left side first."""
     spark = left.sparkSession
     least = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
 
     def blocks(df: DataFrame) -> int:
         n = df.count()
-        return max(1, -(-n // ROWS), min(-(-n // 256), least))
+        return max(fewest, -(-n // ROWS), min(-(-n // 256), least))
 
     def block(n: int):
         return F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("long")
@@ -213,6 +218,42 @@ def tile_nearest(packed: DataFrame, threshold: float, limit: int, others: DataFr
     return _over(_dealt(packed, others), kernel, "a bigint, b bigint, sim double")
 
 
+def tile_top(packed: DataFrame, limit: int, others: DataFrame | None = None, digits: int = 12, least: int = 1) -> DataFrame:
+    """As tile_nearest without a threshold.  Of a strip those are taken up that can be among the best of their row, or,
+    where both sides are asked for, of their column, by a product in single precision and its margin."""
+    both_ways = others is None
+
+    def floor(s: np.ndarray, axis: int) -> np.ndarray:
+        k = min(limit, s.shape[axis])
+        return np.partition(s, s.shape[axis] - k, axis=axis).take(s.shape[axis] - k, axis=axis)
+
+    def kernel(left: Rows, right: Iterator[Rows], same: bool) -> Iterator[Hits]:
+        width = int(left.terms.max(initial=-1)) + 1
+        mine = left.dense(width, 0, len(left.ids)).astype(np.float32)
+        held: Hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = np.full(len(left.ids), -np.inf, np.float32)
+        for rows in right:
+            for lo in range(0, len(rows.ids), STRIP):
+                hi = min(len(rows.ids), lo + STRIP)
+                other = rows.dense(width, lo, hi)
+                s = mine @ other.astype(np.float32).T
+                s[left.ids[:, None] == rows.ids[None, lo:hi]] = -np.inf
+                best = np.maximum(best, floor(s, 1))
+                found = s >= best[:, None] - MARGIN
+                if both_ways and not same:
+                    found |= s >= floor(s, 0)[None, :] - MARGIN
+                i, j = np.nonzero(found & (s > -np.inf))
+                if not len(i):
+                    continue
+                a, b, sim = left.ids[i], rows.ids[lo + j], np.round(_exact(left, i, other, j), digits)
+                if both_ways and not same:
+                    yield _best(b, a, sim, limit)
+                held = _best(*(np.concatenate(x) for x in zip(held, (a, b, sim), strict=True)), limit)
+        yield held
+
+    return _over(_dealt(packed, others, least), kernel, "a bigint, b bigint, sim double")
+
+
 def tile_members(packed: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
     """(id): the chunks of packed with a cosine of the threshold or more to one of listed; may repeat."""
 

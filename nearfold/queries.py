@@ -356,7 +356,7 @@ def search_text(spark: SparkSession, sf: str) -> DataFrame:
     """Top hits are the feature."""
     chunks = _chunks(spark, sf)
     vocabulary = stage(tfidf.build_vocabulary(chunks), "vocabulary")
-    return similarity.sparse_search(tfidf.weights(chunks, vocabulary), vocabulary, _QUERY, 0.2).withColumn("sim", _r6(F.col("sim")))
+    return similarity.sparse_search(tfidf.embed(chunks, vocabulary), vocabulary, _QUERY, 0.2).withColumn("sim", _r6(F.col("sim")))
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -630,7 +630,7 @@ def engine_search(spark: SparkSession, sf: str) -> DataFrame:
     _, _, chunks = _clusters(spark, sf)
     vocabulary = stage(tfidf.build_vocabulary(chunks), "vocabulary")
     stamped = chunks.withColumn("modified_at", F.lit(1)).withColumn("embed_method", F.lit("local"))
-    engine.state.commit({"chunks": stamped, "vocabulary": vocabulary, "vectors_sparse": tfidf.weights(chunks, vocabulary)})
+    engine.state.commit({"chunks": stamped, "vocabulary": vocabulary, "vectors_sparse": tfidf.embed(chunks, vocabulary)})
     return engine.search(_QUERY).select("size", _r6(F.col("avg_similarity")).alias("avg_similarity"), _r6(F.col("max_similarity")).alias("max_similarity"), F.col("total_lines").cast("bigint").alias("total_lines"), "sha")
 
 

@@ -46,11 +46,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the manifest that was to come next."""
+
+
 class Manifest:
     """What is valid in a folder, as numbered JSON texts of which the newest counts.
 
-    A text is written aside and then renamed, so a reader sees one whole state or the one before, and of two writers
-    of one number the second fails.
+    A text is one file that is written aside and then takes its name, so a reader sees one whole state or the one
+    before, and of two writers of one number the second fails: a distributed file system renames no file to a name that
+    is taken, and on a local one the name is a link, which isn't made where something is.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -69,11 +74,32 @@ class Manifest:
         return numbers[-1], json.loads(self.spark.read.text(f"{self.folder}/manifest-{numbers[-1]}").first()[0])
 
     def write(self, number: int, content: dict) -> None:
-        aside = f"{self.folder}/.manifest-{number}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(aside)
+        """Make a number's text; Conflict if there is one or a later one."""
         target, fs = hadoop(self.spark, f"{self.folder}/manifest-{number}")
-        if fs.exists(target) or not fs.rename(hadoop(self.spark, aside)[0], target):
-            raise RuntimeError(f"another writer has made manifest {number} of {self.folder}")
+        aside = hadoop(self.spark, f"{self.folder}/.manifest-{number}-{uuid.uuid4().hex}")[0]
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        try:
+            made = max(self._numbers(), default=0) < number and self._name(fs, aside, target)
+        finally:
+            if fs.exists(aside):
+                fs.delete(aside, False)
+        if not made:
+            raise Conflict(f"another writer has made manifest {number} of {self.folder}")
         for old in self._numbers():
-            if old < number:
+            if old < number - 2:  # a reader may have just listed the newest
                 fs.delete(hadoop(self.spark, f"{self.folder}/manifest-{old}")[0], True)
+
+    def _name(self, fs, aside, target) -> bool:
+        if fs.getUri().getScheme() != "file":
+            return fs.rename(aside, target)
+        path = self.spark.sparkContext._jvm.java.nio.file.Paths.get
+        none = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.java.lang.String, 0)
+        try:
+            self.spark.sparkContext._jvm.java.nio.file.Files.createLink(path(target.toUri().getPath(), none), path(aside.toUri().getPath(), none))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.config import EngineConfig
-from nearfold.operators import chunking, clustering, similarity, skiplist, tfidf
+from nearfold.operators import chunking, clustering, similarity, skiplist, tfidf, tiles
 from nearfold.operators.graph import connected_components
 from nearfold.plans.state import should_refreeze, with_ids
 from nearfold.schemas import FILES
@@ -432,3 +432,67 @@ def test_scanned_files(spark):
     got = chunking.chunk_files(files(spark, [("a.go", GO_SOURCE), ("b.go", "let x\nlet y\nlet z\n"), ("c.go", "func f() {\nx\ny\n"), ("d.java", JAVA_SOURCE)]), EngineConfig())
     rows = sorted((r.path, r.start_line, r.end_line) for r in got.collect())
     assert rows == [("a.go", 3, 5), ("a.go", 7, 10), ("a.go", 12, 22), ("a.go", 13, 17), ("a.go", 15, 17), ("a.go", 18, 20), ("a.go", 24, 27), ("b.go", 1, 3), ("c.go", 1, 3), ("d.java", 2, 8), ("d.java", 4, 6), ("d.java", 5, 5), ("d.java", 7, 7)]
+
+
+@pytest.mark.parametrize("seed,kind,rounds,most", [(1, "random", 2, 10**6), (2, "chain", 1, 40), (3, "star", 1, 0), (4, "dense", 2, 4), (6, "random", 0, 10**6)])
+def test_assignment_in_rounds(spark, seed, kind, rounds, most):
+    """Rounds over all chunks, components folded in tasks, and both: the same as one loop over all chunks."""
+    rng = random.Random(seed)
+    n, near = 30, {}
+    for a in range(1, n + 1):
+        if kind == "chain":
+            others = [b for b in range(a - 2, a + 3) if 0 < b <= n and b != a]
+        elif kind == "star":
+            others = [b for b in (1, 2, 3) if b != a] + ([rng.randrange(4, n)] if a % 9 == 0 else [])
+        else:
+            others = [b for b in rng.sample(range(1, n + 1), rng.randrange(1, 3 if kind == "random" else 8)) if b != a]
+        near[a] = sorted(((b, round(rng.choice([0.9, 0.95, rng.random()]), 3)) for b in set(others) - {a}), key=lambda x: (-x[1], x[0]))
+    old = [(1000, 1000), (1000, n), (1001, 5)]
+    cluster_of = {c: k for k, c in old}
+    want = []
+    for a in sorted(near):
+        if a in cluster_of:
+            continue
+        for b, sim in near[a]:
+            if b in cluster_of:
+                if a not in cluster_of:
+                    cluster_of[a] = cluster_of[b]
+                    want.append((cluster_of[b], a, sim))
+                break
+            if a not in cluster_of:
+                cluster_of[a] = a
+                want.append((a, a, 1.0))
+            cluster_of[b] = cluster_of[a]
+            want.append((cluster_of[a], b, sim))
+    edges = spark.createDataFrame([(a, b, s) for a, x in near.items() for b, s in x], "a bigint, b bigint, sim double")
+    existing = spark.createDataFrame([(k, c, 1.0) for k, c in old], "cluster_id bigint, chunk_id bigint, similarity double")
+    ids = spark.createDataFrame([(a,) for a in near], "id bigint")
+    got = clustering.assign_new(edges, ids, ids.limit(0), existing, rounds, most).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_dense_by_tiles(spark, monkeypatch):
+    """Dense vectors in many tiles, new ones only, and skips by cosine."""
+    monkeypatch.setattr(tiles, "ROWS", 16)
+    monkeypatch.setattr(tiles, "STRIP", 5)
+    rng = np.random.default_rng(8)
+    m = np.repeat(rng.normal(size=(12, 6)), 8, axis=0) + rng.normal(size=(96, 6)) * 0.3
+    m[17], m[40] = m[3], 0
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "chunk_id bigint, embedding array<float>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-30)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, 1.0)
+    new = spark.createDataFrame([(i,) for i in range(0, 96, 5)], "id bigint")
+    live = [i for i in range(96) if i != 40]
+    for threshold, ids in ((-2.0, None), (-2.0, new), (0.8, None), (0.8, new)):
+        got = {}
+        for r in similarity.dense_neighbours(v, 7, threshold=threshold, new_ids=ids).collect():
+            got.setdefault(r.a, []).append((r["rank"], r.b, r.sim))
+        assert set(got) == {i for i in live if ids is None or i % 5 == 0}
+        for i, found in got.items():
+            want = sorted(((-s[i, j], j) for j in live if s[i, j] >= threshold))[:7]
+            assert [x for _, _, x in sorted(found)] == pytest.approx([-x for x, _ in want], abs=1e-6)
+    listed = similarity.dense_packed(v.where("chunk_id % 20 = 0"))
+    out = {r.id for r in skiplist.skipped_similar(similarity.dense_packed(v), listed, 0.9).collect()}
+    assert out == {i for i in live if any(u[i] @ u[j] >= 0.9 for j in range(0, 96, 20) if j != 40)}
