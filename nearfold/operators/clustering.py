@@ -75,6 +75,8 @@ def assign_new(near: DataFrame, new_ids: DataFrame, skipped: DataFrame, existing
             late = stage(_blocked(seen), "late")
             added = stage(_decided(seen.join(late, "a", "left_anti")), "added")
             out = out.unionByName(added)
+            if late.limit(1).count() == 0:
+                return out
             left, fresh = seen.join(late, "a", "left_semi"), added.select("cluster_id", "chunk_id")
         seen = stage(_resolved(left, fresh), "seen")
         if seen.limit(1).count() == 0:

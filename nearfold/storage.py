@@ -71,7 +71,12 @@ class Manifest:
         numbers = self._numbers()
         if not numbers:
             return 0, {}
-        return numbers[-1], json.loads(self.spark.read.text(f"{self.folder}/manifest-{numbers[-1]}").first()[0])
+        p, fs = hadoop(self.spark, f"{self.folder}/manifest-{numbers[-1]}")
+        stream = fs.open(p)
+        try:
+            return numbers[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def write(self, number: int, content: dict) -> None:
         """Make a number's text; Conflict if there is one or a later one."""
