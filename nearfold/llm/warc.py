@@ -1,19 +1,29 @@
 """WARC archives: a writer, and a reader that salvages what it can.
 
 Archives are gzip files of one member per record.  The reader first takes each member at its word: a whole
-gzip stream with a right checksum that holds a record with a right length and payload digest.  After a
+gzip stream with a right checksum that holds a record with a right length and right digests.  After a
 failed check it searches on: inside the archive for the next place where a gzip member opens and yields a
 version line, inside plain bytes for the next version line that a parsable header follows.  Records after
 a damage are recovered; every byte range that gave none is logged as quarantined, with the reason.
 
+The reader is linear in the bytes: a header is looked for in its first MOST_HEADER bytes alone, the next member's place is
+kept while damaged records before it are passed, and no byte range is searched twice for the same thing.
+
+A block digest is of the whole block.  A payload digest is of what an HTTP message carries where the block is one (content
+type application/http), also as it was before chunked transfer, else of the block.  sha1, sha256 and md5 are checked, in
+base 16 or 32; others aren't, nor are payload digests of parts of a record and of truncated ones.
+
 Archive images travel as rows (archive, image), so they can lie in any store that Spark reaches; export_archives
 and open_archives make files of them and read files.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +39,10 @@ VERSION = b"WARC/1.1"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 LEAST_DEDUP = 100
+#: A record's header is at most so long.
+MOST_HEADER = 1 << 16
+_CLOSED = re.compile(rb"\r\n\r\n|\n\n")
+_END = re.compile(rb"\r?\n\r?\n")
 _TARGET = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -57,36 +71,83 @@ def member(record: bytes, level: int = 1) -> bytes:
     return z.compress(record) + z.flush()
 
 
+def _body(headers: dict[str, str], block: bytes) -> bytes:
+    """What the HTTP message of a block carries; the block where it is none."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return block
+    head = _CLOSED.search(block, 0, MOST_HEADER)
+    return block[head.end() :] if head else b""
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A body as it was before chunked transfer; None if it isn't chunked."""
+    parts, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]{0,200}\r?\n").match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(body[m.end() : m.end() + n])
+        end = re.compile(rb"\r?\n").match(body, m.end() + n)
+        if not end:
+            return None
+        at = end.end()
+    return None
+
+
+def digest_fits(written: str, data: bytes) -> bool | None:
+    """Whether a written digest (algorithm:value) is that of data; None if it can't be told."""
+    kind, colon, value = written.strip().partition(":")
+    kind = kind.lower().replace("-", "")
+    if not colon or kind not in ("sha1", "sha256", "md5"):
+        return None
+    made = hashlib.new(kind, data)
+    if len(value) == 2 * made.digest_size:
+        return made.hexdigest() == value.lower()
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)) == made.digest()
+    except binascii.Error:
+        return False
+
+
+def _check(headers: dict[str, str], block: bytes, body: bytes) -> None:
+    """ValueError if a digest differs."""
+    if digest_fits(headers.get("warc-block-digest", ""), block) is False:
+        raise ValueError("block digest differs")
+    written = headers.get("warc-payload-digest", "")
+    whole = headers.get("warc-type") != "revisit" and "warc-segment-number" not in headers and "warc-truncated" not in headers
+    if written and whole and digest_fits(written, body) is False:
+        plain = _unchunked(body) if body is not block else None
+        if plain is None or not digest_fits(written, plain):
+            raise ValueError("payload digest differs")
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The record that starts at `at` and the place after it; ValueError if a check fails."""
     m = _VERSION.match(data, at)
     if not m:
         raise ValueError("no version line")
-    crlf = data.find(b"\r\n\r\n", at)
-    lf = data.find(b"\n\n", at)
-    stop, skip = (crlf, 4) if crlf >= 0 and (lf < 0 or crlf < lf) else (lf, 2)
-    if stop < 0:
+    closed = _CLOSED.search(data, at, at + MOST_HEADER)
+    if not closed:
         raise ValueError("header isn't closed")
     headers: dict[str, str] = {}
-    for line in data[m.end() : stop].split(b"\n"):
+    for line in data[m.end() : closed.start()].split(b"\n"):
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("bad header line")
         headers[name.strip().lower()] = value.strip()
-    if not re.fullmatch(r"\d+", headers.get("content-length", "")):
+    if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
         raise ValueError("no content length")
-    begin = stop + skip
+    begin = closed.end()
     end = begin + int(headers["content-length"])
     if end > len(data):
         raise ValueError("payload is cut off")
-    tail = re.compile(rb"\r?\n\r?\n").match(data, end)
+    tail = _END.match(data, end)
     if not tail:
         raise ValueError("record has no end mark")
-    payload = data[begin:end]
-    kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if kind == "sha256" and headers.get("warc-type") != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError("payload digest differs")
-    return Record(headers, payload), tail.end()
+    block = data[begin:end]
+    body = _body(headers, block)
+    _check(headers, block, body)
+    return Record(headers, body), tail.end()
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
@@ -134,14 +195,12 @@ def _version_line(data: bytes, at: int, stop: int) -> int:
     return -1
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """Where a member that opens on a version line, or a version line itself, comes next; else the end."""
-    member_at = data.find(_MEMBER, at)
-    while member_at >= 0 and not _opens(data, member_at):
-        member_at = data.find(_MEMBER, member_at + 1)
-    stop = member_at if member_at >= 0 else len(data)
-    line_at = _version_line(data, at, stop)
-    return line_at if line_at >= 0 else stop
+def _next_member(data: bytes, at: int) -> int:
+    """Where a member that opens on a version line comes next; else the end."""
+    found = data.find(_MEMBER, at)
+    while found >= 0 and not _opens(data, found):
+        found = data.find(_MEMBER, found + 1)
+    return found if found >= 0 else len(data)
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
@@ -152,6 +211,7 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
     that it still gives.
     """
     at = 0
+    member_at = -1  # where the next member opens, once it was looked for
     while at < len(data):
         try:
             if data.startswith(_MEMBER, at):
@@ -178,7 +238,10 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
                 record, end = parse_record(data, at)
                 yield record
         except ValueError as e:
-            end = _next_start(data, at + 1)
+            if member_at <= at:
+                member_at = _next_member(data, at + 1)
+            line_at = _version_line(data, at + 1, member_at)
+            end = line_at if line_at >= 0 else member_at
             yield Gap(at, end, str(e))
         at = end
 
@@ -203,15 +266,20 @@ def classify(pages: DataFrame, least: int = LEAST_DEDUP) -> DataFrame:
     return j.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def _write(most: int, level: int):
+def _write(most: int, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         parts: list[bytes] = []
-        size = 0
+        size = unnamed = 0
         for batch in batches:
             for page_id, url, html, n, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head = {"WARC-Type": kind}
-                if page_id is not None:
-                    head["WARC-Record-ID"] = f"<urn:page:{page_id}>"
+                if page_id is None:  # told by its place
+                    unnamed += 1
+                    urn = uuid.uuid5(uuid.NAMESPACE_OID, f"{digest} {TaskContext.get().partitionId()} {unnamed}").urn
+                else:
+                    urn = f"urn:page:{page_id}"
+                head = {"WARC-Type": kind, "WARC-Record-ID": f"<{urn}>", "WARC-Date": date}
                 if url is not None:
                     head["WARC-Target-URI"] = _TARGET.sub("", url)
                 head["WARC-Payload-Digest"] = f"sha256:{digest}"
@@ -228,10 +296,11 @@ def _write(most: int, level: int):
     return run
 
 
-def write_archives(pages: DataFrame, most: int = 8 << 20, level: int = 1) -> DataFrame:
-    """Archive images of about `most` bytes from classified pages."""
+def write_archives(pages: DataFrame, most: int = 8 << 20, level: int = 1, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Archive images of about `most` bytes from classified pages.  date: what records give as theirs, so that reruns
+    agree; a record is held whole by its task, as its row is."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return rows.mapInArrow(_write(most, level), "image binary")
+    return rows.mapInArrow(_write(most, level, date), "image binary")
 
 
 def _number(urn: str | None) -> int | None:
