@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
+from .functions import detect
 from .functions import text as X
+from .functions.detect import analyzable
 from .functions.globs import compile_simple
 from .functions.languages import EXTENSIONS, file_language
 from .operators import chunking, clustering, similarity, skiplist, tfidf
@@ -138,6 +140,26 @@ def page_language(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select("page_id", file_language(F.regexp_replace("url", "[?#].*$", "")).alias("language"))
 
 
+#: Names and first lines for files whose rest is a page.
+_DETECT_NAMES = ["a.go", "tool", "Rakefile", "x.pl", "b.R", "run.sh", "y.zzz", "CMakeLists.txt", "c.dart", "noext", "d.VUE"]
+_DETECT_HEADS = ["#!/usr/bin/env python3.11", "#!/bin/sh -e", "plain words", "#! /usr/bin/env -S A=1 perl -w", "#!/opt/ruby2.7", "#!unknown"]
+
+
+@query(rf"""with f as (select page_id, {_DETECT_NAMES!r}[(page_id % {len(_DETECT_NAMES)} + 1)::int] as name, {_DETECT_HEADS!r}[(page_id % {len(_DETECT_HEADS)} + 1)::int] as head from pages),
+x as (select *, regexp_replace(regexp_extract(head, '^#!\s*(?:\S*/)?(?:env(?:\s+(?:-\S+|\w+=\S*))*\s+)?([^\s/]+)', 1), '-?[0-9]+(\.[0-9]+)*$', '') as interpreter, lower(regexp_extract(name, '(\.[^.]*)$', 1)) as ext from f),
+n(name, language) as (values {", ".join(f"('{w}', '{k}')" for k, ws in detect.NAMES.items() for w in ws.split())}),
+i(interpreter, language) as (values {", ".join(f"('{w}', '{k}')" for k, ws in detect.INTERPRETERS.items() for w in ws.split())}),
+e(ext, language) as (values {", ".join(f"('{w}', '{k}')" for w, k in detect.EXTENSION_OF.items())}, ('.pl', 'perl'), ('.r', 'r'))
+select page_id, coalesce(n.language, i.language, e.language, '') as language from x left join n using (name) left join i using (interpreter) left join e using (ext)""")
+def detect_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages by name, #! line and extension."""
+
+    def pick(words: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, words)), (F.col("page_id") % len(words)).cast("int"))
+
+    return _table(spark, sf, "pages").select("page_id", detect.detect_language(F.concat(F.lit("src/"), pick(_DETECT_NAMES)), F.concat(pick(_DETECT_HEADS), F.lit("\n"), F.coalesce("html", F.lit("")))).alias("language"))
+
+
 PATTERNS = ["*.html", "!*7*", "fr/", "/en/1*", "de/", "!de/"]
 _REL = r"regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[?#].*$', '')"
 
@@ -194,7 +216,7 @@ def ignore_two_stages(spark: SparkSession, sf: str) -> DataFrame:
     names = (".nearfoldignore", ".gitignore")
     x = ignore.ignored_by_tree(ignore.ignored_by_list(r, PATTERNS), ignore.tree_rules(texts, names))
     walked = ~F.col("listed") & ~F.col("tree_ignored")
-    return x.select("rel", walked.alias("walked"), (walked & (F.col("tree_included") | ignore.analyzable(F.col("rel"), F.lit(b"")))).alias("analysed"))
+    return x.select("rel", walked.alias("walked"), (walked & (F.col("tree_included") | analyzable(F.col("rel"), F.lit(b"")))).alias("analysed"))
 
 
 @query("""with c as (select page_id, case page_id % 5 when 0 then chr(0) || html when 1 then repeat(chr(7), 200) || html else html end as h from pages),
