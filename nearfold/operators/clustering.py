@@ -199,6 +199,20 @@ def by_size(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return clusters.join(statistics(members), "cluster_id").orderBy(F.col("size").desc(), "cluster_id")
 
 
+def places(sized: DataFrame) -> DataFrame:
+    """(cluster_id, size, place) of (cluster_id, size), largest first, then by id.
+
+    Clusters of a size are numbered by ranges of their ids, and the counts of sizes and ranges, which are few, say what
+    comes before; no task sees all clusters.
+    """
+    dealt = stage(sized.repartitionByRange(F.col("size").desc(), F.col("cluster_id")).sortWithinPartitions(F.col("size").desc(), F.col("cluster_id")).withColumn("at", F.monotonically_increasing_id()), "places")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", before.alias("before"))
+    return dealt.withColumn("part", part).join(F.broadcast(starts), "part").select("cluster_id", "size", (row + F.col("before") + 1).alias("place"))
+
+
 def summaries(clusters: DataFrame, members: DataFrame, chunks: DataFrame, strategy: str = "default") -> DataFrame:
     """Clusters with canonical chunk, statistics and score.  No code but the canonical chunk's is moved."""
     place = members.join(chunks.select(F.col("id").alias("chunk_id"), "start_line", "end_line"), "chunk_id")

@@ -18,7 +18,7 @@ from .functions import text as X
 from .functions.detect import analyzable
 from .functions.globs import compile_simple
 from .functions.languages import EXTENSIONS, file_language
-from .operators import chunking, clustering, similarity, skiplist, tfidf
+from .operators import chunking, clustering, quantised, similarity, skiplist, tfidf
 from .plans.engine import Engine
 from .plans.state import growth, needs_update, replace_files, should_refreeze, with_ids
 from .sources import ignore, sinks
@@ -403,6 +403,30 @@ def dense_search(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.dense_search(_dense(spark, sf), q, 0.1).withColumn("sim", _r6(F.col("sim")))
 
 
+@query(ORACLE["dense_search"])
+def dense_search_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits by a scan of codes of one byte a weight."""
+    q = [((i % 5) - 2) / 10 for i in range(1, 65)]
+    vecs = _dense(spark, sf)
+    return quantised.coded_search(vecs, quantised.encode(vecs), q, 0.1).withColumn("sim", _r6(F.col("sim")))
+
+
+@query(f"""with {_DENSE} select distinct b.vec_id as id from u a join u b on a.vec_id % 20 = 0 where list_dot_product(a.v, b.v) >= 0.35""")
+def skip_similar_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors near one of a list, which holds every twentieth."""
+    packed = stage(similarity.dense_packed(_dense(spark, sf)), "dense")
+    return skiplist.skipped_similar(packed, packed.where("chunk_id % 20 = 0"), 0.35)
+
+
+@query(f"""with {_DENSE}, s as (select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.v, b.v), 9) as sim from u a join u b on a.vec_id % 20 = 0)
+select a, b, round(sim, 6) as sim from s where sim >= 0.3 qualify row_number() over (partition by a order by sim desc, b) <= 10""")
+def dense_knn_of_new_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours over a threshold of every twentieth vector among all."""
+    vecs = _dense(spark, sf)
+    new = vecs.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("id"))
+    return similarity.dense_neighbours(vecs, 10, threshold=0.3, new_ids=new).select("a", "b", _r6(F.col("sim")).alias("sim"))
+
+
 # ---------------------------------------------------------------- skip list
 
 
@@ -491,11 +515,10 @@ def small_cluster_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_CLUSTERS} select cluster_id, size, rank() over (order by size desc, cluster_id) as place from s")
 def clusters_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    """A cluster's place is how many are larger, and how many of its size have its id or a lower one."""
     clusters, members, _ = _clusters(spark, sf)
     clusters, members = clustering.drop_small(clusters, members)
-    ordered = clustering.by_size(clusters, members).select("cluster_id", "size")
-    # an id each in the order that the rows come in; clusters are far fewer than chunks
-    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long"))
+    return clustering.places(stage(clustering.by_size(clusters, members).select("cluster_id", "size"), "sizes"))
 
 
 @query(f"with {_CLUSTERS} select cluster_id, string_agg(chunk_id::varchar, ',' order by similarity desc, chunk_id) as members from m where cluster_id in (select cluster_id from s) group by 1")

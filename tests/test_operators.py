@@ -496,3 +496,22 @@ def test_dense_by_tiles(spark, monkeypatch):
     listed = similarity.dense_packed(v.where("chunk_id % 20 = 0"))
     out = {r.id for r in skiplist.skipped_similar(similarity.dense_packed(v), listed, 0.9).collect()}
     assert out == {i for i in live if any(u[i] @ u[j] >= 0.9 for j in range(0, 96, 20) if j != 40)}
+
+
+def test_codes(spark):
+    """The search by codes has the hits of the exact one, and computes few rows exactly."""
+    from nearfold.operators import quantised
+
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(3000, 32)) + 2 * rng.normal(size=(12, 32))[rng.integers(12, size=3000)]
+    m[7] = 0
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)] + [(5000, [1.0, 2.0]), (5001, None)], "chunk_id bigint, embedding array<float>")
+    codes = quantised.encode(v)
+    assert codes.count() == 3000 and {r.chunk_id for r in codes.where("chunk_id in (7, 5000)").collect()} == {5000}
+    for k, threshold, limit in ((3, 0.2, 5), (9, 0.9, 10), (11, -1.0, 3)):
+        q = [float(x) for x in m[k]]
+        want = [(r.chunk_id, r.sim) for r in similarity.dense_search(v.where("size(embedding) = 32"), q, threshold, limit).collect()]
+        assert [(r.chunk_id, r.sim) for r in quantised.coded_search(v, codes, q, threshold, limit).collect()] == want
+        assert quantised.candidates(codes, q, threshold, limit).count() < 150
+    exact = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) @ (m[3] / np.linalg.norm(m[3]))
+    assert all(r.low <= exact[r.chunk_id] <= r.high for r in quantised.bounded(codes, [float(x) for x in m[3]], -2.0).where("chunk_id < 3000").collect())
