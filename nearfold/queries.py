@@ -574,6 +574,38 @@ def render_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.markdown_rows(_big(spark, sf)).select("cluster_id", *[F.get(lines, k).alias(f"line_{k + 1}") for k in range(3)])
 
 
+_PLACE_SQL = "'**Language**: text  ' || chr(10) || '**Path**: `doc/' || c.id || '`  ' || chr(10) || '**Lines**: 1-' || c.lines || chr(10) || chr(10) || '```text' || chr(10) || c.code || chr(10) || '```' || chr(10) || chr(10)"
+
+
+@query(f"""with {_CLUSTERS}, others as (select m.cluster_id, m.similarity, {_PLACE_SQL} as place, row_number() over (partition by m.cluster_id order by m.similarity desc, m.chunk_id) as k
+  from m join s using (cluster_id) join c on c.id = m.chunk_id where m.chunk_id <> m.cluster_id),
+o as (select cluster_id, string_agg('#### Chunk ' || k || ' (Similarity: ' || printf('%.2f', similarity * 100) || '%)' || chr(10) || chr(10) || place, '' order by k) as sections from others group by 1)
+select s.cluster_id, md5('- **Cluster ID**: `' || left(s.sha, 8) || '`' || chr(10) || '- **Size**: ' || size || ' chunks' || chr(10) || '- **Average Similarity**: ' || printf('%.2f', avg_similarity * 100) || '%' || chr(10)
+  || '- **Max Similarity**: ' || printf('%.2f', max_similarity * 100) || '%' || chr(10) || chr(10) || '### Canonical Chunk' || chr(10) || chr(10) || {_PLACE_SQL} || '### Similar Chunks' || chr(10) || chr(10) || sections || '---' || chr(10)) as body
+from s join c on c.id = s.cluster_id join o on o.cluster_id = s.cluster_id""")
+def render_markdown_body(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole section of each cluster."""
+    return sinks.markdown_rows(_big(spark, sf)).select("cluster_id", F.md5("body").alias("body"))
+
+
+_JSON_BODY = "struct<id:bigint,cluster_id:string,avg_similarity:double,max_similarity:double,size:bigint,canonical_chunk:struct<path:string,language:string,start_line:bigint,end_line:bigint,code:string>,chunks:array<struct<path:string,language:string,start_line:bigint,end_line:bigint,code:string,similarity:double>>>"
+
+
+@query(f"""with {_CLUSTERS}, o as (select m.cluster_id, string_agg('doc/' || c.id || ' text 1-' || c.lines || ' ' || md5(c.code) || ' ' || printf('%.2f', m.similarity), ';' order by m.similarity desc, m.chunk_id) as chunks
+  from m join s using (cluster_id) join c on c.id = m.chunk_id group by 1)
+select s.cluster_id as id, left(s.sha, 8) as cluster_id, round(avg_similarity, 6) as avg_similarity, max_similarity, size, 'doc/' || c.id || ' text 1-' || c.lines || ' ' || md5(c.code) as canonical, chunks
+from s join c on c.id = s.cluster_id join o on o.cluster_id = s.cluster_id""")
+def render_json_body(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of each cluster's object, read back."""
+
+    def told(c: Column) -> list[Column]:
+        return [c["path"], F.lit(" "), c["language"], F.lit(" "), c["start_line"], F.lit("-"), c["end_line"], F.lit(" "), F.md5(c["code"])]
+
+    x = sinks.json_rows(_big(spark, sf)).select(F.from_json("body", _JSON_BODY).alias("b")).select("b.*")
+    chunks = F.transform("chunks", lambda c: F.concat(*told(c), F.lit(" "), F.format_string("%.2f", c["similarity"])))
+    return x.select("id", "cluster_id", _r6(F.col("avg_similarity")).alias("avg_similarity"), "max_similarity", "size", F.concat(*told(F.col("canonical_chunk"))).alias("canonical"), F.array_join(chunks, ";").alias("chunks"))
+
+
 # ---------------------------------------------------------------- state
 
 _STORED = "(select 'doc/' || doc_id as path, (doc_id % 5)::bigint as modified_at from documents where doc_id % 4 <> 0)"
