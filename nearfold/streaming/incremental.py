@@ -23,3 +23,14 @@ def run_incremental(engine: Engine, stream: DataFrame, checkpoint: str, once: bo
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def watch(engine: Engine, paths: list[str], checkpoint: str, seconds: int = 60) -> StreamingQuery:
+    """Follows folders: every so often a micro-batch brings the state up to what they hold.
+
+    What was seen is told by the state and not by the stream, so a batch that failed or comes again does what is left to do,
+    and each edit, new file or deletion reaches the engine once.
+    """
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, __: engine.sync(paths)).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
