@@ -196,24 +196,27 @@ def _cells(left: DataFrame, right: DataFrame | None, threshold: float) -> tuple[
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each cell and term the largest and the least weight of a partition, and a row with term -1 that counts."""
-        high: dict[tuple[int, int], float] = {}
-        low: dict[tuple[int, int], float] = {}
+        cells = tops.shape[1]
+        up, down, count = np.zeros((cells, width)), np.zeros((cells, width)), np.zeros(cells, np.int64)
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             _, size, terms, weights = _parts(batch)
-            of = np.repeat(cell, size)
-            order = np.lexsort((weights, terms, of))
-            c, t, w = of[order], terms[order], weights[order]
-            new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])) if len(c) else np.zeros(0, np.int64)
-            last = np.append(new[1:], len(c)) - 1
-            for x, y, a, b in zip(c[new].tolist(), t[new].tolist(), w[new].tolist(), w[last].tolist(), strict=True):
-                high[x, y] = max(high.get((x, y), 0.0), b)
-                low[x, y] = min(low.get((x, y), 0.0), a)
-            for x, m in zip(*np.unique(cell, return_counts=True), strict=True):
-                high[int(x), -1] = high.get((int(x), -1), 0.0) + float(m)
-        keys = list(high)
+            more = int(terms.max(initial=0)) + 1 - up.shape[1]
+            if more > 0:  # a term that the sample hasn't
+                up, down = np.pad(up, ((0, 0), (0, more))), np.pad(down, ((0, 0), (0, more)))
+            at = (np.repeat(cell, size), terms)
+            np.maximum.at(up, at, weights)
+            np.minimum.at(down, at, weights)
+            count += np.bincount(cell, minlength=cells)
+        c, t = np.nonzero((up > 0) | (down < 0))
+        some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([high[k] for k in keys], pa.float64()), pa.array([low.get(k, 0.0) for k in keys], pa.float64())],
+            [
+                pa.array(np.concatenate([c, some]).astype(np.int32)),
+                pa.array(np.concatenate([t, np.full(len(some), -1)])),
+                pa.array(np.concatenate([up[c, t], count[some].astype(float)])),
+                pa.array(np.concatenate([down[c, t], np.zeros(len(some))])),
+            ],
             names=["cell", "term", "high", "low"],
         )
 
