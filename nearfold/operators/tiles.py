@@ -12,8 +12,8 @@ Where only products over a threshold are wanted, and there are many blocks, vect
 sampled vectors, and the largest and least weight of each term in a cell is noted.  They bound the product of a vector with
 any vector of the cell, so a vector is sent only to the tiles of cells that it can have a hit in, and a tile without rows
 on both sides is never opened.  Cells only steer what is sent: the hits are the same for any choice.  The bounds of all
-cells are a few megabytes at any size of the data.  On the test documents (9,274 vectors, 72 cells) about four tiles in five
-stay closed.  Without a threshold each vector is sent to as many tiles as there are blocks, which is n / ROWS.
+cells are a few megabytes at any size of the data.  On 9,274 vectors of the test documents in 72 cells about four tiles in
+five stay closed.  Without a threshold each vector is sent to as many tiles as there are blocks, which is n / ROWS.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ MARGIN = 1e-4
 #: Pairs whose exact products are taken at once.
 _EXACT = 100_000
 _TASKS = 20_000
-#: Cells at most, and vectors to a cell at least, on average; with fewer blocks of ROWS on both sides the whole product
-#: takes less time than the bounds do, which changes no result.
-CELLS, CELL_ROWS, LEAST_BLOCKS = 256, 128, 8
+#: There are as many cells as blocks of ROWS, at most CELLS, so a vector goes to fewer tiles than it would without.  With
+#: fewer than LEAST_BLOCKS the whole product takes less time than the bounds do, which changes no result.
+CELLS, LEAST_BLOCKS = 256, 32
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -175,11 +175,11 @@ def _vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return rows.dense(width, 0, len(rows.ids))
 
 
-def _cells(left: DataFrame, right: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame, list[int], list[int]]:
+def _cells(left: DataFrame, right: DataFrame | None, threshold: float, each: int) -> tuple[DataFrame, DataFrame, list[int], list[int]]:
     """Both sides as (chunk_id, ti, tw, cell, meets), and how many rows each cell has there.  meets: the cells of the other
     side in which a row can have a product of the threshold or more."""
     n = left.count() if right is None else right.count()
-    sample = (left if right is None else right).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(CELLS, n // CELL_ROWS)))
+    sample = (left if right is None else right).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(max(1, min(CELLS, n // each)))
     rows = sample.select("chunk_id", "ti", "tw").toArrow()  # CELLS rows at most
     width = 1
     for b in rows.to_batches():
@@ -260,12 +260,12 @@ def _dealt_near(left: DataFrame, right: DataFrame | None, threshold: float) -> D
     """As _dealt, without the rows that have no product of the threshold or more in a tile."""
     if max(left.count(), 0 if right is None else right.count()) <= (LEAST_BLOCKS - 1) * ROWS:
         return _dealt(left, right)
-    return _dealt_by_cells(left, right, threshold)
+    return _dealt_by_cells(left, right, threshold, ROWS)
 
 
-def _dealt_by_cells(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+def _dealt_by_cells(left: DataFrame, right: DataFrame | None, threshold: float, each: int) -> DataFrame:
     spark = left.sparkSession
-    x, y, nx, ny = _cells(left, right, threshold)
+    x, y, nx, ny = _cells(left, right, threshold, each)
 
     def blocks(sizes: list[int]) -> tuple[list[int], list[int]]:
         """Of each cell the first of its blocks and how many it has."""
@@ -301,10 +301,10 @@ def _list(numbers: list[int]):
     return F.array(*[F.lit(k).cast("long") for k in numbers])
 
 
-def opened_tiles(packed: DataFrame, threshold: float) -> tuple[int, int]:
-    """How many tiles there are, and how many have rows on both sides."""
-    dealt = _dealt_by_cells(packed, None, threshold)
-    n = sum(-(-r["count"] // ROWS) for r in _cells(packed, None, threshold)[0].groupBy("cell").count().collect())  # a row a cell
+def opened_tiles(packed: DataFrame, threshold: float, each: int = 128) -> tuple[int, int]:
+    """How many tiles there are with so many vectors to a cell, and how many have rows on both sides."""
+    dealt = _dealt_by_cells(packed, None, threshold, each)
+    n = sum(-(-r["count"] // ROWS) for r in _cells(packed, None, threshold, each)[0].groupBy("cell").count().collect())  # a row a cell
     opened = dealt.groupBy("tile").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a < b").count()
     return n * (n + 1) // 2, opened
 

@@ -224,6 +224,7 @@ def test_tiles(spark, monkeypatch):
     packed = spark.createDataFrame(rows, "chunk_id bigint, ti array<int>, tw array<double>")
     s = m @ m.T
     n = len(m)
+    monkeypatch.setattr(tiles, "LEAST_BLOCKS", 3)  # with blocks of 7 and 20 rows by cells
     for size in (7, 20, 1000):
         monkeypatch.setattr(tiles, "ROWS", size)
         got = {(r.a, r.b): r.sim for r in tiles.tile_pairs(packed, 0.7).collect()}
@@ -475,6 +476,7 @@ def test_dense_by_tiles(spark, monkeypatch):
     """Dense vectors in many tiles, new ones only, and skips by cosine."""
     monkeypatch.setattr(tiles, "ROWS", 16)
     monkeypatch.setattr(tiles, "STRIP", 5)
+    monkeypatch.setattr(tiles, "LEAST_BLOCKS", 3)
     rng = np.random.default_rng(8)
     m = np.repeat(rng.normal(size=(12, 6)), 8, axis=0) + rng.normal(size=(96, 6)) * 0.3
     m[17], m[40] = m[3], 0
