@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -128,6 +129,57 @@ def subset_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
     return r.alias("a").join(r.alias("b"), (c("a.path") == c("b.path")) & (c("a.id") < c("b.id")) & rel).select(c("a.id").alias("a"), c("b.id").alias("b"))
 
 
+#: A file for each order: every line item is an object of two pairs, one to a line.
+@query("""with i as (select l_orderkey as o, l_partkey as p, l_suppkey as s, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) - 1 as j, count(*) over (partition by l_orderkey) as k from lineitem where l_orderkey is not null),
+t as (select *, 'o/' || o || '.json' as path, '"p": ' || p as first, '"s": ' || s as second, '{' || first || ',' || chr(10) || second || '}' as code from i),
+x as (select path, 2 + 2 * j as a, 3 + 2 * j as b, code from t
+union all select path, 1, 2 * k + 2, '[' || chr(10) || string_agg(code, ',' || chr(10) order by j) || chr(10) || ']' from t where k <= 4 group by path, k
+union all select path, 2 + 2 * j, 2 + 2 * j, first from t where k <= 3 union all select path, 3 + 2 * j, 3 + 2 * j, second from t where k <= 3)
+select path, 'json' as language, a::int as start_line, b::int as end_line, code from x""")
+def syntax_chunks_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects and arrays of 5 to 10 children; where they are under five, pairs and all others too."""
+    items = _items(spark, sf)
+    one = F.transform("items", lambda x: F.format_string('{"p": %d,\n"s": %d}', x["p"], x["s"]))
+    text = F.concat(F.lit("[\n"), F.array_join(one, ",\n"), F.lit("\n]"))
+    files = files_from_table(items, F.concat(F.lit("o/"), "o", F.lit(".json")), text, F.lit(1))
+    return chunking.chunk_by_syntax(files).select("path", "language", "start_line", "end_line", "code")
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders (o) with the parts and suppliers of their line items in order."""
+    x = _table(spark, sf, "lineitem").where("l_orderkey is not null")
+    return x.groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")))).alias("items"))
+
+
+#: Extension, language and a function: @j is its number, @p what it gives.
+_FUNCTIONS = [
+    (".py", "python", "def f@j(a):\n    b = @p\n    return b"),
+    (".go", "go", "func f@j(a int) int {\n\tb = @p\n\treturn b\n}"),
+    (".js", "javascript", "function f@j(a) {\n  b = @p\n  return b\n}"),
+    (".lua", "lua", "function f@j(a)\n  b = @p -- end\n  return b\nend"),
+    (".kt", "kotlin", "fun f@j(a: Int): Int {\n    b = @p // }\n    return b\n}"),
+    (".swift", "swift", "func f@j(a: Int) -> Int {\n    b = @p\n    return b\n}"),
+    (".scala", "scala", "def f@j(a: Int): Int =\n  val b = @p\n  b"),
+    (".sh", "bash", "f@j() {\n  b=@p # }\n  echo $b\n}"),
+    (".c", "c", "int f@j(int a) {\n  b = @p;\n  return b;\n}"),
+]
+_FUNCTION_ROWS = ", ".join(f"({k}, '{e}', '{n}', '{t}', {t.count(chr(10)) + 1})" for k, (e, n, t) in enumerate(_FUNCTIONS))
+
+
+@query(f"""with t(k, ext, language, body, n) as (values {_FUNCTION_ROWS}),
+i as (select l_orderkey as o, l_partkey as p, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) - 1 as j from lineitem where l_orderkey is not null)
+select 'o/' || o || ext as path, language, (j * (n + 1) + 1)::int as start_line, (j * (n + 1) + n)::int as end_line, replace(replace(body, '@j', j::text), '@p', p::text) as code
+from i join t on i.o % {len(_FUNCTIONS)} = t.k""")
+def syntax_chunks_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each order, in a language by turns, with a function for each line item."""
+    k = (F.col("o") % len(_FUNCTIONS)).cast("int")
+    extension, body = (F.get(F.array(*[F.lit(x[c]) for x in _FUNCTIONS]), k) for c in (0, 2))
+    items = _items(spark, sf).withColumns({"extension": extension, "body": body})
+    one = F.transform("items", lambda x, j: F.replace(F.replace(F.col("body"), F.lit("@j"), j.cast("string")), F.lit("@p"), x["p"].cast("string")))
+    files = files_from_table(items, F.concat(F.lit("o/"), "o", "extension"), F.array_join(one, "\n\n"), F.lit(1))
+    return chunking.chunk_by_syntax(files).select("path", "language", "start_line", "end_line", "code")
+
+
 # ---------------------------------------------------------------- files and ignore rules
 
 _EXT_VALUES = ", ".join(f"('{e}', '{k}')" for k, es in EXTENSIONS.items() for e in es.split())
@@ -219,6 +271,27 @@ def ignore_two_stages(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("rel", walked.alias("walked"), (walked & (F.col("tree_included") | analyzable(F.col("rel"), F.lit(b"")))).alias("analysed"))
 
 
+_FOLDERS = ["src", "build", "a/node_modules/b", "mybuild", "x/.hidden", "docs/venv1", "lib"]
+_NAMES = ["a.go", "b.exe", "c.md", "go.sum", "README.rst", "Makefile", "d.TXT", "LICENSE", "e.tar.gz", "venv", "f.py", "dist", ".env", "sub/target/x", "READ", "go.mod.bak", "g.pyc", "COPYING2"]
+_IGNORED_ENDS = "exe dll so dylib a o db sqlite sqlite3 pdf jpg jpeg png gif bmp ico mp3 mp4 avi mov m4a ttf woff woff2 eot zip tar gz rar 7z md txt rst adoc"
+_IGNORED_NAMES = "go.sum package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock Gemfile.lock composer.lock Pipfile.lock poetry.lock go.mod package.json requirements.txt Makefile Dockerfile docker-compose.yml LICENSE COPYING"
+_IGNORED_FOLDERS = "node_modules venv __pycache__ build dist target"
+
+
+@query(f"""with f as (select 'p' || page_id || '/' || {_FOLDERS!r}[(page_id % {len(_FOLDERS)} + 1)::int] || '/' || {_NAMES!r}[(page_id % {len(_NAMES)} + 1)::int] as rel from pages),
+a as (select rel, unnest(generate_series(1, len(string_split(rel, '/')))) as k from f), p as (select rel, array_to_string(string_split(rel, '/')[1:k], '/') as part, string_split(rel, '/')[k] as base from a)
+select rel, bool_or(starts_with(base, '.') or starts_with(base, 'README') or base in {tuple((_IGNORED_NAMES + " " + _IGNORED_FOLDERS).split())!r}
+or contains(base, '.') and string_split(base, '.')[-1] in {tuple(_IGNORED_ENDS.split())!r} or {" or ".join(f"contains(part, '{w}/')" for w in _IGNORED_FOLDERS.split())}) as listed from p group by 1""")
+def ignore_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """The patterns that are in force unless switched off."""
+
+    def pick(words: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, words)), (F.col("page_id") % len(words)).cast("int"))
+
+    rel = F.concat(F.lit("p"), "page_id", F.lit("/"), pick(_FOLDERS), F.lit("/"), pick(_NAMES))
+    return ignore.ignored_by_list(_table(spark, sf, "pages").select(rel.alias("rel")), ignore.DEFAULT_PATTERNS).select("rel", "listed")
+
+
 @query("""with c as (select page_id, case page_id % 5 when 0 then chr(0) || html when 1 then repeat(chr(7), 200) || html else html end as h from pages),
 b as (select page_id, encode(h)[1:512] as b from c), x as (select page_id, hex(b) as h, octet_length(b) as n from b),
 y as (select page_id, n, h, list_transform(generate_series(0, n - 1), lambda i: substr(h, (2 * i + 1)::int, 2)) as bytes from x)
@@ -711,6 +784,34 @@ def engine_search(spark: SparkSession, sf: str) -> DataFrame:
     return engine.search(_QUERY).select("size", _r6(F.col("avg_similarity")).alias("avg_similarity"), _r6(F.col("max_similarity")).alias("max_similarity"), F.col("total_lines").cast("bigint").alias("total_lines"), "sha")
 
 
+@query(f"""with {_CLUSTERS}, r as (select cluster_id, min(sha) as sha, sum(lines) * avg(similarity) * (1 + log2(count(*))) as w from m group by 1 order by w desc, cluster_id limit 3),
+k as (select sha from r union select arg_min(sha, id) from c) select k.sha, min(length(code)) as n from k join c using (sha) group by 1""")
+def engine_skip_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The list once clusters of rank 1 to 3 and the first document, told by 16 digits of its sha, were accepted, twice over."""
+    engine = _clustered(spark, sf)
+    sha = _chunks(spark, sf).agg(F.min_by("sha", "id")).first()[0]
+    for selector in ("1", "2", "3", sha[:16], "2"):
+        engine.skip(selector)
+    return engine.state.read("skips").select("sha", F.length("code").cast("bigint").alias("n"))
+
+
+@query(f"""with {_LINES}, n as (select count(*) filter (where split_part(path, '/', 2)::bigint % 4 <> 0) as first, count(*) as all_chunks from chunks)
+select 1 as step, first as chunks, 'initial' as reason from n
+union all select 2, case when (all_chunks - first) / all_chunks > 0.2 then all_chunks else first end, case when (all_chunks - first) / all_chunks > 0.2 then format('{{:.0f}}% corpus growth', 100 * (all_chunks - first) / all_chunks) else 'initial' end from n
+union all select 3, all_chunks, 'manual' from n""")
+def engine_refreeze(spark: SparkSession, sf: str) -> DataFrame:
+    """How many chunks the vocabulary was frozen at and why: after three quarters of the files, after all, and when asked for."""
+    engine = _engine(spark)
+    files = _files(spark, sf).where("content is not null")
+    rows = []
+    for step, part in enumerate((files.where("substring(path, 5) % 4 <> 0"), files, files.limit(0)), 1):
+        engine.config = replace(engine.config, refreeze=step == 3)
+        engine.ingest(part)
+        meta = engine.freeze_metadata()
+        rows.append((step, meta["total_chunks_at_freeze"], meta["last_refreeze_reason"]))
+    return spark.createDataFrame(rows, "step int, chunks bigint, reason string")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked clusters of near-duplicate documents."""
     chunks, _, packed = _vectors(spark, sf)

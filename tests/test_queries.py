@@ -8,7 +8,7 @@ import pytest
 from nearfold import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark events".split()
+TABLES = "documents embeddings pages benchmark events lineitem".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
