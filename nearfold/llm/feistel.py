@@ -4,15 +4,16 @@ A value that its format's checks accept is replaced by another value of the same
 a keyed Feistel network permutes the numbers of that format, walking on while it leaves the valid ones.  What is
 permuted is the value itself (a day, all digits of a number, an address in lower case), and its way of writing is
 put back after, so equal values have equal pseudonyms in all documents, columns and ways of writing, different
-values different ones, and who holds the key can go back.  White space and punctuation inside a value stay.
+values different ones, and who holds the key can go back.  White space and punctuation inside a value stay;
+of an address of eight groups the value alone: its pseudonym has all groups, and it comes back in its shortest form.
 
 | kind | accepted | kept |
 |---|---|---|
 | card | 13 to 19 digits, single spaces or dashes inside, other numbers beside, Luhn digit right | length, Luhn |
-| iban | country, check digits right modulo 97 | country, classes of characters, check |
-| ssn | 3-2-4 digits in issued ranges | those ranges |
-| phone | + and country code, 7 to 14 more digits | country code, number of digits |
-| ip | four numbers up to 255 | that |
+| iban | a country's length, check digits right modulo 97, all letters upper or lower case | country, classes of characters, check |
+| ssn | 3-2-4 digits with dashes or spaces in issued ranges | those ranges |
+| phone | + and country code, 7 to 14 more digits; (3) 3-4 digits as in North America; 0 and groups of digits | country code, number of digits, first digits |
+| ip | four numbers up to 255; eight groups of hexadecimal digits, or :: and at least three | that |
 | date | a day of 1900 to 2099 as y-m-d, d.m.y or m/d/y, a time after T | order, padding, range, what its digits tell of the order |
 | email | local@host.tld | host, classes of the local part's characters |
 | secret | 32 hexadecimal digits or more assigned to a key, token, secret or password; keys with an issuer's prefix | length, case, prefix, classes |
@@ -27,7 +28,9 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,9 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 10
-#: Where the query finds the key of a corpus; tests and demonstrations have one of their own.
+#: Where the query finds the key of a corpus.
 KEY_SETTING = "spark.nearfold.pseudonymKey"
-DEMO_KEY = b"nearfold demonstration key"
 
 
 class Permutation:
@@ -183,13 +185,29 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def iban(p: Permutation, m: re.Match, back: bool) -> str | None:
-    flat = m[0].replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1:
-        return None
+#: The length of a country's account numbers.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def iban(p: Permutation, m: re.Match, back: bool) -> list[tuple[int, int, str]]:
+    """A number of its country's length at the begin of the match; what follows it is a word of its own."""
+    n = IBAN_LENGTHS.get(m[0][:2].upper(), 0)
+    at = [k for k, c in enumerate(m[0]) if c.isalnum()][:n]
+    if not n or len(at) < n or m[0][at[-1] + 1 : at[-1] + 2].isalnum():
+        return []
+    text = m[0][: at[-1] + 1]
+    flat = text.replace(" ", "").upper()
+    if _mod97(flat[4:] + flat[:4]) != 1:
+        return []
     body = by_class(p, flat[4:], "iban" + flat[:2], back)
-    check = 98 - _mod97(body + flat[:2] + "00")
-    return _refill(m[0], f"{flat[:2]}{check:02d}{body}")
+    made = f"{flat[:2]}{98 - _mod97(body + flat[:2] + '00'):02d}{body}"
+    return [(m.start(), m.start() + len(text), _refill(text, made.lower() if text[0].islower() else made))]
 
 
 def _ssn_ok(x: int) -> bool:
@@ -210,17 +228,42 @@ CALLING_2 = (
 )
 
 
+def _north_american(x: int) -> bool:
+    """Whether ten digits are an area and an exchange as they are given out, and a line."""
+    return x >= 2 * 10**9 and x // 10**6 % 10 >= 2
+
+
 def phone(p: Permutation, m: re.Match, back: bool) -> str | None:
+    """North American numbers are one value with and without +1, so those that can be written without stay such."""
     digits = re.sub(r"\D", "", m[0])
-    n = 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3
-    code, rest = digits[:n], digits[n:]
-    if not 7 <= len(rest) <= 14:
-        return None
-    made = f"{p(int(rest), 10 ** len(rest), 'phone' + code, None, back):0{len(rest)}d}"
+    if m["trunk"]:
+        rest = digits[1:]
+        return _refill(m[0], "0" + str(p(int(rest), 10 ** len(rest), "phone0", lambda x: x >= 10 ** (len(rest) - 1), back)))
+    if m["area"]:
+        if not _north_american(int(digits)):
+            return None
+        code, rest = "", digits
+    else:
+        n = 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3
+        code, rest = digits[:n], digits[n:]
+        if not 7 <= len(rest) <= 14:
+            return None
+    like = None
+    if code in ("", "1") and len(rest) == 10:
+        issued = _north_american(int(rest))
+        like = lambda x: _north_american(x) == issued
+    made = f"{p(int(rest), 10 ** len(rest), 'phone' + (code or '1'), like, back):0{len(rest)}d}"
     return _refill(m[0], code + made)
 
 
 def ip(p: Permutation, m: re.Match, back: bool) -> str | None:
+    if ":" in m[0]:
+        try:
+            x = int(ipaddress.IPv6Address(m[0]))
+        except ValueError:
+            return None
+        x = p(x, 1 << 128, "ip6", None, back)
+        return ipaddress.IPv6Address(x).compressed if back else ":".join(f"{x >> k & 0xFFFF:x}" for k in range(112, -16, -16))
     parts = m[0].split(".")
     if any(int(x) > 255 or str(int(x)) != x for x in parts):
         return None
@@ -287,19 +330,27 @@ ISSUERS = (
 )
 _ISSUED = "(?P<issuer>" + "|".join(x for x, _ in ISSUERS) + ")(?P<key>" + "|".join(f"(?<={x}){y}" for x, y in ISSUERS) + ")"
 
+#: Numbers without + have no other group of digits beside them.
+_ALONE = r"(?<![\w+.-])(?<!\d[ .-])", r"(?![\w-])(?![ .]\d)"
+_PLUS = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,5}){1,6})(?!\w)"
+_AREA = rf"(?P<area>{_ALONE[0]}(?:\([2-9]\d\d\) ?|[2-9]\d\d(?P<sep>[ .-]))[2-9]\d\d(?(sep)(?P=sep)|[ .-])\d{{4}}{_ALONE[1]})"
+_TRUNK = rf"(?P<trunk>{_ALONE[0]}(?:0[1-9]\d{{0,4}}(?P<by>[ -])\d{{3,4}}(?P=by)\d{{3,4}}|0[1-9](?: \d\d){{4}}){_ALONE[1]})"
+#: Eight groups, or a run of groups with :: in it, of which ip wants three and a digit at least.
+_GROUPS = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?=(?::*[0-9A-Fa-f]{1,4}){3})(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}:|:){2,8}(?:[0-9A-Fa-f]{1,4})?)(?![\w:])"
+
 #: In order; a later kind doesn't look into what an earlier one took.
 KINDS: dict[str, tuple[str, Callable[[Permutation, re.Match, bool], str | list[tuple[int, int, str]] | None]]] = {
     "email": (r"(?<![\w.%+-])(?P<local>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", email),
     "secret": (rf"(?i:(?P<head>\b(?:api[_-]?key|token|secret|password|passwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<body>[0-9a-f]{{32,}})(?![0-9a-z]))|(?<![\w-])(?:{_ISSUED})(?![\w-])", secret),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", iban),
-    "phone": (r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,5}){1,6})(?!\w)", phone),
+    "iban": (r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?)(?![A-Za-z0-9])", iban),
+    "phone": (rf"{_PLUS}|{_AREA}|{_TRUNK}", phone),
     "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", cards),
     "date": (r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-./])(?P<b>\d{1,2})(?P=s)(?P<c>\d{4}|\d{1,2})(?:(?=[Tt]\d\d:?\d\d)|(?![\w/-]))(?!\.\d)", date),
-    "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
-    "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)", ip),
+    "ssn": (r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-])", ssn),
+    "ip": (rf"(?<![\w.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![\w])(?!\.\d)|{_GROUPS}", ip),
 }
 #: What every value of a kind has.
-_SIGNS = {"email": "@", "phone": "+"}
+_SIGNS = {"email": "@"}
 _COMPILED = {k: (re.compile(r), f) for k, (r, f) in KINDS.items()}
 
 
@@ -362,7 +413,16 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, back: bool = False) -> D
     return docs.mapInArrow(_over(key, len(names), names.index("text"), back), schema).toDF(*names, *[f"n_{k}" for k in KINDS])
 
 
+def corpus_key(spark: SparkSession) -> bytes:
+    """The key in the session's settings.  Where there is none, one is drawn and set there, so pseudonyms agree within a
+    session and nobody without the setting can undo them."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), "text")
-    key = spark.conf.get(KEY_SETTING, None)
-    return pseudonymise_documents(docs, key.encode() if key else DEMO_KEY)
+    return pseudonymise_documents(docs, corpus_key(spark))

@@ -22,10 +22,10 @@ def test_permutation(size):
 
 CASES = {
     "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005"],
-    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
-    "ssn": ["123-45-6789", "899-99-9999"],
-    "phone": ["+1 (559) 555-3893", "+49 30 1234567", "+442071234567"],
-    "ip": ["192.168.0.1", "97.51.17.173", "0.0.0.0"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "de89370400440532013000", "gb82 west 1234 5698 7654 32"],
+    "ssn": ["123-45-6789", "899-99-9999", "123 45 6789"],
+    "phone": ["+1 (559) 555-3893", "+49 30 1234567", "+442071234567", "(415) 555-2671", "(415)555-2671", "415-555-2671", "415.555.2671", "020 7946 0958", "0123-456-7890", "01 23 45 67 89"],
+    "ip": ["192.168.0.1", "97.51.17.173", "0.0.0.0", "2001:db8::1", "1:2:3:4:5:6:7:8", "fe80::1ff:fe23:4567:890a"],
     "date": ["2024-02-29", "1999-12-31", "31.12.1999", "12/31/1999", "31/12/1999", "1.2.2003", "2003/4/5"],
     "email": ["can.38@mail7.example.com", "A_b+c9@x.org"],
     "secret": ['token = "0b96a8c8d79c4a6b1e0f22334455667788990011"', "API_KEY: 0B96A8C8D79C4A6B1E0F223344556677"],
@@ -49,7 +49,7 @@ def test_kinds(kind):
 
 
 def test_left_alone():
-    for text in ["4111111111111112", "1111 words", "version 1.2.3", "256.1.1.1", "1.2.3.4.5", "2023-02-30", "1850-01-01", "000-12-3456", "a@b", "GB00 WEST 1234 5698 7654 32", "12345678901234567890123", "call 555", "tokens = many", "x4111111111111111", "CC BY-NC 4.0", ""]:
+    for text in ["4111111111111112", "1111 words", "version 1.2.3", "256.1.1.1", "1.2.3.4.5", "2023-02-30", "1850-01-01", "000-12-3456", "a@b", "GB00 WEST 1234 5698 7654 32", "12345678901234567890123", "call 555", "tokens = many", "x4111111111111111", "CC BY-NC 4.0", "", "115-555-2671", "415-155-2671", "415-555.2671", "::1", "a::b", "std::map", "12:34:56", "00:1b:44:11:3a:b7", "in12 this that then", "123 45 6789 12", "1 415-555-2671", "XX00 1234 1234 1234", "dead::beef::1"]:
         assert fp.pseudonymise(text, P) == (text, {}), text
 
 
@@ -232,3 +232,36 @@ def test_against_a_plain_network(spark):
     rows = [(i, f"from {rng.randrange(256)}.{rng.randrange(256)}.7.{rng.randrange(256)} on {rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d} or 9.9.9.9, 2024-02-29") for i in range(12)]
     got = {r.doc_id: (r.text, r.n_ip, r.n_date) for r in fp.pseudonymise_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()}
     assert got == {i: (plain_table(t, b"k"), 2, 2) for i, t in rows}
+
+
+def test_north_american_numbers_are_one_value():
+    rng = random.Random(5)
+    seen = {}
+    for _ in range(500):
+        a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(0, 9999)
+        forms = [f"+1 {a} {b} {c:04d}", f"({a}) {b}-{c:04d}", f"{a}-{b}-{c:04d}", f"{a}.{b}.{c:04d}", f"+1{a}{b}{c:04d}"]
+        made = [re.sub(r"\D", "", fp.pseudonymise(x, P)[0])[-10:] for x in forms]
+        assert len(set(made)) == 1 and made[0][0] >= "2" and made[0][3] >= "2"
+        assert seen.setdefault(made[0], (a, b, c)) == (a, b, c)
+    # those that can't be written without +1 stay such
+    new, _ = fp.pseudonymise("+1 115 555 2671", P)
+    assert not (new[3] >= "2" and new[7] >= "2") and fp.pseudonymise(new, P, back=True)[0] == "+1 115 555 2671"
+
+
+def test_ways_of_writing_are_one_value():
+    upper, lower = (fp.pseudonymise(x, P)[0] for x in ("DE89 3704 0044 0532 0130 00", "de89370400440532013000"))
+    assert upper.replace(" ", "").lower() == lower
+    assert fp.pseudonymise("2001:DB8:0:0:0:0:0:1", P) == fp.pseudonymise("2001:db8::1", P)
+    new, n = fp.pseudonymise("to DE89 3704 0044 0532 0130 00 ABCD EFGH", P)
+    assert n == {"iban": 1} and new.endswith(" ABCD EFGH") and fp.pseudonymise(new, P, back=True)[0] == "to DE89 3704 0044 0532 0130 00 ABCD EFGH"
+
+
+def test_key_of_a_session(spark):
+    spark.conf.unset(fp.KEY_SETTING)
+    try:
+        drawn = fp.corpus_key(spark)
+        assert len(drawn) == 64 and fp.corpus_key(spark) == drawn
+        spark.conf.set(fp.KEY_SETTING, "mine")
+        assert fp.corpus_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(fp.KEY_SETTING)
