@@ -169,9 +169,9 @@ def _to_docs(dtype: str):
 _WINDOWS = pa.schema([("p", pa.int32()), ("owners", pa.binary()), ("steps", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()), ("at", pa.binary())])
 
 
-#: Bits for the first word of a run of windows and for how many there are; what is left marks the text, for rows may
-#: share a doc_id.
-_PLACE, _COUNT = 28, 12
+#: Bits for the first word of a run of windows (a text has under 2^31 bytes, so at most 2^30 words) and for how many there
+#: are; what is left marks the text, for rows may share a doc_id.
+_PLACE, _COUNT = 30, 10
 
 
 def _mark(text: bytes) -> int:

@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,14 +462,13 @@ def test_warc_files(spark, tmp_path):
 # ---------------------------------------------------------------- 10
 
 
-def test_packing(spark):
-    rng = random.Random(6)
-    rows = ROWS + [(500 + i, " ".join(["tok"] * rng.randrange(1, 900)), None) for i in range(40)]
-    got = packing.pack_documents(spark, table(spark, rows)).collect()
+def check_packing(rows, got):
+    """Pieces (doc_id, piece, start, length, ids_crc32, sequence_id, offset) of rows (doc_id, text): the library's ids, all of them
+    once, in sequences without gaps that are nearly as few as can be; how many there are."""
     e = pieces.TextEncoder("byte_bpe_50k.json", True)
     want = Counter()
     total = 0
-    for d, t, _ in rows:
+    for d, t in rows:
         ids = np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         total += len(ids)
         for k, (s, n) in enumerate(packing.cut(len(ids), 2048)):
@@ -483,9 +484,17 @@ def test_packing(spark):
             at += n
         assert at <= 2048
     assert len(by) <= -(-total // 2048) + 3
+    return len(by)
+
+
+def test_packing(spark):
+    rng = random.Random(6)
+    rows = ROWS + [(500 + i, " ".join(["tok"] * rng.randrange(1, 900)), None) for i in range(40)]
+    got = packing.pack_documents(spark, table(spark, rows)).collect()
+    sequences = check_packing([r[:2] for r in rows], got)
     assert packing.pack_documents(spark, none(spark)).count() == 0
     parted = packing.pack(spark, packing.token_pieces(table(spark, rows)).cache(), part=3).collect()
-    assert len({(r.sequence_id, r.offset) for r in parted}) == len(parted) == len(got) and len({r.sequence_id for r in parted}) == len(by)
+    assert len({(r.sequence_id, r.offset) for r in parted}) == len(parted) == len(got) and len({r.sequence_id for r in parted}) == sequences
 
 
 # ---------------------------------------------------------------- pipeline
@@ -506,8 +515,13 @@ def test_pipeline(spark, tmp_path):
     left = [tuple(r) for r in cp.near_duplicates(spark, spark.createDataFrame(lined, docs.schema), str(tmp_path)).collect()]
     want = {(d, c) for d, _, c in components_of([(r[0], r[1], None) for r in lined])}
     assert {r[0] for r in left} == {d for d, c in want if d == c or d is None}
-    final = cp.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in final} <= {r[0] for r in left} and final
+    # copies by the SQL of the mix in another engine; the tables have no doc_id twice
+    con = duckdb.connect()
+    con.register("docs", pd.DataFrame([(r[0], r[1], r[3]) for r in left], columns=["doc_id", "text", "source"]))
+    copies = dict(con.execute(f"with {mixing.MIX_SQL} select doc_id, copies from mixed").fetchall())
+    mixed = [tuple(r) for r in cp.mix_sources(spark, spark.createDataFrame(left, docs.schema), str(tmp_path)).collect()]
+    assert Counter(mixed) == +Counter({r: copies[r[0]] for r in left}) and any(n == 0 for n in copies.values()) and any(n > 1 for n in copies.values())
+    check_packing([r[:2] for r in mixed], cp.run(spark, str(tmp_path)).collect())
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == columns, name
 
