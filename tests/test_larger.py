@@ -1,6 +1,7 @@
 """What only shows on larger tables or odder rows than the smallest test tables hold."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from nearfold import queries
@@ -29,3 +30,42 @@ def long_pages(spark, tmp_path):
 def test_names_of_many_digits(spark, long_pages, name):
     got, want = compared(spark, long_pages, name, pages=None)
     assert got == want
+
+
+def test_vectors_go_to_few_tiles(spark):
+    """100,000 vectors are sent to as many tiles as keep the cores busy, and to no more."""
+    from nearfold.operators import tiles
+
+    packed = spark.range(100_000).selectExpr("id as chunk_id", "array(1) as ti", "array(1.0d) as tw")
+    blocks = 5 if spark.sparkContext.defaultParallelism == 4 else 13
+    assert tiles._dealt(packed, None).count() <= 100_000 * (blocks + 1)
+    assert tiles._dealt_near(packed.limit(300), packed, 0.9).count() <= 300 * 4 + 100_000 * 2
+
+
+def test_folded_bounds(monkeypatch):
+    """Bounds are never under the products, and hits are the same whether few or many pairs pass them."""
+    from nearfold.operators import tiles
+
+    rng = np.random.default_rng(3)
+    n, width, each = 300, 900, 40
+    base = rng.integers(width, size=(30, each))
+    m = np.zeros((n, width))
+    for i in range(n):
+        m[i, base[i % 30]] = rng.random(each) + 0.3
+        m[i, rng.integers(width, size=8)] = -rng.random(8)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+
+    def rows(a, b):
+        where = np.nonzero(m[a:b])
+        ids = np.arange(a, b)
+        return tiles.Rows([(ids, np.bincount(where[0], minlength=b - a), where[1].astype(np.int32), m[a:b][where], ids, np.ones(b - a, np.int64))])
+
+    assert (rows(0, 200).folded(0, 200) @ rows(200, 300).folded(0, 100).T >= m[:200] @ m[200:].T - 1e-5).all()
+    monkeypatch.setattr(tiles, "DENSE", 64)
+    monkeypatch.setattr(tiles, "STRIP", 17)
+    want = {(int(i), int(j) + 200) for i, j in zip(*np.nonzero(m[:200] @ m[200:].T >= 0.7), strict=True)}
+    assert want
+    for few in (1, 10**9):
+        monkeypatch.setattr(tiles, "FEW", few)
+        got = [(int(a), int(b)) for strip, (i, j, _) in tiles._hits(rows(0, 200), iter([rows(200, 250), rows(250, 300)]), 0.7, False) for a, b in zip(i, strip.ids[j], strict=True)]
+        assert len(got) == len(want) and set(got) == want
