@@ -99,3 +99,18 @@ def test_neighbouring_events(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_skips_shuffle_no_vectors(spark, monkeypatch):
+    """A list that fits into a task goes to the vectors where they lie; a longer one has the same hits by tiles."""
+    from nearfold.operators import skiplist, tiles
+
+    packed = spark.createDataFrame([(k, [k % 7, 7 + k % 3], [0.8, 0.6]) for k in range(200)], "chunk_id bigint, ti array<int>, tw array<double>")
+    listed = packed.where("chunk_id in (0, 9)")
+    want = {k for k in range(200) for x in (0, 9) if 0.64 * (k % 7 == x % 7) + 0.36 * (k % 3 == x % 3) >= 0.6}
+    found = tiles.tile_members(packed, listed, 0.6)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in found.collect()} == want
+    assert tiles.tile_members(packed, listed.limit(0), 0.6).count() == 0
+    monkeypatch.setattr(tiles, "LISTED", 1)
+    assert {r.id for r in skiplist.skipped_similar(packed, listed, 0.6).collect()} == want
