@@ -13,7 +13,7 @@ _INSIDE[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 LEAST = 2
 
 
-def token_slices(texts: pa.Array, limit: int = 1 << 23) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
+def token_slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
     """For runs of whole texts of about `limit` bytes: the first and the number of texts, and of each token the text
     in the run and the token.  Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearfold import queries
@@ -114,3 +115,12 @@ def test_skips_shuffle_no_vectors(spark, monkeypatch):
     assert tiles.tile_members(packed, listed.limit(0), 0.6).count() == 0
     monkeypatch.setattr(tiles, "LISTED", 1)
     assert {r.id for r in skiplist.skipped_similar(packed, listed, 0.6).collect()} == want
+
+
+def test_tokens_of_few_bytes_at_once():
+    """Texts are cut into tokens about a megabyte at a time, so what a task holds doesn't follow its batches."""
+    from nearfold.functions.tokens import token_slices
+
+    texts = pa.array(["ab cd " * 50_000] * 20)
+    slices = list(token_slices(texts))
+    assert sum(n for _, n, _, _ in slices) == 20 and max(n for _, n, _, _ in slices) <= 4
