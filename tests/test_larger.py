@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold import queries
 from nearfold.operators import similarity
@@ -124,3 +125,21 @@ def test_tokens_of_few_bytes_at_once():
     texts = pa.array(["ab cd " * 50_000] * 20)
     slices = list(token_slices(texts))
     assert sum(n for _, n, _, _ in slices) == 20 and max(n for _, n, _, _ in slices) <= 4
+
+
+def test_chunks_are_staged_once(spark, tmp_path, monkeypatch):
+    """The text of new chunks is written once before it is committed."""
+    from nearfold.config import EngineConfig
+    from nearfold.plans import engine
+    from nearfold.sources.files import files_from_table
+
+    labels = []
+    real = engine.stage
+    monkeypatch.setattr(engine, "stage", lambda df, label: labels.append((label, df.columns)) or real(df, label))
+    docs = spark.createDataFrame([(f"d/{k}", "\n".join(f"alpha{j} beta{k} gamma" for j in range(9))) for k in range(4)], "path string, text string")
+    e = engine.Engine(spark, EngineConfig(state=f"{tmp_path}/state"))
+    e.ingest(files_from_table(docs, F.col("path"), F.col("text"), F.lit(1)))
+    assert not [x for x in labels if "code" in x[1]]
+    rows = e.state.read("chunks").orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r.path, r.start_line, r.end_line) for r in rows] == sorted((r.path, r.start_line, r.end_line) for r in rows)
