@@ -220,8 +220,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Rows, Iterator[R
             while head() == (tile, 1):
                 yield Rows([_parts(queue.pop(0))])
 
-        strips = right()
-        yield Rows(parts), strips, same
+        strips, left = right(), Rows(parts)
+        parts.clear()  # what a side was read from isn't held beside it
+        yield left, strips, same
+        del left
         for _ in strips:  # what the caller has left
             pass
 
@@ -409,6 +411,7 @@ def _over(df: DataFrame, kernel: Callable[[Rows, Iterator[Rows], bool], Iterator
             for columns in kernel(left, right, same):
                 for k in range(0, len(columns[0]), _EXACT):
                     yield pa.RecordBatch.from_arrays([pa.array(c[k : k + _EXACT], t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            del left, right  # before the next tile is read
 
     return df.mapInArrow(run, schema)
 
