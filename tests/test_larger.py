@@ -190,3 +190,29 @@ def test_a_tile_is_held_once(monkeypatch):
     seen.clear()
     left, _, _ = next(out)
     assert left.weights.tolist() == [0.6, 0.8] * 2 and seen and not any(r() is not None for r in seen)
+
+
+def test_products_of_near_copies_are_computed_together(monkeypatch):
+    """Hits among changed copies come from products of whole groups, not pair by pair, and are those of all pairs."""
+    rng = np.random.default_rng(5)
+    n, width = 900, 1000
+    base = rng.random((6, width)) * (rng.random((6, width)) < 0.08)
+    m = base[rng.integers(6, size=n)] * (1 + 0.1 * rng.normal(size=(n, width)))
+    m[::9] = rng.random((n // 9, width)) * (rng.random((n // 9, width)) < 0.05)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+
+    def rows(a, b):
+        where = np.nonzero(m[a:b])
+        ids = np.arange(a, b)
+        return tiles.Rows([(ids, np.bincount(where[0], minlength=b - a), where[1].astype(np.int32), m[a:b][where], ids, np.ones(b - a, np.int64))])
+
+    singly = []
+    monkeypatch.setattr(tiles, "_exact", lambda *x, f=tiles._exact: singly.append(len(x[1])) or f(*x))
+    sims = m @ m.T
+    for left, right, same in ((rows(0, 500), [rows(500, 700), rows(700, n)], False), (rows(0, n), [rows(0, 400), rows(400, n)], True)):
+        singly.clear()
+        got = {(int(left.ids[a]), int(b)): s for strip, (i, j, sim) in tiles._hits(left, iter(right), 0.85, same) for a, b, s in zip(i, strip.ids[j], sim, strict=True)}
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(sims >= 0.85), strict=True) if a < b and (same or a < 500 <= b)}
+        assert set(got) == want and len(want) > 10_000
+        assert max(abs(s - sims[k]) for k, s in got.items()) < 1e-12
+        assert sum(singly) < len(want) / 10
